@@ -41,12 +41,11 @@ class Trailing:
 
 @dataclass(frozen=True)
 class Active:
-    """Adds `<name>`: how many intervals [start, stop) of the key contain t."""
+    """Adds `<name>` for each entry of `spans`: how many of the key's intervals
+    [start, stop) contain t. A NULL start is no interval, a NULL stop an open one."""
 
-    name: str
     intervals: DataFrame
-    start: str = "start"
-    stop: str = "stop"
+    spans: dict[str, tuple[str, str]]
 
 
 @dataclass(frozen=True)
@@ -69,8 +68,9 @@ def point_in_time(
 ) -> DataFrame:
     """Anchors with every measure evaluated at their own instant, in one exchange.
 
-    Anchors and all contributions are shuffled together by (key, pane) and read by one
-    ascending and one descending scan. A fact leaves a window `width` after it happened,
+    Anchors and all contributions are shuffled together by (key, pane); one ascending
+    and one descending scan read that exchange, and so do the totals per pane. Rows
+    without a key have no history and are left out. A fact leaves a window `width` after it happened,
     so a copy shifted by `width` meets, in the anchor's own pane, exactly the anchors
     that still see it: the window is (head of own pane) + (whole panes between) +
     (shifted facts not yet expired).
@@ -134,15 +134,20 @@ def point_in_time(
             copies.append((tail[m.name], micros(at) + F.lit(width_us(m.width)), None))
         parts.append(contribution(facts, copies, F.col(value).cast("double") if value else none))
 
+    counted = []
     for m in active:
-        code[m.name] = next(codes)
-        parts.append(contribution(m.intervals, [
-            (code[m.name], micros(m.start), F.lit(1.0)), (code[m.name], micros(m.stop), F.lit(-1.0))], none))
+        copies = []
+        for name, (start, stop) in m.spans.items():
+            counted.append(name)
+            code[name] = next(codes)
+            copies += [(code[name], micros(start), F.lit(1.0)),
+                       (code[name], F.when(F.col(start).isNotNull(), micros(stop)), F.lit(-1.0))]
+        parts.append(contribution(m.intervals, copies, none))
     for m in latest:
         code[m.name] = next(codes)
         parts.append(contribution(m.versions, [(code[m.name], micros(m.start), None)], none, version=m))
 
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts).filter(F.col(_KEY).isNotNull()).repartition(_KEY, _PANE)
 
     # inside the pane
     pane_part = Window.partitionBy(_KEY, _PANE)
@@ -153,7 +158,7 @@ def point_in_time(
     scanned = rows.select(
         "*",
         *_unique(c for m in trailing for c in _state(head[m.name], m.moments, f"__h{head[m.name]}", earlier)),
-        *[F.sum(F.when(F.col(_KIND) == code[m.name], F.col(_X))).over(until).alias(f"__a_{m.name}") for m in active],
+        *[F.sum(F.when(F.col(_KIND) == code[n], F.col(_X))).over(until).alias(f"__a_{n}") for n in counted],
         *[F.last(versions_col[m.name], ignorenulls=True).over(until).alias(f"__l_{m.name}") for m in latest],
     )
     if trailing:
@@ -163,13 +168,13 @@ def point_in_time(
     # one row per pane of a key, then what lies before it
     heads = sorted(set(head.values()))
     with_moments = {h for m in trailing if m.moments for h in [head[m.name]]}
-    summarised = [_ANCHOR, *heads, *code.values()]
-    panes = rows.filter(F.col(_KIND).isin(summarised)).groupBy(_KEY, _PANE).agg(
-        F.count(F.lit(1)).alias("__rows"),
+    panes = rows.groupBy(_KEY, _PANE).agg(
+        F.count(_ROW).alias("__anchors"),
         *[c for h in heads for _, c in _state(h, h in with_moments, f"__p{h}")],
-        *[F.sum(F.when(F.col(_KIND) == code[m.name], F.col(_X))).alias(f"__a_{m.name}") for m in active],
-        *[F.max_by(versions_col[m.name], F.when(F.col(_KIND) == code[m.name], F.col(_AT))).alias(f"__l_{m.name}")
-          for m in latest],
+        *[F.sum(F.when(F.col(_KIND) == code[n], F.col(_X))).alias(f"__a_{n}") for n in counted],
+        *[F.when(F.max(_since(code[m.name])).isNotNull(), F.struct(*[
+            F.max_by(f"{versions_col[m.name]}.{c}", _since(code[m.name])).alias(c) for c in m.columns])
+        ).alias(f"__l_{m.name}") for m in latest],
     )
     of_key = Window.partitionBy(_KEY)
     centre = {h: F.sum(F.col(f"__p{h}_n") * F.col(f"__p{h}_mean")).over(of_key)
@@ -177,11 +182,11 @@ def point_in_time(
     panes = panes.select("*", *[c.alias(f"__c{h}") for h, c in centre.items()])
     past = of_key.orderBy(_PANE).rowsBetween(FIRST, -1)
     panes = panes.select(
-        _KEY, _PANE,
+        _KEY, _PANE, "__anchors",
         *[c for m in trailing for c in _between(m, head[m.name], width_us(m.width) // width_us(pane), of_key)],
-        *[F.sum(f"__a_{m.name}").over(past).alias(f"__b_{m.name}") for m in active],
+        *[F.sum(f"__a_{n}").over(past).alias(f"__b_{n}") for n in counted],
         *[F.last(f"__l_{m.name}", ignorenulls=True).over(past).alias(f"__k_{m.name}") for m in latest],
-    )
+    ).filter(F.col("__anchors") > 0)
 
     joined = scanned.filter(F.col(_KIND) == _ANCHOR).join(panes, [_KEY, _PANE], "left")
     out = []
@@ -192,13 +197,17 @@ def point_in_time(
             out.append(n.cast("long").alias(f"n_{m.name}"))
         else:
             out.extend(_moments(m.name, (h, t, b)))
-    for m in active:
-        out.append((_zero(f"__a_{m.name}") + _zero(f"__b_{m.name}")).cast("long").alias(m.name))
+    for n in counted:
+        out.append((_zero(f"__a_{n}") + _zero(f"__b_{n}")).cast("long").alias(n))
     for m in latest:
         out.append(F.coalesce(f"__l_{m.name}", f"__k_{m.name}").alias(m.name))
     return joined.select(f"{_ROW}.*", *out)
 
 
+def _since(kind: int) -> Column:
+    return F.when(F.col(_KIND) == kind, F.col(_AT))
+
+
 def _struct_type(m: Latest):
     return m.versions.select(*m.columns).schema
 
@@ -268,7 +277,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], pane: Column
     """Sum of `value` up to and including each row, in `order`; `pane` must follow `order`."""
     df = df.withColumn(_PANE, pane).withColumn(_X, value)
     inside = Window.partitionBy(*keys, _PANE).orderBy(*order).rowsBetween(FIRST, 0)
-    past = Window.partitionBy(*keys, F.lit(0)).orderBy(_PANE).rowsBetween(FIRST, -1)
+    past = Window.partitionBy(*keys).orderBy(_PANE).rowsBetween(FIRST, -1)
     totals = df.groupBy(*keys, _PANE).agg(F.sum(_X).alias("__sum"))
     carry = totals.select(*keys, _PANE, F.sum("__sum").over(past).alias("__carry"))
     return (df.withColumn(out, F.sum(_X).over(inside))
