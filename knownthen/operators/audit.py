@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from knownthen.functions.clock import after, at, before
 from knownthen.functions.rules import CASE_DELTA
-from knownthen.operators.features import US, Windows, requests_from, serve
+from knownthen.operators.features import US, Windows, current_frauds, requests_from, serve
 from knownthen.operators.feed import states
 from knownthen.operators.model import LinearModel
-from knownthen.operators.paned import Active, point_in_time
+from knownthen.operators.paned import Active, Trailing
 from knownthen.operators.temporal import Basis, DELETE, PUT
 from knownthen.sources.facts import FactLogs
 
@@ -56,15 +56,10 @@ def newest_per_account(txn: DataFrame, n: int) -> DataFrame:
     return txn.withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= n).drop("__rank")
 
 
-def _vectors(subjects: DataFrame, logs: FactLogs, basis: Basis, pending: DataFrame, windows: Windows,
-             *, labelled_only: bool = True) -> DataFrame:
-    """Serving vectors of the subjects plus `n`: pending ones strictly before each."""
-    counted = point_in_time(
-        requests_from(subjects),
-        [Active(pending.select("account_id", after("txn_ts", US).alias("start"),
-                               F.lit(None).cast("timestamp").alias("stop")), {"n": ("start", "stop")})],
-        at="t", pane=windows.pane)
-    return serve(counted, logs, basis, windows, labelled_only=labelled_only)
+def pending_before(pending: DataFrame, name: str = "n") -> Active:
+    """Counts the account's given pending chargebacks strictly before an instant."""
+    return Active(pending.select("account_id", after("txn_ts", US).alias("start"),
+                                 F.lit(None).cast("timestamp").alias("stop")), {name: ("start", "stop")})
 
 
 def _moved(df: DataFrame, model: LinearModel) -> DataFrame:
@@ -83,7 +78,8 @@ def impact_per_account(logs: FactLogs, model: LinearModel, horizon: datetime, ba
     sizes = burst.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_account"))
     recent = logs.transactions(basis).filter(F.col("txn_ts") > at(horizon - LOOKBACK))
     subjects = newest_per_account(recent.join(sizes.select("account_id"), "account_id", "left_semi"), CANDIDATES)
-    scored = _moved(_vectors(subjects, logs, basis, burst, windows), model).filter(F.col("n") > 0)
+    vectors = serve(requests_from(subjects), logs, basis, windows, extra=[pending_before(burst)])
+    scored = _moved(vectors, model).filter(F.col("n") > 0)
     best = Window.partitionBy("account_id").orderBy(
         F.round("delta", 12).desc(), F.col("t").desc(), F.col("req_id").desc())
     return (scored.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") == 1)
@@ -104,7 +100,8 @@ def subject_impact(logs: FactLogs, model: LinearModel, subjects: DataFrame, basi
     pending = logs.pendings(basis).select("id", "account_id", "txn_ts")
     sizes = pending.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_account"))
     own = pending.select(F.col("id").alias("req_id"), F.lit(True).alias("self_pending"))
-    return (_moved(_vectors(subjects, logs, basis, pending, windows), model)
+    vectors = serve(requests_from(subjects), logs, basis, windows, extra=[pending_before(pending)])
+    return (_moved(vectors, model)
             .join(sizes, "account_id", "left").join(own, "req_id", "left")
             .select("account_id", F.col("req_id").alias("txn_id"), F.col("t").alias("valid_time"), "amount", "country",
                     "before", "after", "delta", "n", F.coalesce("n_account", F.lit(0)).alias("n_account"),
@@ -138,29 +135,25 @@ def replay(logs: FactLogs, model: LinearModel, subjects: DataFrame, confirmed_at
     """Confirm all pending chargebacks of the subjects' accounts at `confirmed_at`, and
     score each subject before, after, and rewound to the microsecond before the commit.
 
-    All three are read from the logs with the same model; nothing is derived from another.
-    Subjects of accounts with nothing pending come back unchanged, with zero counts.
+    Each prior-fraud count is read from the logs at its own basis with the same model;
+    none is derived from another. The commit holds no transactions or account versions,
+    so the other features are read once. Subjects of accounts with nothing pending come
+    back unchanged, with zero counts.
     """
     accounts = subjects.select("account_id").distinct()
     pending = logs.pendings(basis).join(accounts, "account_id", "left_semi")
     labels, deletes = confirm_facts(pending, confirmed_at)
     confirmed = logs.learn(label=labels, pending=deletes)
-    rewound = Basis(system_at=confirmed_at - timedelta(microseconds=1))
-
-    def read(facts, at_basis, name, requests):
-        vector = serve(requests, facts, at_basis, windows, labelled_only=False)
-        return vector.select(*requests.columns, model.prob().alias(name),
-                             F.col("prior_confirmed_fraud").alias(f"pcf_{name}"))
-
+    rewound = Basis(system_at=confirmed_at - US)
+    reads = {"after": current_frauds(confirmed, Basis()), "reproduced": current_frauds(confirmed, rewound)}
+    vector = serve(
+        requests_from(subjects), logs, basis, windows, labelled_only=False,
+        extra=[pending_before(pending, "n_prior")] + [Trailing(n, windows.fraud, facts=f) for n, f in reads.items()])
+    pcf = {"before": F.col("prior_confirmed_fraud"), "after": F.col("n_after"), "reproduced": F.col("n_reproduced")}
     sizes = pending.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_confirmed"))
-    spans = pending.select("account_id", after("txn_ts", US).alias("start"), F.lit(None).cast("timestamp").alias("stop"))
-    out = point_in_time(requests_from(subjects), [Active(spans, {"n_prior": ("start", "stop")})],
-                        at="t", pane=windows.pane)
-    out = read(logs, basis, "before", out)
-    out = read(confirmed, Basis(), "after", out)
-    out = read(confirmed, rewound, "reproduced", out)
-    return out.join(sizes, "account_id", "left").select(
-        F.col("req_id").alias("txn_id"), "account_id", "before", "after", "reproduced",
-        "pcf_before", "pcf_after", "pcf_reproduced",
+    return vector.join(sizes, "account_id", "left").select(
+        F.col("req_id").alias("txn_id"), "account_id",
+        *[model.prob(prior_confirmed_fraud=c).alias(n) for n, c in pcf.items()],
+        *[c.alias(f"pcf_{n}") for n, c in pcf.items()],
         F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), "n_prior",
         F.lit(model.version).alias("model_version"))

@@ -169,17 +169,17 @@ def training_set(
 
 
 def serve(requests: DataFrame, logs: FactLogs, basis: Basis = Basis(), windows: Windows = Windows(), *,
-          labelled_only: bool = True) -> DataFrame:
+          labelled_only: bool = True, extra: list[Active | Trailing] = ()) -> DataFrame:
     """Feature vector of each request (req_id, account_id, t, amount, country) at its own
     instant, with the labels current at the basis.
 
     `labelled_only` reads history through an inner join with the labels, as the one-query
     form does; without it velocity and baseline see every transaction, as the feature by
-    feature form does. Both agree when every transaction has a label.
+    feature form does. Both agree when every transaction has a label. `extra` counts ride
+    along in the same scan.
     """
     txn = logs.transactions(basis).select("id", "account_id", F.col("txn_ts").alias("t"), "amount")
-    labels = logs.labels(basis).select("id", "is_fraud")
-    labelled = txn.join(labels, "id")
+    labelled = txn.join(logs.labels(basis).select("id", "is_fraud"), "id")
     facts = labelled if labelled_only else txn
     homes = logs.account_timeline(basis).select(
         F.col("id").alias("account_id"), "home_country", "valid_from", F.col("valid_to").alias("until"))
@@ -188,15 +188,22 @@ def serve(requests: DataFrame, logs: FactLogs, basis: Basis = Basis(), windows:
         [Trailing("velocity", windows.velocity, facts=facts, value="amount"),
          Trailing("baseline", windows.baseline, facts=facts, value="amount", moments=True),
          Trailing("fraud", windows.fraud, facts=labelled.filter("is_fraud")),
-         Latest("account_version", homes, ("home_country", "until"))],
+         Latest("account_version", homes, ("home_country", "until")), *extra],
         at="t", pane=windows.pane)
     alive = F.col("account_version.until").isNull() | (F.col("t") < F.col("account_version.until"))
     scanned = (_named(scanned).withColumnRenamed("n_fraud", "prior_confirmed_fraud")
                .withColumn("account_version", F.when(alive, F.col("account_version"))))
-    return scanned.select(*requests.columns, "n_30d", "mean_30d", "std_30d",
+    counts = [n for m in extra for n in (m.spans if isinstance(m, Active) else [f"n_{m.name}"])]
+    return scanned.select(*requests.columns, "n_30d", "mean_30d", "std_30d", *counts,
                           *[s.value.alias(s.name) for s in feature_specs()])
 
 
+def current_frauds(logs: FactLogs, basis: Basis) -> DataFrame:
+    """Transactions whose label at the basis is fraud, as facts at their own instant."""
+    frauds = logs.labels(basis).filter("is_fraud").select("id")
+    return logs.transactions(basis).select("id", "account_id", F.col("txn_ts").alias("t")).join(frauds, "id")
+
+
 def requests_from(txn: DataFrame) -> DataFrame:
     """Each transaction as a scoring request at its own instant."""
     return txn.select(F.col("id").alias("req_id"), "account_id", F.col("txn_ts").alias("t"), "amount", "country")

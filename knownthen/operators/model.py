@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from knownthen.functions.rules import logistic, verdict
 from knownthen.operators.features import FEATURES
 from knownthen.operators.paned import numbered, running_total
+from knownthen.sources.shared import written
 
 TEST_SHARE = 0.3
 MIN_TRAINING_FRAUDS = 5
@@ -96,32 +97,29 @@ def class_counts(training: DataFrame) -> DataFrame:
 def fit(training: DataFrame, version: str) -> LinearModel:
     """Standardise by population deviation, balance the classes, fit with an L2 penalty of
     1 on the summed loss, and measure AUC on the held-out part."""
-    parts = split(training.select("id", "label", *[F.col(f).cast("double").alias(f) for f in FEATURES]))
-    parts = parts.persist()
-    try:
-        train = parts.filter(~F.col("is_test"))
-        stats = train.agg(
-            F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"),
-            *[F.avg(f).alias(f"m_{f}") for f in FEATURES],
-            *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES]).first()
-        n, pos = stats["n"], stats["pos"]
-        mean = tuple(stats[f"m_{f}"] for f in FEATURES)
-        scale = tuple(stats[f"s_{f}"] or 1.0 for f in FEATURES)
-        weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-        scaled = train.select(
-            F.col("label").cast("double").alias("label"), weight.alias("weight"),
-            *[((F.col(f) - mean[i]) / scale[i]).alias(f) for i, f in enumerate(FEATURES)])
-        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled)
-        lr = LogisticRegression(weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0,
-                                standardization=False, maxIter=1000, tol=1e-10)
-        fitted = lr.fit(vectors)
-        model = LinearModel(version, mean, scale, tuple(float(c) for c in fitted.coefficients),
-                            float(fitted.intercept))
-        sizes = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
-        held_out = auc(scored(parts.filter("is_test"), model)).first()["auc"]
-        return LinearModel(**{**asdict(model), "auc": held_out, "n_train": sizes["n"], "n_fraud": sizes["pos"]})
-    finally:
-        parts.unpersist()
+    rows = written(training.select("id", "label", *[F.col(f).cast("double").alias(f) for f in FEATURES]), "extract")
+    parts = written(split(rows), "training")  # extracted once, read by every pass below
+    train = parts.filter(~F.col("is_test"))
+    stats = train.agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"),
+        *[F.avg(f).alias(f"m_{f}") for f in FEATURES],
+        *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES]).first()
+    n, pos = stats["n"], stats["pos"]
+    mean = tuple(stats[f"m_{f}"] for f in FEATURES)
+    scale = tuple(stats[f"s_{f}"] or 1.0 for f in FEATURES)
+    weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
+    scaled = train.select(
+        F.col("label").cast("double").alias("label"), weight.alias("weight"),
+        *[((F.col(f) - mean[i]) / scale[i]).alias(f) for i, f in enumerate(FEATURES)])
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled)
+    lr = LogisticRegression(weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0,
+                            standardization=False, maxIter=1000, tol=1e-10)
+    fitted = lr.fit(vectors)
+    model = LinearModel(version, mean, scale, tuple(float(c) for c in fitted.coefficients),
+                        float(fitted.intercept))
+    sizes = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
+    held_out = auc(scored(parts.filter("is_test"), model)).first()["auc"]
+    return LinearModel(**{**asdict(model), "auc": held_out, "n_train": sizes["n"], "n_fraud": sizes["pos"]})
 
 
 def train(training: DataFrame, version: str) -> LinearModel | None:

@@ -263,6 +263,9 @@ REGISTRY = base() + """, registry AS (
 """
 
 
+NEXT_COMMIT = f"(SELECT greatest({NOW}, max(system_from) + INTERVAL 1 MICROSECOND) FROM label_log)"
+
+
 def commit(stamp: str, due: str) -> str:
     return base() + f"""SELECT 'label' AS table_name, true AS is_fraud, id, {stamp} AS valid_from, {stamp} AS system_from, 'put' AS op
 FROM pending WHERE {due}
@@ -428,7 +431,7 @@ SELECT account_id, req_id AS txn_id, t AS valid_time, {r("amount")} AS amount, c
   {r(prob("(prior_confirmed_fraud + n)"))} AS after, {r(prob("(prior_confirmed_fraud + n)") + " - " + prob())} AS delta, n,
   (SELECT count(*) FROM pending b WHERE b.account_id = moved.account_id) AS n_account,
   req_id IN (SELECT id FROM pending) AS self_pending, 'fixed-1' AS model_version FROM moved""",
-        "confirm_account": commit(NOW, "true"),
+        "confirm_account": commit(NEXT_COMMIT, "true"),
         "settle_due": commit(f"({NOW} + INTERVAL 4 DAY)", f"due <= {NOW} + INTERVAL 4 DAY"),
         "replay_before_after": replay(),
         "unlabelled_txns": base() + GAPPED + """SELECT t.id, t.account_id, t.txn_ts FROM txn t

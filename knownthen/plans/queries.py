@@ -45,6 +45,10 @@ def logs_of(spark: SparkSession, sf: str):
     return fact_logs(spark, sf)
 
 
+def commit_time(logs):
+    return facts.next_commit(NOW, logs.txn, logs.label, logs.pending)
+
+
 def txn_of(logs):
     return logs.transactions(LATEST)
 
@@ -449,7 +453,8 @@ def subject_impact(spark, sf):
 
 def confirm_account(spark, sf):
     """The facts of one commit that confirms every pending chargeback."""
-    labels, deletes = audit.confirm_facts(logs_of(spark, sf).pendings(LATEST), NOW)
+    logs = logs_of(spark, sf)
+    labels, deletes = audit.confirm_facts(logs.pendings(LATEST), commit_time(logs))
     return _commit(labels, deletes)
 
 
@@ -468,7 +473,7 @@ def _commit(labels, deletes):
 
 def replay_before_after(spark, sf):
     logs = logs_of(spark, sf)
-    return audit.replay(logs, MODEL, audit.newest_per_account(txn_of(logs), 1), NOW)
+    return audit.replay(logs, MODEL, audit.newest_per_account(txn_of(logs), 1), commit_time(logs))
 
 
 # --- quality ----------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -69,6 +69,15 @@ def latest_commit(*logs: DataFrame) -> DataFrame:
     return stamps.agg(F.max("system_from").alias("latest_commit"))
 
 
+def next_commit(now: datetime, *logs: DataFrame) -> datetime:
+    """System time of the next commit: now, or just after the last one if that is not past."""
+    micros = latest_commit(*logs).select(F.unix_micros("latest_commit")).first()[0]
+    if micros is None:
+        return now
+    last = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
+    return max(now, last + timedelta(microseconds=1))
+
+
 def append_facts(facts: DataFrame, path: str, system_time: datetime) -> None:
     """Commit a batch to the log at `path`, every row stamped with one system time.
 
