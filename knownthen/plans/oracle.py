@@ -47,11 +47,12 @@ all_labels AS (
   UNION ALL SELECT id, true, seen + INTERVAL 1 DAY, NULL, confirmed + INTERVAL 6 DAY, 2, 'put', 'corrected' FROM truth WHERE fraud AND k % 11 = 0),
 label_log AS (SELECT * FROM all_labels WHERE kind = 'replayed' AND system_from <= {NOW} AND system_from <= {at}),
 corrected_log AS (SELECT * FROM all_labels WHERE system_from <= {NOW} AND system_from <= {at}),
-account_log AS (
+account_log AS (SELECT * FROM (
   SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS home_country, c_mktsegment AS tier,
          TIMESTAMP '2023-01-01' AS valid_from FROM customer
   UNION ALL SELECT c_custkey, c_name, CAST((c_nationkey + 1) % 25 AS BIGINT), c_mktsegment,
-         TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 30 AS INTEGER)) FROM customer WHERE c_custkey % 4 = 0),
+         TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 30 AS INTEGER)) FROM customer WHERE c_custkey % 4 = 0)
+  WHERE valid_from <= {at}),
 txn AS (SELECT * FROM txn_log WHERE system_from <= {at}),
 label AS (
   SELECT id, is_fraud, system_from FROM label_log
@@ -63,7 +64,6 @@ label_held AS (
 account_held AS (
   SELECT a.id, a.name, a.home_country, a.tier, a.valid_from, min(b.valid_from) AS valid_to
   FROM account_log a LEFT JOIN account_log b ON b.id = a.id AND b.valid_from > a.valid_from
-  WHERE a.valid_from <= {at} AND (b.valid_from IS NULL OR b.valid_from <= {at} OR true)
   GROUP BY ALL),
 pending AS (
   SELECT id, account_id, txn_ts, due FROM truth
