@@ -13,12 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import timedelta
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from knownthen.functions.clock import DAY, micros, pane_of, width_us
+from knownthen.functions.clock import DAY, width_us
 
-FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
+FIRST = Window.unboundedPreceding
 
 _KEY, _PANE, _AT, _KIND, _X, _ROW = "__key", "__pane", "__at", "__kind", "__x", "__row"
 _ANCHOR = 0
@@ -81,192 +82,158 @@ def point_in_time(
     for m in trailing:
         if width_us(m.width) % width_us(pane):
             raise ValueError(f"{m.name}: width {m.width} is not a whole number of panes of {pane}")
-    own_value = {m.value for m in trailing if m.facts is None and m.value}
-    if len(own_value) > 1:
+    own_values = {m.value for m in trailing if m.facts is None and m.value}
+    if len(own_values) > 1:
         raise ValueError("anchors can contribute one value column")
 
-    codes = iter(range(1, 1_000_000))
+    kinds = count(1)
+    step = width_us(pane)
+    instant = f"unix_micros(`{at}`)"
+    slot = {m.name: f"__v{i}" for i, m in enumerate(latest)}
+    nothing = {m.name: F.lit(None).cast(m.versions.select(*m.columns).schema).alias(slot[m.name]) for m in latest}
+    no_row = F.lit(None).cast(anchors.schema).alias(_ROW)
+
+    def contribution(df, copies, *, row=None, version=None):
+        """One row (key, at, pane, kind, x, versions, row) per copy (kind, instant, x)."""
+        copied = ", ".join(f"named_struct('kind', {k}, 'at', {t}, 'x', CAST({x} AS DOUBLE))" for k, t, x in copies)
+        wide = df.select(
+            F.col(key).alias(_KEY), F.expr(f"explode(array({copied}))").alias("__c"),
+            *[F.struct(*m.columns).alias(slot[m.name]) if version is m else nothing[m.name] for m in latest],
+            no_row if row is None else row.alias(_ROW))
+        return wide.selectExpr(
+            _KEY, f"__c.at AS {_AT}", f"(__c.at - pmod(__c.at, {step})) div {step} AS {_PANE}",
+            f"__c.kind AS {_KIND}", f"__c.x AS {_X}", *slot.values(),
+            _ROW if row is None else f"CASE WHEN __c.kind = {_ANCHOR} THEN {_ROW} END AS {_ROW}",
+        ).where(f"{_AT} IS NOT NULL AND {_KEY} IS NOT NULL")
+
     head: dict[str, int] = {}
     tail: dict[str, int] = {}
     code: dict[str, int] = {}
-    versions_col = {m.name: f"__v{i}" for i, m in enumerate(latest)}
 
-    def contribution(df, kind_at, x, row=None, version=None):
-        """Rows (key, at, kind, x, versions, row) with one copy per (kind, instant)."""
-        copies = F.explode(F.array(*[
-            F.struct(F.lit(k).alias("kind"), t.alias("at"), v.alias("x")) for k, t, v in
-            [(k, t, x if x2 is None else x2) for k, t, x2 in kind_at]]))
-        wide = df.select(
-            F.col(key).alias(_KEY), copies.alias("c"),
-            *[(F.struct(*m.columns) if version is m else F.lit(None).cast(_struct_type(m))).alias(versions_col[m.name])
-              for m in latest],
-            (F.struct(*anchors.columns) if row else F.lit(None).cast(_row_type(anchors))).alias(_ROW))
-        return wide.select(
-            _KEY, F.col("c.at").alias(_AT), pane_of(F.col("c.at"), pane).alias(_PANE),
-            F.col("c.kind").alias(_KIND), F.col("c.x").alias(_X), *versions_col.values(),
-            F.when(F.col("c.kind") == _ANCHOR, F.col(_ROW)).alias(_ROW) if row else F.col(_ROW),
-        ).filter(F.col(_AT).isNotNull())
-
-    none = F.lit(None).cast("double")
-    parts = []
-
-    # anchors, doubling as their own facts where asked
+    def entering_and_leaving(group, h, value):
+        copies = [(h, instant, value)]
+        for m in group:
+            head[m.name], tail[m.name] = h, next(kinds)
+            copies.append((tail[m.name], f"{instant} + {width_us(m.width)}", value))
+        return copies
+
+    # anchors, doubling as their own facts where asked; then other facts, with one set of
+    # head rows for all windows over the same frame and value
     own = [m for m in trailing if m.facts is None]
-    copies = [(_ANCHOR, micros(at), None)]
-    for m in own:
-        head[m.name] = _ANCHOR
-        tail[m.name] = next(codes)
-        copies.append((tail[m.name], micros(at) + F.lit(width_us(m.width)), None))
-    own_x = F.col(next(iter(own_value))).cast("double") if own_value else none
-    parts.append(contribution(anchors, copies, own_x, row=True))
-
-    # other facts; windows over the same frame and value share their head rows
+    own_value = f"`{own_values.pop()}`" if own_values else "NULL"
+    parts = [contribution(anchors, entering_and_leaving(own, _ANCHOR, own_value), row=F.struct(*anchors.columns))]
     shared: dict[tuple, list[Trailing]] = {}
     for m in trailing:
         if m.facts is not None:
             shared.setdefault((id(m.facts), m.value), []).append(m)
     for group in shared.values():
-        facts, value = group[0].facts, group[0].value
-        h = next(codes)
-        copies = [(h, micros(at), None)]
-        for m in group:
-            head[m.name], tail[m.name] = h, next(codes)
-            copies.append((tail[m.name], micros(at) + F.lit(width_us(m.width)), None))
-        parts.append(contribution(facts, copies, F.col(value).cast("double") if value else none))
-
-    counted = []
+        value = f"`{group[0].value}`" if group[0].value else "NULL"
+        parts.append(contribution(group[0].facts, entering_and_leaving(group, next(kinds), value)))
     for m in active:
         copies = []
         for name, (start, stop) in m.spans.items():
-            counted.append(name)
-            code[name] = next(codes)
-            copies += [(code[name], micros(start), F.lit(1.0)),
-                       (code[name], F.when(F.col(start).isNotNull(), micros(stop)), F.lit(-1.0))]
-        parts.append(contribution(m.intervals, copies, none))
+            code[name] = k = next(kinds)
+            copies += [(k, f"unix_micros(`{start}`)", 1),
+                       (k, f"CASE WHEN `{start}` IS NOT NULL THEN unix_micros(`{stop}`) END", -1)]
+        parts.append(contribution(m.intervals, copies))
+    counted = list(code)
     for m in latest:
-        code[m.name] = next(codes)
-        parts.append(contribution(m.versions, [(code[m.name], micros(m.start), None)], none, version=m))
-
-    rows = reduce(DataFrame.unionByName, parts).filter(F.col(_KEY).isNotNull()).repartition(_KEY, _PANE)
-
-    # inside the pane
-    pane_part = Window.partitionBy(_KEY, _PANE)
-    earlier = pane_part.orderBy(_AT).rangeBetween(FIRST, -1)
-    until = pane_part.orderBy(_AT).rangeBetween(FIRST, 0)
-    unexpired = pane_part.orderBy(F.col(_AT).desc()).rangeBetween(FIRST, 0)
-
-    scanned = rows.select(
-        "*",
-        *_unique(c for m in trailing for c in _state(head[m.name], m.moments, f"__h{head[m.name]}", earlier)),
-        *[F.sum(F.when(F.col(_KIND) == code[n], F.col(_X))).over(until).alias(f"__a_{n}") for n in counted],
-        *[F.last(versions_col[m.name], ignorenulls=True).over(until).alias(f"__l_{m.name}") for m in latest],
-    )
-    if trailing:
-        scanned = scanned.select("*", *[c for m in trailing
-                                        for _, c in _state(tail[m.name], m.moments, f"__t{tail[m.name]}", unexpired)])
-
-    # one row per pane of a key, then what lies before it
+        code[m.name] = k = next(kinds)
+        parts.append(contribution(m.versions, [(k, f"unix_micros(`{m.start}`)", "NULL")], version=m))
+    rows = reduce(DataFrame.unionByName, parts).repartition(_KEY, _PANE)
+
+    # inside the pane: what came before, and what has not expired yet
+    in_pane = f"PARTITION BY {_KEY}, {_PANE} ORDER BY {_AT}"
+    earlier = f"OVER ({in_pane} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    until = f"OVER ({in_pane} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    unexpired = f"OVER ({in_pane} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     heads = sorted(set(head.values()))
-    with_moments = {h for m in trailing if m.moments for h in [head[m.name]]}
-    panes = rows.groupBy(_KEY, _PANE).agg(
-        F.count(_ROW).alias("__anchors"),
-        *[c for h in heads for _, c in _state(h, h in with_moments, f"__p{h}")],
-        *[F.sum(F.when(F.col(_KIND) == code[n], F.col(_X))).alias(f"__a_{n}") for n in counted],
-        *[F.when(F.max(_since(code[m.name])).isNotNull(), F.struct(*[
-            F.max_by(f"{versions_col[m.name]}.{c}", _since(code[m.name])).alias(c) for c in m.columns])
-        ).alias(f"__l_{m.name}") for m in latest],
-    )
-    of_key = Window.partitionBy(_KEY)
-    centre = {h: F.sum(F.col(f"__p{h}_n") * F.col(f"__p{h}_mean")).over(of_key)
-              / F.nullif(F.sum(f"__p{h}_n").over(of_key), F.lit(0)) for h in with_moments}
-    panes = panes.select("*", *[c.alias(f"__c{h}") for h, c in centre.items()])
-    past = of_key.orderBy(_PANE).rowsBetween(FIRST, -1)
-    panes = panes.select(
-        _KEY, _PANE, "__anchors",
-        *[c for m in trailing for c in _between(m, head[m.name], width_us(m.width) // width_us(pane), of_key)],
-        *[F.sum(f"__a_{n}").over(past).alias(f"__b_{n}") for n in counted],
-        *[F.last(f"__l_{m.name}", ignorenulls=True).over(past).alias(f"__k_{m.name}") for m in latest],
-    ).filter(F.col("__anchors") > 0)
-
-    joined = scanned.filter(F.col(_KIND) == _ANCHOR).join(panes, [_KEY, _PANE], "left")
+    with_moments = {head[m.name] for m in trailing if m.moments}
+    scanned = rows.selectExpr(
+        "*", *[c for h in heads for c in _state(h, h in with_moments, f"__h{h}", earlier)],
+        *[f"sum({_of(code[n])}) {until} AS __a_{n}" for n in counted],
+        *[f"last({slot[m.name]}, true) {until} AS __l_{m.name}" for m in latest])
+    if trailing:
+        scanned = scanned.selectExpr(
+            "*", *[c for m in trailing for c in _state(tail[m.name], m.moments, f"__t_{m.name}", unexpired)])
+
+    # one row per pane of a key, then what the panes before it add
+    panes = rows.groupBy(_KEY, _PANE).agg(*map(F.expr, [
+        f"count({_ROW}) AS __anchors",
+        *[c for h in heads for c in _state(h, h in with_moments, f"__p{h}")],
+        *[f"sum({_of(code[n])}) AS __a_{n}" for n in counted],
+        *[_newest(m, slot[m.name], code[m.name]) for m in latest]]))
+    of_key = f"PARTITION BY {_KEY}"
+    past = f"OVER ({of_key} ORDER BY {_PANE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    panes = panes.selectExpr("*", *[
+        f"sum(__p{h}_n * __p{h}_mean) OVER ({of_key}) / nullif(sum(__p{h}_n) OVER ({of_key}), 0) AS __c{h}"
+        for h in sorted(with_moments)])
+    panes = panes.selectExpr(
+        _KEY, _PANE, "__anchors", *[c for m in trailing for c in _between(m, head[m.name], m.width // pane, of_key)],
+        *[f"sum(__a_{n}) {past} AS __b_{n}" for n in counted],
+        *[f"last(__l_{m.name}, true) {past} AS __k_{m.name}" for m in latest]).where("__anchors > 0")
+
+    joined = scanned.where(f"{_KIND} = {_ANCHOR}").join(panes, [_KEY, _PANE], "left")
     out = []
     for m in trailing:
-        h, t, b = f"__h{head[m.name]}", f"__t{tail[m.name]}", f"__m_{m.name}"
-        n = sum((_zero(f"{p}_rows") for p in (h, t, b)), F.lit(0))
-        if not m.moments:
-            out.append(n.cast("long").alias(f"n_{m.name}"))
-        else:
-            out.extend(_moments(m.name, (h, t, b)))
-    for n in counted:
-        out.append((_zero(f"__a_{n}") + _zero(f"__b_{n}")).cast("long").alias(n))
-    for m in latest:
-        out.append(F.coalesce(f"__l_{m.name}", f"__k_{m.name}").alias(m.name))
-    return joined.select(f"{_ROW}.*", *out)
-
-
-def _since(kind: int) -> Column:
-    return F.when(F.col(_KIND) == kind, F.col(_AT))
-
-
-def _struct_type(m: Latest):
-    return m.versions.select(*m.columns).schema
+        out += _merged(m, (f"__h{head[m.name]}", f"__t_{m.name}", f"__m_{m.name}"))
+    out += [f"CAST(coalesce(__a_{n}, 0) + coalesce(__b_{n}, 0) AS BIGINT) AS `{n}`" for n in counted]
+    out += [f"coalesce(__l_{m.name}, __k_{m.name}) AS `{m.name}`" for m in latest]
+    return joined.selectExpr(f"{_ROW}.*", *out)
 
 
-def _row_type(df: DataFrame):
-    return df.schema
+def _of(kind: int) -> str:
+    return f"CASE WHEN {_KIND} = {kind} THEN {_X} END"
 
 
-def _zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
-
+def _state(kind: int, moments: bool, prefix: str, over: str = "") -> list[str]:
+    """Rows of one kind and, with moments, mergeable count, mean and spread of their value."""
+    cols = {"rows": f"count(CASE WHEN {_KIND} = {kind} THEN 1 END)"}
+    if moments:
+        x = _of(kind)
+        cols |= {"n": f"count({x})", "mean": f"avg({x})", "var": f"var_pop({x})", "lo": f"min({x})", "hi": f"max({x})"}
+    return [f"{c} {over} AS {prefix}_{name}" for name, c in cols.items()]
 
-def _unique(named):
-    return list(dict(named).values())
 
+def _newest(m: Latest, slot: str, kind: int) -> str:
+    """Columns of the pane's last version; plain maxima keep the aggregation hashed."""
+    since = f"CASE WHEN {_KIND} = {kind} THEN {_AT} END"
+    fields = ", ".join(f"'{c}', max_by({slot}.`{c}`, {since})" for c in m.columns)
+    return f"CASE WHEN max({since}) IS NOT NULL THEN named_struct({fields}) END AS __l_{m.name}"
 
-def _state(kind: int, moments: bool, prefix: str, over=None):
-    """Rows of one kind and, with moments, mergeable count/mean/spread of their value."""
-    mine = F.col(_KIND) == kind
-    x = F.when(mine, F.col(_X))
-    cols = {"rows": F.count(F.when(mine, 1))}
-    if moments:
-        cols |= {"n": F.count(x), "mean": F.avg(x), "var": F.var_pop(x), "lo": F.min(x), "hi": F.max(x)}
-    return [(f"{prefix}_{k}", (c.over(over) if over is not None else c).alias(f"{prefix}_{k}"))
-            for k, c in cols.items()]
 
-
-def _between(m: Trailing, h: int, panes: int, of_key) -> list[Column]:
+def _between(m: Trailing, h: int, panes: int, of_key: str) -> list[str]:
     """State of the whole panes strictly between the window's first and last pane."""
-    b, p = f"__m_{m.name}", f"__p{h}"
+    p, out = f"__p{h}", f"__m_{m.name}"
     if panes < 2:
-        cols = {"rows": F.lit(0)}
+        cols = {"rows": "0"}
+        if m.moments:
+            cols |= {"n": "0", "mean": "0D", "var": "0D", "lo": "CAST(NULL AS DOUBLE)", "hi": "CAST(NULL AS DOUBLE)"}
+    else:
+        over = f"OVER ({of_key} ORDER BY {_PANE} RANGE BETWEEN {panes - 1} PRECEDING AND 1 PRECEDING)"
+        cols = {"rows": f"sum({p}_rows) {over}"}
         if m.moments:
-            cols |= {"n": F.lit(0), "mean": F.lit(0.0), "var": F.lit(0.0),
-                     "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")}
-        return [c.alias(f"{b}_{k}") for k, c in cols.items()]
-    frame = of_key.orderBy(_PANE).rangeBetween(-(panes - 1), -1)
-    cols = {"rows": F.sum(f"{p}_rows").over(frame)}
-    if m.moments:
-        # deviations from the key's own mean keep the sums small
-        n, d = F.col(f"{p}_n"), F.col(f"{p}_mean") - F.col(f"__c{h}")
-        total = F.nullif(F.sum(n).over(frame), F.lit(0))
-        shift = F.sum(n * d).over(frame) / total
-        spread = F.sum(n * (F.col(f"{p}_var") + d * d)).over(frame) / total - shift * shift
-        cols |= {"n": F.sum(n).over(frame), "mean": F.col(f"__c{h}") + shift,
-                 "var": F.greatest(spread, F.lit(0.0)),
-                 "lo": F.min(f"{p}_lo").over(frame), "hi": F.max(f"{p}_hi").over(frame)}
-    return [c.alias(f"{b}_{k}") for k, c in cols.items()]
-
-
-def _moments(name: str, parts: tuple[str, ...]) -> list[Column]:
-    n = sum((_zero(f"{p}_n") for p in parts), F.lit(0))
-    mean = sum((_zero(f"{p}_n") * _zero(f"{p}_mean") for p in parts), F.lit(0.0)) / F.nullif(n, F.lit(0))
-    m2 = sum((_zero(f"{p}_n") * (_zero(f"{p}_var") + (_zero(f"{p}_mean") - mean) * (_zero(f"{p}_mean") - mean))
-              for p in parts), F.lit(0.0))
-    lo, hi = F.least(*[f"{p}_lo" for p in parts]), F.greatest(*[f"{p}_hi" for p in parts])
+            # deviations from the key's own mean keep the sums small
+            d, n = f"({p}_mean - __c{h})", f"nullif(sum({p}_n) {over}, 0)"
+            shift = f"(sum({p}_n * {d}) {over} / {n})"
+            cols |= {"n": f"sum({p}_n) {over}", "mean": f"__c{h} + {shift}",
+                     "var": f"greatest(0D, sum({p}_n * ({p}_var + {d} * {d})) {over} / {n} - {shift} * {shift})",
+                     "lo": f"min({p}_lo) {over}", "hi": f"max({p}_hi) {over}"}
+    return [f"{c} AS {out}_{name}" for name, c in cols.items()]
+
+
+def _merged(m: Trailing, parts: tuple[str, ...]) -> list[str]:
+    """Columns of one window from its three disjoint parts."""
+    total = lambda f: "(" + " + ".join(f.format(p=p) for p in parts) + ")"
+    if not m.moments:
+        return [f"CAST({total('coalesce({p}_rows, 0)')} AS BIGINT) AS `n_{m.name}`"]
+    n = total("coalesce({p}_n, 0)")
+    mean = f"({total('coalesce({p}_n * {p}_mean, 0D)')} / nullif({n}, 0))"
+    m2 = total(f"coalesce({{p}}_n * ({{p}}_var + ({{p}}_mean - {mean}) * ({{p}}_mean - {mean})), 0D)")
+    lo, hi = (f"{f}({', '.join(f'{p}_{c}' for p in parts)})" for f, c in (("least", "lo"), ("greatest", "hi")))
     # equal values have no spread at all, whatever the rounding of the partial means
-    std = F.when(n < 2, None).when(lo == hi, F.lit(0.0)).otherwise(F.sqrt(m2 / F.nullif(n - 1, F.lit(0))))
-    return [n.cast("long").alias(f"n_{name}"), mean.alias(f"mean_{name}"), std.alias(f"std_{name}")]
+    std = f"CASE WHEN {n} < 2 THEN NULL WHEN {lo} = {hi} THEN 0D ELSE sqrt({m2} / nullif({n} - 1, 0)) END"
+    return [f"CAST({n} AS BIGINT) AS `n_{m.name}`", f"{mean} AS `mean_{m.name}`", f"{std} AS `std_{m.name}`"]
 
 
 # --- row-to-row scans --------------------------------------------------------------
@@ -282,7 +249,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], pane: Column
     carry = totals.select(*keys, _PANE, F.sum("__sum").over(past).alias("__carry"))
     return (df.withColumn(out, F.sum(_X).over(inside))
             .join(carry, [*keys, _PANE], "left")
-            .withColumn(out, F.col(out) + _zero("__carry"))
+            .withColumn(out, F.col(out) + F.coalesce("__carry", F.lit(0)))
             .drop(_PANE, _X, "__carry"))
 
 

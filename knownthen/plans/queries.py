@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,8 +42,14 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*[casts.get(t, lambda c: c)(F.col(c)).alias(c) for c, t in df.dtypes])
 
 
+@lru_cache(maxsize=8)
+def _logs(application: str, sf: str):
+    return fact_logs(SparkSession.active(), sf)
+
+
 def logs_of(spark: SparkSession, sf: str):
-    return fact_logs(spark, sf)
+    """The logs of a folder; the lazy plans are built once per application."""
+    return _logs(spark.sparkContext.applicationId, sf)
 
 
 def commit_time(logs):
@@ -233,8 +240,7 @@ def pcf_compare(spark, sf):
 
 def pcf_corrected(spark, sf):
     """With bounded corrections and late imports in the label history."""
-    logs = fact_logs(spark, sf)
-    logs = replace(logs, label=given.corrected_labels(read(spark, sf, "events")), replayed=False)
+    logs = replace(logs_of(spark, sf), label=given.corrected_labels(read(spark, sf, "events")), replayed=False)
     return prior_fraud(logs, LATEST).select("id", KNOWN_THEN, HINDSIGHT)
 
 
