@@ -78,7 +78,7 @@ def impact_per_account(logs: FactLogs, model: LinearModel, horizon: datetime, ba
     sizes = burst.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_account"))
     recent = logs.transactions(basis).filter(F.col("txn_ts") > at(horizon - LOOKBACK))
     subjects = newest_per_account(recent.join(sizes.select("account_id"), "account_id", "left_semi"), CANDIDATES)
-    vectors = serve(requests_from(subjects), logs, basis, windows, extra=[pending_before(burst)])
+    vectors = serve(requests_from(subjects), logs.around(sizes), basis, windows, extra=[pending_before(burst)])
     scored = _moved(vectors, model).filter(F.col("n") > 0)
     best = Window.partitionBy("account_id").orderBy(
         F.round("delta", 12).desc(), F.col("t").desc(), F.col("req_id").desc())

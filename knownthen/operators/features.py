@@ -13,6 +13,7 @@ from knownthen.functions.rules import as_flag, foreign_flag, zscore
 from knownthen.operators.paned import Active, Latest, Trailing, point_in_time
 from knownthen.operators.temporal import Basis
 from knownthen.sources.facts import FactLogs
+from knownthen.sources.shared import written
 
 FEATURES = ("amount_zscore", "txn_count_24h", "foreign", "prior_confirmed_fraud")
 KNOWN_THEN = "prior_confirmed_fraud_as_known_then"
@@ -137,7 +138,7 @@ def training_set(
         trailing = [Trailing("velocity", windows.velocity), Trailing("baseline", windows.baseline, **moments)]
         frauds = prior_fraud_measure(txn, histories, windows.fraud)
     else:
-        # pick the anchors once, then read only the history of their accounts
+        # pick the anchors once (written: `limit` rows), then read only their accounts' history
         lives = homes.select("account_id", "valid_from", "until")
         labelled = recent.join(labels, "id").alias("t")
         alive = labelled.join(
@@ -146,7 +147,7 @@ def training_set(
             & (F.col("v.until").isNull() | (F.col("t.txn_ts") < F.col("v.until"))), "left_semi")
         if since is not None:
             alive = alive.filter(F.col("txn_ts") >= at(since))
-        base = newest(alive, limit)
+        base = written(newest(alive, limit), "anchors")
         accounts = base.select("account_id").distinct()
         facts = recent.join(accounts, "account_id", "left_semi")
         history = txn.join(accounts, "account_id", "left_semi")

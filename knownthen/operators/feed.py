@@ -96,10 +96,10 @@ def score_moves(before_scores: DataFrame, after_scores: DataFrame) -> DataFrame:
 
 
 def status(logs: FactLogs, basis: Basis, now: datetime) -> DataFrame:
-    txn = logs.transactions(basis).agg(F.count(F.lit(1)).alias("n_txn"))
-    fraud = logs.labels(basis).agg(F.count_if("is_fraud").alias("n_fraud"))
-    # two one-row frames
-    return txn.join(F.broadcast(fraud), F.lit(True)).select(at(now).alias("sim_now"), "n_txn", "n_fraud")
+    txn = logs.transactions(basis).agg(F.count(F.lit(1)).alias("n_txn"), F.lit(0).alias("n_fraud"))
+    fraud = logs.labels(basis).agg(F.lit(0).alias("n_txn"), F.count_if("is_fraud").alias("n_fraud"))
+    return txn.unionByName(fraud).agg(
+        F.max(at(now)).alias("sim_now"), F.sum("n_txn").alias("n_txn"), F.sum("n_fraud").alias("n_fraud"))
 
 
 def basis_bounds(txn_log: DataFrame, now: datetime) -> DataFrame:

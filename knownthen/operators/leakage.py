@@ -11,6 +11,7 @@ from knownthen.operators.paned import Trailing, point_in_time
 from knownthen.operators.temporal import Basis
 from knownthen.functions.rules import as_flag
 from knownthen.sources.facts import FactLogs
+from knownthen.sources.shared import written
 
 
 def leaky_counts(logs: FactLogs, basis: Basis, windows: Windows = Windows(),
@@ -55,7 +56,7 @@ def training_sample(logs: FactLogs, basis: Basis, resolved_before: datetime, lim
                     windows: Windows = Windows()) -> DataFrame:
     """The newest settled transactions with both counts; history is read for their accounts only."""
     txn = settled(logs.transactions(basis), resolved_before)
-    anchors = newest(txn.join(logs.labels(basis).select("id", "is_fraud"), "id"), limit)
+    anchors = written(newest(txn.join(logs.labels(basis).select("id", "is_fraud"), "id"), limit), "anchors")
     history = txn.join(anchors.select("account_id").distinct(), "account_id", "left_semi")
     measure = prior_fraud_measure(history, logs.label_timeline(basis), windows.fraud)
     counted = point_in_time(anchors, [measure], pane=windows.pane)

@@ -16,13 +16,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from knownthen.functions.clock import DAY, at, instant, micros, pane_of
-from knownthen.operators.paned import FIRST, adjacent, numbered
+from knownthen.operators.paned import FIRST, adjacent
 from knownthen.sources.shared import written
 
 LOG_COLUMNS = ("valid_from", "valid_to", "system_from", "seq", "op")
 PUT, DELETE = "put", "del"
 _OPEN = 2**62  # stands for an open valid_to among microsecond keys
-_BLOCK = 1 << 16  # rows of one pane when a scan runs over row numbers
 
 
 @dataclass(frozen=True)
@@ -122,73 +121,73 @@ def rectangles(log: DataFrame, pane: timedelta = DAY) -> DataFrame:
     committed. That neighbour only changes where some segment starts or ends, so it is
     enough to look up neighbours at those edges: each segment is stored at O(log n)
     dyadic blocks of edge positions, an edge looks into the O(log n) blocks around it.
-    No fact is paired with every edge it spans. Each of the four steps is written out,
-    since the next one reads it several times.
+    No fact is paired with every edge it spans. `seq` must be unique in (id, commit).
     """
-    commit_pane = pane_of(micros("system_from"), pane)
-    facts = written(numbered(
-        log.withColumn("__from", micros("valid_from"))
-        .withColumn("__to", F.coalesce(micros("valid_to"), F.lit(_OPEN)))
-        .filter(F.col("__from") < F.col("__to")),
-        ["id"], ["system_from", "seq"], commit_pane, "__ord"), "facts")
-
-    edges = written(numbered(
-        facts.select("id", F.explode(F.array("__from", "__to")).alias("__edge")).distinct(),
-        ["id"], ["__edge"], pane_of(F.col("__edge"), pane), "__pos"), "edges")
-    tops = edges.groupBy("id").agg(F.max("__pos").alias("__top"))
-    placed = written(
-        facts.select("id", "__ord", "__from", "__to")
-        .join(edges.select("id", F.col("__edge").alias("__from"), F.col("__pos").alias("__lo")), ["id", "__from"])
-        .join(edges.select("id", F.col("__edge").alias("__to"), F.col("__pos").alias("__hi")), ["id", "__to"])
-        .join(tops, "id"), "placed")
+    facts = log.select(
+        "*", F.struct(micros("system_from").alias("commit"), "seq").alias("__ord"),
+        micros("valid_from").alias("__from"), F.coalesce(micros("valid_to"), F.lit(_OPEN)).alias("__to"),
+    ).filter(F.col("__from") < F.col("__to"))
+    placed = written(_placed(facts.select("id", "__ord", "__from", "__to"), pane), "placed")
 
     entries = placed.select("id", "__ord", F.explode(_cover("__lo", "__hi")).alias("b")).select(
-        "id", "b.level", "b.block", "__ord", F.lit(None).cast("long").alias("__at"))
-    looked_up = placed.select(
-        "id", "__ord", "__top",
-        F.explode(F.array(F.col("__lo"), F.when(F.col("__to") < _OPEN, F.col("__hi")))).alias("__at")
-    ).filter(F.col("__at").isNotNull())
-    probes = looked_up.select(
-        "id", "__ord", "__at", F.explode(_path("__at", "__top")).alias("b")).select(
-        "id", "b.level", "b.block", "__ord", "__at")
-    around = (_neighbours(entries.unionByName(probes), ["id", "level", "block"])
-              .groupBy("id", "__ord", "__at")
+        "id", "b.level", "b.block", "__ord", F.lit(None).cast(_PROBE).alias("__probe"))
+    looked_up = placed.select("id", "__ord", "__top", F.explode(F.array(
+        F.struct(F.col("__lo").alias("pos"), F.col("__from").alias("at"), F.lit(True).alias("start")),
+        F.when(F.col("__to") < _OPEN, F.struct(
+            F.col("__hi").alias("pos"), F.col("__to").alias("at"), F.lit(False).alias("start"))))).alias("__probe"))
+    probes = looked_up.filter(F.col("__probe").isNotNull()).select(
+        "id", "__ord", "__probe", F.explode(_path("__probe.pos", "__top")).alias("b")).select(
+        "id", "b.level", "b.block", "__ord", "__probe")
+    around = (_neighbours(entries.unionByName(probes), ["id", "level", "block"], pane)
+              .groupBy("id", "__ord", "__probe")
               .agg(F.max("__below").alias("__below"), F.min("__above").alias("__above")))
 
-    # (segment, edge position) -> segment above it from there on
-    starts = F.col("__at") == F.col("__lo")
-    seen = around.join(placed.select("id", "__ord", "__lo"), ["id", "__ord"])
-    changes = seen.select("id", F.explode(F.array(
+    # (segment, edge) -> segment above it from there on
+    starts = F.col("__probe.start")
+    changes = around.select("id", F.col("__probe.at").alias("__at"), F.explode(F.array(
         F.when(starts, F.struct(F.col("__ord").alias("o"), F.col("__above").alias("up"))),
         F.when(F.col("__below").isNotNull(), F.struct(
             F.col("__below").alias("o"), F.when(starts, F.col("__ord")).otherwise(F.col("__above")).alias("up"))),
-    )).alias("c"), "__at").filter(F.col("c").isNotNull()).groupBy(
-        "id", F.col("c.o").alias("__ord"), "__at").agg(F.min("c.up").alias("__up"))
-
-    # system_to of each piece; join neighbouring pieces that end at the same commit
-    position_pane = F.shiftright(F.col("__at"), 16)
-    committed = facts.select("id", F.col("__ord").alias("__up"), F.col("system_from").alias("system_to"))
-    pieces = written(changes.join(committed, ["id", "__up"], "left"), "pieces")
-    pieces = adjacent(pieces.withColumn("__same", F.struct("system_to")), ["id", "__ord"], ["__at"],
-                      position_pane, "__same", "__before", following=False)
+    )).alias("c")).filter(F.col("c").isNotNull()).groupBy("id", F.col("c.o").alias("__ord"), "__at").agg(
+        F.min("c.up.commit").alias("__until"))
+
+    # join neighbouring pieces that end at the same commit
+    at_pane = pane_of(F.col("__at"), pane)
+    pieces = written(changes.withColumn("__same", F.struct("__until")), "pieces")
+    pieces = adjacent(pieces, ["id", "__ord"], ["__at"], at_pane, "__same", "__before", following=False)
     pieces = pieces.filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__same")))
-    pieces = adjacent(pieces, ["id", "__ord"], ["__at"], position_pane, "__at", "__next")
+    pieces = adjacent(pieces, ["id", "__ord"], ["__at"], at_pane, "__at", "__next")
 
-    times = edges.select("id", F.col("__edge"), F.col("__pos"))
-    payload = [c for c in log.columns if c not in ("id", "valid_from", "valid_to", "seq")]
+    payload = [c for c in payload_of(log)]
+    finish = F.coalesce("__next", "__to")
     return (
-        pieces.select("id", "__ord", "__at", "__next", "system_to")
-        .join(times.select("id", F.col("__pos").alias("__at"), F.col("__edge").alias("__begin")), ["id", "__at"])
-        .join(times.select("id", F.col("__pos").alias("__next"), F.col("__edge").alias("__finish")),
-              ["id", "__next"], "left")
-        .join(facts.select("id", "__ord", "__to", *payload), ["id", "__ord"])
-        .withColumn("__finish", F.coalesce("__finish", "__to"))
-        .filter((F.col("op") == PUT)
-                & (F.col("system_to").isNull() | (F.col("system_from") < F.col("system_to"))))
-        .select("id", *[c for c in payload if c not in ("system_from", "op")],
-                instant("__begin").alias("valid_from"),
-                F.when(F.col("__finish") < _OPEN, instant("__finish")).alias("valid_to"),
-                "system_from", "system_to"))
+        pieces.join(facts.select("id", "__ord", "__to", "op", "system_from", *payload), ["id", "__ord"])
+        .filter((F.col("op") == PUT) & (F.col("__until").isNull() | (F.col("__ord.commit") < F.col("__until"))))
+        .select("id", *payload, instant("__at").alias("valid_from"),
+                F.when(finish < _OPEN, instant(finish)).alias("valid_to"),
+                "system_from", instant("__until").alias("system_to")))
+
+
+_PROBE = "struct<pos:bigint,at:bigint,start:boolean>"
+
+
+def _placed(facts: DataFrame, pane: timedelta) -> DataFrame:
+    """Each fact with the positions of its two edges among the distinct edges of its id."""
+    ends = facts.select("id", "__ord", F.explode(F.array(
+        F.struct(F.col("__from").alias("at"), F.lit(True).alias("start")),
+        F.struct(F.col("__to").alias("at"), F.lit(False).alias("start")))).alias("e")).select(
+        "id", "__ord", "e.at", "e.start", pane_of(F.col("e.at"), pane).alias("__pane"))
+    inside = Window.partitionBy("id", "__pane").orderBy("at")
+    ranked = ends.withColumn("__rank", F.dense_rank().over(inside))
+    of_id = Window.partitionBy("id")
+    earlier = (ends.groupBy("id", "__pane").agg(F.count_distinct("at").alias("__n")).select(
+        "id", "__pane", F.sum("__n").over(of_id).alias("__top"),
+        F.coalesce(F.sum("__n").over(of_id.orderBy("__pane").rowsBetween(FIRST, -1)), F.lit(0)).alias("__skip")))
+    position = F.col("__rank") + F.col("__skip")
+    return ranked.join(earlier, ["id", "__pane"]).groupBy("id", "__ord").agg(
+        F.max("__top").alias("__top"),
+        F.max(F.when(F.col("start"), position)).alias("__lo"), F.max(F.when(~F.col("start"), position)).alias("__hi"),
+        F.max(F.when(F.col("start"), F.col("at"))).alias("__from"), F.max(F.when(~F.col("start"), F.col("at"))).alias("__to"))
 
 
 def _bits(n: Column) -> Column:
@@ -220,20 +219,21 @@ def _path(pos: str, top: str) -> Column:
         lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col(pos), k).alias("block")))
 
 
-def _neighbours(df: DataFrame, keys: list[str]) -> DataFrame:
-    """For probe rows (`__at` set): nearest entry order numbers below and above their own."""
-    pane = F.shiftright(F.col("__ord"), 16)
-    df = df.withColumn("__pane", pane).withColumn("__entry", F.when(F.col("__at").isNull(), F.col("__ord")))
+def _neighbours(df: DataFrame, keys: list[str], pane: timedelta) -> DataFrame:
+    """For probe rows: the nearest entries committed before and after their own fact."""
+    is_entry = F.col("__probe").isNull()
+    df = df.withColumns({"__pane": pane_of(F.col("__ord.commit"), pane), "__entry": F.when(is_entry, F.col("__ord")),
+                         "__last": is_entry})  # a fact's own entry sorts after its probe either way
     inside = Window.partitionBy(*keys, "__pane")
-    below = F.max("__entry").over(inside.orderBy("__ord").rangeBetween(FIRST, -1))
-    above = F.min("__entry").over(inside.orderBy(F.col("__ord").desc()).rangeBetween(FIRST, -1))
+    below = F.max("__entry").over(inside.orderBy("__ord", "__last").rowsBetween(FIRST, -1))
+    above = F.min("__entry").over(inside.orderBy(F.col("__ord").desc(), "__last").rowsBetween(FIRST, -1))
     scanned = df.select("*", below.alias("__below"), above.alias("__above"))
     of_key = Window.partitionBy(*keys)
     beyond = (df.groupBy(*keys, "__pane").agg(F.max("__entry").alias("__max"), F.min("__entry").alias("__min"))
               .select(*keys, "__pane",
                       F.max("__max").over(of_key.orderBy("__pane").rowsBetween(FIRST, -1)).alias("__max"),
                       F.min("__min").over(of_key.orderBy(F.col("__pane").desc()).rowsBetween(FIRST, -1)).alias("__min")))
-    return (scanned.filter(F.col("__at").isNotNull()).join(beyond, [*keys, "__pane"], "left")
+    return (scanned.filter(F.col("__probe").isNotNull()).join(beyond, [*keys, "__pane"], "left")
             .withColumn("__below", F.coalesce("__below", "__max"))
             .withColumn("__above", F.coalesce("__above", "__min"))
-            .drop("__pane", "__entry", "__max", "__min"))
+            .select(*keys, "__ord", "__probe", "__below", "__above"))

@@ -52,6 +52,24 @@ class FactLogs:
         read = replayed_timeline if self.replayed else timeline
         return read(log, basis, self.pane)
 
+    def around(self, accounts: DataFrame, since: datetime | None = None, until: datetime | None = None,
+               slack: timedelta = DAY) -> "FactLogs":
+        """The part of these logs that can matter to some accounts over some event time.
+
+        Time bounds prune the scans; a label is never learned before its transaction, give
+        or take `slack`. The account filter is a semi join, so a small `accounts` side is
+        broadcast by size and a large one shuffled.
+        """
+        txn, label, account = self.txn, self.label, self.account
+        if since is not None:
+            txn = txn.filter(F.col("txn_ts") >= at(since))
+            label = label.filter(F.col("system_from") >= at(since - slack))
+        if until is not None:
+            txn = txn.filter(F.col("txn_ts") <= at(until))
+        account_ids = accounts.select("account_id").distinct()
+        return replace(self, label=label, txn=txn.join(account_ids, "account_id", "left_semi"),
+                       account=account.join(account_ids, F.col("id") == F.col("account_id"), "left_semi"))
+
     def learn(self, *, label: DataFrame | None = None, pending: DataFrame | None = None) -> "FactLogs":
         """These logs with further facts, without writing them."""
         return replace(

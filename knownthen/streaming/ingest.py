@@ -7,12 +7,11 @@ than in the batch operators.
 
 from __future__ import annotations
 
-from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from knownthen.functions.clock import after, at, micros, pane_of
+from knownthen.functions.clock import instant, micros, pane_of, width_us
 from knownthen.operators.features import Windows, requests_from, serve
 from knownthen.operators.model import LinearModel, scored
 from knownthen.operators.paned import Trailing, point_in_time
@@ -21,6 +20,7 @@ from knownthen.sources.facts import FactLogs
 from knownthen.sources.shared import fresh_dir
 from knownthen.streaming.runs import put_batch, run_batches, table_so_far
 
+UNIX = datetime(1970, 1, 1, tzinfo=timezone.utc)
 LABELS = "id {key}, is_fraud boolean, learned timestamp, op string"
 PENDING = "id {key}, account_id {key}, txn_ts timestamp, due timestamp, op string"
 
@@ -40,14 +40,14 @@ def ingest_and_settle(stream: DataFrame, key: str = "bigint") -> str:
     def tick(batch: DataFrame, batch_id: int) -> None:
         put_batch(batch.drop("due"), root, "txn", batch_id)
         txn = table_so_far(spark, root, "txn", batch.drop("due").schema)
-        clock = txn.filter(F.col("batch") <= batch_id).agg(F.max("txn_ts").alias("now"))  # one row
+        now = txn.filter(F.col("batch") <= batch_id).agg(F.max(micros("txn_ts"))).first()[0]
         new_pending = batch.filter(F.col("due").isNotNull()).select(
             "id", "account_id", "txn_ts", "due", F.lit(PUT).alias("op"))
         earlier = table_so_far(spark, root, "pending", pendings).filter(F.col("batch") < batch_id).drop("batch")
         in_flight = earlier.unionByName(new_pending)
         open_rows = in_flight.filter(F.col("op") == PUT).join(
             in_flight.filter(F.col("op") == DELETE).select("id"), "id", "left_anti")
-        due = open_rows.join(F.broadcast(clock), F.col("due") <= F.col("now"))
+        due = open_rows.filter(micros("due") <= F.lit(now)).withColumn("now", instant(F.lit(now).cast("long")))
         put_batch(
             batch.select("id", F.lit(False).alias("is_fraud"), F.col("txn_ts").alias("learned"), F.lit(PUT).alias("op"))
             .unionByName(due.select("id", F.lit(True).alias("is_fraud"), F.col("now").alias("learned"), "op")),
@@ -74,7 +74,11 @@ def velocity_on_arrival(stream: DataFrame, windows: Windows = Windows()) -> Data
 
     def arrive(batch: DataFrame, batch_id: int) -> None:
         put_batch(batch.select("id", "account_id", "txn_ts"), root, "txn", batch_id)
-        log = (table_so_far(spark, root, "txn", schema).filter(F.col("batch") <= batch_id).drop("batch")
+        span = batch.agg(F.min(micros("txn_ts")), F.max(micros("txn_ts"))).first()
+        margin = 2 * width_us(windows.velocity) + width_us(windows.pane)
+        near = F.lit(False) if span[0] is None else F.col("txn_ts").between(
+            instant(F.lit(span[0] - margin)), instant(F.lit(span[1] + margin)))
+        log = (table_so_far(spark, root, "txn", schema).filter((F.col("batch") <= batch_id) & near).drop("batch")
                .withColumn("cell", pane_of(micros("txn_ts"), windows.pane)))
         touched = batch.select("account_id", F.explode(F.sequence(
             pane_of(micros("txn_ts"), windows.pane),
@@ -111,7 +115,11 @@ def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
         new = batch.dropDuplicates(["id"]).join(done, "id", "left_anti")
         if baseline is not None:
             new = new.join(baseline.select("id"), "id", "left_anti")
-        vectors = serve(requests_from(new), logs, Basis(), windows)
+        span = new.agg(F.min(micros("txn_ts")), F.max(micros("txn_ts"))).first()
+        reach = max(windows.velocity, windows.baseline, windows.fraud)
+        first, last = (UNIX + timedelta(microseconds=us or 0) for us in span)
+        near = logs.around(new, since=first - reach, until=last)
+        vectors = serve(requests_from(new), near, Basis(), windows)
         put_batch(scored(vectors, model).select(
             F.col("req_id").alias("id"), "p", F.lit(model.version).alias("model_version")), root, "scores", batch_id)
 
