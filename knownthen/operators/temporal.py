@@ -121,13 +121,15 @@ def rectangles(log: DataFrame, pane: timedelta = DAY) -> DataFrame:
     committed. That neighbour only changes where some segment starts or ends, so it is
     enough to look up neighbours at those edges: each segment is stored at O(log n)
     dyadic blocks of edge positions, an edge looks into the O(log n) blocks around it.
-    No fact is paired with every edge it spans. `seq` must be unique in (id, commit).
+    No fact is paired with every edge it spans, and a lone fact of an id needs none of this.
+    `seq` must be unique in (id, commit).
     """
     facts = log.select(
         "*", F.struct(micros("system_from").alias("commit"), "seq").alias("__ord"),
         micros("valid_from").alias("__from"), F.coalesce(micros("valid_to"), F.lit(_OPEN)).alias("__to"),
     ).filter(F.col("__from") < F.col("__to"))
-    placed = written(_placed(facts.select("id", "__ord", "__from", "__to"), pane), "placed")
+    all_placed = written(_placed(facts.select("id", "__ord", "__from", "__to"), pane), "placed")
+    lone, placed = all_placed.filter("__facts = 1"), all_placed.filter("__facts > 1")
 
     entries = placed.select("id", "__ord", F.explode(_cover("__lo", "__hi")).alias("b")).select(
         "id", "b.level", "b.block", "__ord", F.lit(None).cast(_PROBE).alias("__probe"))
@@ -157,8 +159,11 @@ def rectangles(log: DataFrame, pane: timedelta = DAY) -> DataFrame:
     pieces = adjacent(pieces, ["id", "__ord"], ["__at"], at_pane, "__same", "__before", following=False)
     pieces = pieces.filter(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col("__same")))
     pieces = adjacent(pieces, ["id", "__ord"], ["__at"], at_pane, "__at", "__next")
+    unknown = F.lit(None).cast("long")
+    pieces = pieces.select("id", "__ord", "__at", "__until", "__next").unionByName(lone.select(
+        "id", "__ord", F.col("__from").alias("__at"), unknown.alias("__until"), unknown.alias("__next")))
 
-    payload = [c for c in payload_of(log)]
+    payload = payload_of(log)
     finish = F.coalesce("__next", "__to")
     return (
         pieces.join(facts.select("id", "__ord", "__to", "op", "system_from", *payload), ["id", "__ord"])
@@ -180,12 +185,13 @@ def _placed(facts: DataFrame, pane: timedelta) -> DataFrame:
     inside = Window.partitionBy("id", "__pane").orderBy("at")
     ranked = ends.withColumn("__rank", F.dense_rank().over(inside))
     of_id = Window.partitionBy("id")
-    earlier = (ends.groupBy("id", "__pane").agg(F.count_distinct("at").alias("__n")).select(
-        "id", "__pane", F.sum("__n").over(of_id).alias("__top"),
+    earlier = (ends.groupBy("id", "__pane").agg(
+        F.count_distinct("at").alias("__n"), F.count_if("start").alias("__starts")).select(
+        "id", "__pane", F.sum("__n").over(of_id).alias("__top"), F.sum("__starts").over(of_id).alias("__facts"),
         F.coalesce(F.sum("__n").over(of_id.orderBy("__pane").rowsBetween(FIRST, -1)), F.lit(0)).alias("__skip")))
     position = F.col("__rank") + F.col("__skip")
     return ranked.join(earlier, ["id", "__pane"]).groupBy("id", "__ord").agg(
-        F.max("__top").alias("__top"),
+        F.max("__top").alias("__top"), F.max("__facts").alias("__facts"),
         F.max(F.when(F.col("start"), position)).alias("__lo"), F.max(F.when(~F.col("start"), position)).alias("__hi"),
         F.max(F.when(F.col("start"), F.col("at"))).alias("__from"), F.max(F.when(~F.col("start"), F.col("at"))).alias("__to"))
 
