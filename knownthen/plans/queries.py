@@ -43,13 +43,9 @@ def finish(df: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def _logs(application: str, sf: str):
-    return fact_logs(SparkSession.active(), sf)
-
-
 def logs_of(spark: SparkSession, sf: str):
-    """The logs of a folder; the lazy plans are built once per application."""
-    return _logs(spark.sparkContext.applicationId, sf)
+    """The logs of a folder; the lazy plans are built once per session."""
+    return fact_logs(spark, sf)
 
 
 def commit_time(logs):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knownthen.functions.clock import DAY, at
 from knownthen.operators.temporal import Basis, known, replayed_timeline, snapshot, timeline
+from knownthen.sources.shared import read_if_present
 
 TXN_SCHEMA = "account_id {key}, txn_ts timestamp, amount double, category string, country {country}"
 PENDING_SCHEMA = "account_id {key}, txn_ts timestamp, due timestamp"
@@ -100,28 +101,38 @@ def append_facts(facts: DataFrame, path: str, system_time: datetime) -> None:
     """Commit a batch to the log at `path`, every row stamped with one system time.
 
     System time only moves forward: the batch must be newer than the log's last commit.
-    The log is partitioned by the UTC day of the commit, so a basis prunes whole days.
+    The log is partitioned by the UTC day of the commit, so the check reads the newest day
+    only and a basis leaves later days unread.
     """
-    spark = facts.sparkSession
-    if log_exists(spark, path):
-        last = spark.read.parquet(path).agg(F.max("system_from")).first()[0]
-        if last is not None and last.timestamp() >= system_time.timestamp():
-            raise ValueError(f"system time {system_time} is not after the last commit {last}")
+    last = _last_commit(facts.sparkSession, path)
+    if last is not None and last >= system_time:
+        raise ValueError(f"system time {system_time} is not after the last commit {last}")
     stamped = facts.withColumn("system_from", at(system_time))
-    (stamped.withColumn("system_day", F.date_format("system_from", "yyyy-MM-dd"))
+    (stamped.withColumn("system_day", F.lit(_day(system_time)))
      .write.mode("append").partitionBy("system_day").parquet(path))
 
 
-def log_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def _day(ts: datetime) -> str:
+    return ts.astimezone(timezone.utc).strftime("%Y-%m-%d")
 
 
-def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The log at `path`; one that nobody has written to yet reads as empty."""
-    if not log_exists(spark, path):
+def _last_commit(spark: SparkSession, path: str) -> datetime | None:
+    stamps = read_if_present(spark, path, "system_from timestamp, system_day string")
+    if stamps is None:
+        return None
+    newest = stamps.agg(F.max("system_day")).first()[0]  # partition values and footers only
+    us = stamps.filter(F.col("system_day") == newest).agg(F.max(F.unix_micros("system_from"))).first()[0]
+    return None if us is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)
+
+
+def read_log(spark: SparkSession, path: str, schema: str, system_at: datetime | None = None) -> DataFrame:
+    """The log at `path` as known at a system time; one nobody has written to reads as empty."""
+    log = read_if_present(spark, path, schema + ", system_day string")
+    if log is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema + ", system_day string").parquet(path).drop("system_day")
+    if system_at is not None:
+        log = log.filter((F.col("system_day") <= _day(system_at)) & (F.col("system_from") <= at(system_at)))
+    return log.drop("system_day")
 
 
 def optional_table(spark: SparkSession, name: str, schema: str) -> DataFrame:

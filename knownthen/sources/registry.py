@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from knownthen.functions.clock import at
 from knownthen.operators.features import FEATURES
 from knownthen.operators.model import LinearModel, as_frame
-from knownthen.sources.facts import log_exists
+from knownthen.sources.shared import read_if_present
 
 REGISTRY_SCHEMA = ("version string, trained_at_wall timestamp, trained_at_sim timestamp, auc double, "
                    "n_train long, n_fraud long, path string")
@@ -28,10 +28,8 @@ def store_model(spark: SparkSession, model: LinearModel, root: str, *, wall: dat
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:
-    path = os.path.join(root, "registry")
-    if not log_exists(spark, path):
-        return spark.createDataFrame([], REGISTRY_SCHEMA)
-    return spark.read.schema(REGISTRY_SCHEMA).parquet(path)
+    rows = read_if_present(spark, os.path.join(root, "registry"), REGISTRY_SCHEMA)
+    return spark.createDataFrame([], REGISTRY_SCHEMA) if rows is None else rows
 
 
 def latest(models: DataFrame) -> DataFrame:

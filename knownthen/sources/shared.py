@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
@@ -22,8 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing folder in the shared scratch folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, not yet existing folder below one folder per application, which can be
+    removed once the application has ended."""
+    own = f"knownthen-{spark.sparkContext.applicationId}"
+    return os.path.join(shared_dir(spark), own, f"{name}-{uuid.uuid4().hex}")
+
+
+def read_if_present(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The Parquet table at `path`, or None where nobody has written one yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

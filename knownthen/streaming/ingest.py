@@ -111,7 +111,8 @@ def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
 
     def arrive(batch: DataFrame, batch_id: int) -> None:
         done = table_so_far(spark, root, "scores", schema).filter(
-            (F.col("model_version") == model.version) & (F.col("batch") < batch_id)).select("id")
+            (F.col("model_version") == model.version) & (F.col("batch") < batch_id)).select("id").join(
+            batch.select("id"), "id", "left_semi")  # the batch is the small side of the history
         new = batch.dropDuplicates(["id"]).join(done, "id", "left_anti")
         if baseline is not None:
             new = new.join(baseline.select("id"), "id", "left_anti")

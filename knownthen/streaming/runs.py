@@ -12,8 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knownthen.sources.facts import log_exists
-from knownthen.sources.shared import fresh_dir
+from knownthen.sources.shared import fresh_dir, read_if_present
 
 
 def staged_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
@@ -42,7 +41,7 @@ def put_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
 
 def table_so_far(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
     """All batches of a table; its `batch` column tells which one wrote a row."""
-    path = os.path.join(root, table)
-    if not log_exists(spark, path):
+    rows = read_if_present(spark, os.path.join(root, table), schema)
+    if rows is None:
         return spark.createDataFrame([], schema).selectExpr("*", "cast(null as int) AS batch")
-    return spark.read.schema(schema).parquet(path)
+    return rows

@@ -127,6 +127,11 @@ def test_appending_moves_system_time_forward_only(spark):
     append_facts(spark.createDataFrame([label("a", True, D(2))], LABEL), path, D(1) + US)
     log = read_log(spark, path, schema)
     assert [utc(r.system_from) for r in log.orderBy("system_from").collect()] == [D(1), D(1) + US]
+    append_facts(batch, path, D(3))
+    early = read_log(spark, path, schema, system_at=D(2))
+    assert early.count() == 2
+    plan = early._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(system_day" in plan and "PushedFilters: [IsNotNull(system_from)" in plan
 
 
 def test_three_states(spark):
