@@ -23,11 +23,23 @@ def staged_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process everything available now in micro-batches, then stop."""
-    query = (stream.writeStream.outputMode(mode).foreachBatch(each)
-             .option("checkpointLocation", fresh_dir(stream.sparkSession, "state"))
-             .trigger(availableNow=True).start())
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
+                state_partitions: int | None = None) -> None:
+    """Process everything available now in micro-batches, then stop.
+
+    State is split once and for all into `state_partitions`, by default one per core of
+    the cluster; a stream keeps the setting it was started with.
+    """
+    spark = stream.sparkSession
+    partitions = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(partitions)
+    spark.conf.set(partitions, str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query = (stream.writeStream.outputMode(mode).foreachBatch(each)
+                 .option("checkpointLocation", fresh_dir(spark, "state"))
+                 .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(partitions, usual)
     query.awaitTermination()
 
 
