@@ -20,7 +20,7 @@ from knownthen.sources import driver_tables as given, facts, registry as reg
 from knownthen.sources.driver_tables import NOW, OUTCOME_DELAY, PAST, fact_logs, read
 from knownthen.sources.shared import fresh_dir
 from knownthen.streaming import events as streams, ingest
-from knownthen.streaming.runs import staged_stream, table_so_far
+from knownthen.streaming.runs import staged_stream
 
 LATEST = Basis()
 AT_PAST = Basis(system_at=PAST)
@@ -514,8 +514,8 @@ def _arrivals(spark, sf):
 
 
 def _ticks(spark, sf):
-    truth = given._chargebacks(read(spark, sf, "events"))
-    due = F.when(F.col("fraud"), given._days(F.col("txn_ts"), F.col("delay"))).alias("due")
+    truth = given.chargebacks(read(spark, sf, "events"))
+    due = F.when(F.col("fraud"), given.days_after(F.col("txn_ts"), F.col("delay"))).alias("due")
     return ingest.ingest_and_settle(staged_stream(truth.select("id", "account_id", "txn_ts", due), "txn_ts"))
 
 

@@ -11,7 +11,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knownthen.functions.clock import after, at, utc_day
+from knownthen.functions.clock import at, utc_day
 from knownthen.operators.temporal import DELETE, PUT, as_log
 from knownthen.sources.facts import FactLogs
 
@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                        for c, t in df.dtypes])
 
 
-def _days(ts, n):
+def days_after(ts, n):
     return F.timestamp_micros(F.unix_micros(ts) + F.lit(86_400_000_000) * n)
 
 
@@ -50,7 +50,7 @@ def accounts(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     moved = F.struct(
         ((F.col("c_nationkey") + 1) % 25).alias("home_country"),
-        _days(at(SECOND_ACCOUNT_VERSION), key % 30).alias("valid_from"))
+        days_after(at(SECOND_ACCOUNT_VERSION), key % 30).alias("valid_from"))
     first = F.struct(F.col("c_nationkey").alias("home_country"), at(FIRST_ACCOUNT_VERSION).alias("valid_from"))
     rows = customer.select(
         key.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("tier"),
@@ -59,14 +59,14 @@ def accounts(customer: DataFrame) -> DataFrame:
     return as_log(rows, valid_from=F.col("__from"), system_from=F.col("__from")).drop("__from")
 
 
-def _chargebacks(events: DataFrame) -> DataFrame:
+def chargebacks(events: DataFrame) -> DataFrame:
     """Every event with the truth about it: is it fraud, when is it confirmed."""
     k = F.call_function("div", F.col("event_id"), F.lit(3))
     return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("account_id"), F.col("ts").alias("txn_ts"),
         ((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)).alias("fraud"),
         k.alias("k"), (2 + k % 9).alias("delay"), utc_day("ts").alias("seen"),
-    ).withColumn("confirmed", _days(F.col("seen"), F.col("delay")))
+    ).withColumn("confirmed", days_after(F.col("seen"), F.col("delay")))
 
 
 def _facts(events: DataFrame, cases: list) -> DataFrame:
@@ -77,13 +77,13 @@ def _facts(events: DataFrame, cases: list) -> DataFrame:
         (open_end if valid_to is None else valid_to).alias("valid_to"), learned.alias("system_from"),
         F.lit(seq).alias("seq"), F.lit(op).alias("op")))
         for condition, fraud, learned, valid_from, valid_to, seq, op in cases]
-    return (_chargebacks(events).select("id", F.explode(F.array(*facts)).alias("f"))
+    return (chargebacks(events).select("id", F.explode(F.array(*facts)).alias("f"))
             .filter(F.col("f").isNotNull()).select("id", "f.*").filter(F.col("system_from") <= at(NOW)))
 
 
 def _replayed_cases() -> list:
     fraud, k, seen, confirmed = F.col("fraud"), F.col("k"), F.col("seen"), F.col("confirmed")
-    overturned, again = _days(confirmed, 5), _days(confirmed, 10)
+    overturned, again = days_after(confirmed, 5), days_after(confirmed, 10)
     return [
         (F.lit(True), False, seen, seen, None, 0, PUT),
         (fraud, True, confirmed, confirmed, None, 0, PUT),
@@ -101,23 +101,23 @@ def corrected_labels(events: DataFrame) -> DataFrame:
     """The same with bounded corrections and backdated late imports."""
     fraud, k, seen, confirmed = F.col("fraud"), F.col("k"), F.col("seen"), F.col("confirmed")
     return _facts(events, _replayed_cases() + [
-        (fraud & (k % 5 == 0), False, _days(confirmed, 4), confirmed, _days(confirmed, 2), 1, PUT),
-        (fraud & (k % 11 == 0), True, _days(confirmed, 6), _days(seen, 1), None, 2, PUT),
+        (fraud & (k % 5 == 0), False, days_after(confirmed, 4), confirmed, days_after(confirmed, 2), 1, PUT),
+        (fraud & (k % 11 == 0), True, days_after(confirmed, 6), days_after(seen, 1), None, 2, PUT),
     ])
 
 
 def gapped_labels(events: DataFrame) -> DataFrame:
     """The same as `labels` with some histories deleted after confirmation."""
     fraud, k, confirmed = F.col("fraud"), F.col("k"), F.col("confirmed")
-    gone = _days(confirmed, 1)
+    gone = days_after(confirmed, 1)
     return _facts(events, _replayed_cases()[:2] + [(fraud & (k % 13 == 0), None, gone, gone, None, 1, DELETE)])
 
 
 def pending_chargebacks(events: DataFrame) -> DataFrame:
     """Chargebacks in flight from the day of the event until their confirmation."""
-    fraud = _chargebacks(events).filter("fraud")
+    fraud = chargebacks(events).filter("fraud")
     rows = fraud.select(
-        "id", "account_id", "txn_ts", _days(F.col("txn_ts"), F.col("delay")).alias("due"),
+        "id", "account_id", "txn_ts", days_after(F.col("txn_ts"), F.col("delay")).alias("due"),
         F.explode(F.array(
             F.struct(F.col("txn_ts").alias("v"), F.col("seen").alias("s"), F.lit(0).alias("n"), F.lit(PUT).alias("o")),
             F.struct(F.col("confirmed").alias("v"), F.col("confirmed").alias("s"), F.lit(1).alias("n"),

@@ -1,7 +1,6 @@
 """Corrections, confirm and replay, previews, quality checks."""
 
 from dataclasses import replace
-from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F

@@ -2,7 +2,6 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from fixtures import D, LABEL, US, label, utc
 from knownthen.operators.temporal import Basis, rectangles, replayed_timeline, snapshot, timeline, versions
