@@ -9,7 +9,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{WORD}')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM d),
 g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
       FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
@@ -20,7 +20,7 @@ l AS (SELECT *, list_filter(ls, x ->
          AND len(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 100 <= len(x) * 10
          AND NOT (len(x) <= 200 AND regexp_matches(lower(x), 'cookie|javascript|privacy policy|terms of (use|service)|all rights reserved|copyright|licensed under|released under|subscribe|sign up|log ?in|click here|read more|skip to|lorem ipsum'))
        ) AS good FROM w),
-m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> len(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0)::BIGINT AS word_chars,
              len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
              array_to_string(good, chr(10)) AS cleaned_text, len(array_to_string(ls, chr(10))) AS total
