@@ -14,7 +14,7 @@ g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
       FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
 cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
-l AS (SELECT *, list_filter(ls, x ->
+l AS (SELECT *, list_filter(ls, lambda x:
          regexp_matches(x, '[.!?…:;,][\x22''”’»)\]]*[\x20\x09-\x0D]*$')
          AND len(regexp_replace(x, '[^|›»→]', '', 'g')) <= 2
          AND len(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) * 100 <= len(x) * 10
