@@ -31,6 +31,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        cleaned_text FROM m
 """
 
+OP9 = r"""
+WITH word AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), re) AS ws FROM documents, word),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), up, low), re) AS ws FROM benchmark, word),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+       FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w
+       FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+m AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, w)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM m) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
 OP10 = rf"""
 WITH rules(action, host, path) AS (VALUES {URL_RULES}),
 p AS (SELECT row_number() OVER () AS r, page_id, coalesce(regexp_extract(url, '^.*?://([^?#]*)', 1, 's'), '') AS rest FROM pages),
@@ -45,4 +61,4 @@ GROUP BY r, page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op10_url_filter": OP10}
+    return {"op5_quality_rules": OP5, "op9_decontamination": OP9, "op10_url_filter": OP10}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knownthen.llm import packing, quality_lines, token_prefix, url_filter
+from knownthen.llm import decontaminate, packing, quality_lines, token_prefix, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op6_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 #: Fixed rules of the query: action, host, start of the path.
 URL_RULES = "('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')"
 
@@ -36,4 +41,4 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op6_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op6_packing, op9_decontamination, op10_url_filter)}
