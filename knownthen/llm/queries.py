@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knownthen.llm import decontaminate, packing, quality_lines, token_prefix, url_filter
+from knownthen.llm import decontaminate, langid, packing, quality_lines, secrets, token_prefix, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scanned(docs, secrets.fit(secrets.sample(docs))).drop("span_list")
+
+
 def op4_token_counts(spark, sf_dir):
     return token_prefix.prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -26,6 +31,13 @@ def op6_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    known = langid.learned(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return (langid.predicted(docs.select("doc_id", "text"), known).drop("text")
+            .withColumn("held_out", langid.held_out(F.col("doc_id"))))
+
+
 def op9_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -41,4 +53,4 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op6_packing, op9_decontamination, op10_url_filter)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op9_decontamination, op10_url_filter)}
