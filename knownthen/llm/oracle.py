@@ -6,6 +6,40 @@ from knownthen.llm.queries import URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def _round(k: int) -> str:
+    """Consensus of the variants still open, and who agrees with it."""
+    before = "crowded" if k == 0 else f"fits{k - 1} WHERE NOT fits"
+    return f"""
+open{k} AS (SELECT leaf, line, tokens, docs FROM {before}),
+vote{k} AS (SELECT leaf, p, tokens[p] AS token, sum(docs) AS votes
+            FROM (SELECT leaf, tokens, docs, unnest(range(1, len(tokens) + 1)) AS p FROM open{k}) GROUP BY ALL),
+best{k} AS (SELECT leaf, p, token FROM vote{k}
+            QUALIFY row_number() OVER (PARTITION BY leaf, p ORDER BY votes DESC, encode(token) DESC) = 1),
+fits{k} AS (SELECT leaf, line, tokens, docs, 100 * hits >= 70 * len(tokens) AS fits
+            FROM (SELECT o.leaf, o.line, any_value(o.tokens) AS tokens, any_value(o.docs) AS docs, count(*) FILTER (o.tokens[b.p] = b.token) AS hits
+                  FROM open{k} o JOIN best{k} b USING (leaf) GROUP BY o.leaf, o.line)),"""
+
+
+OP2 = rf"""
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+one AS (SELECT r, doc_id, i, trim(regexp_replace(ls[i], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
+line AS (SELECT *, string_split(line, ' ') AS tokens, len(string_split(line, ' '))::VARCHAR || ' ' || array_to_string(string_split(line, ' ')[:3], ' ') AS leaf
+         FROM (SELECT r, doc_id, i, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM one) WHERE len(string_split(line, ' ')) >= 3),
+seen AS (SELECT DISTINCT leaf, line, doc_id FROM line),
+variant AS (SELECT leaf, line, string_split(line, ' ') AS tokens, count(*) AS docs FROM seen GROUP BY leaf, line),
+crowded AS (SELECT * FROM variant QUALIFY count(*) OVER (PARTITION BY leaf) > 1 AND sum(docs) OVER (PARTITION BY leaf) >= 4),
+{_round(0)}{_round(1)}
+shared AS (SELECT line, leaf || ' 0' AS template FROM fits0 WHERE fits UNION ALL SELECT line, leaf || ' 1' FROM fits1 WHERE fits),
+named AS (SELECT DISTINCT coalesce(template, 'line ' || line) AS template, line, doc_id FROM seen LEFT JOIN shared USING (line)),
+often AS (SELECT template, min(doc_id) AS first FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= 4),
+gone AS (SELECT DISTINCT r, i FROM line JOIN named USING (line, doc_id) JOIN often USING (template) WHERE line.doc_id <> first),
+gaps AS (SELECT r, list(i) AS gone FROM gone GROUP BY r)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([ls[x] FOR x IN range(1, len(ls) + 1) IF NOT list_contains(gone, x)], chr(10)) END AS text,
+       coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped
+FROM raw LEFT JOIN gaps USING (r)
+"""
+
 OP5 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{WORD}') AS ws,
@@ -61,4 +95,4 @@ GROUP BY r, page_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op9_decontamination": OP9, "op10_url_filter": OP10}
+    return {"op2_line_dedup": OP2, "op5_quality_rules": OP5, "op9_decontamination": OP9, "op10_url_filter": OP10}

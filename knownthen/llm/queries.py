@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knownthen.llm import decontaminate, langid, minhash, packing, quality_lines, secrets, token_prefix, url_filter
+from knownthen.llm import decontaminate, langid, line_templates, minhash, packing, quality_lines, secrets, token_prefix, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_templates.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scanned(docs, secrets.fit(secrets.sample(docs))).drop("span_list")
@@ -57,4 +61,4 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op9_decontamination, op10_url_filter)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op9_decontamination, op10_url_filter)}
