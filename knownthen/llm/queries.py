@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knownthen.llm import decontaminate, langid, line_templates, minhash, packing, quality_lines, secrets, token_prefix, url_filter
+import corpus_pipeline
+from knownthen.llm import compact_windows, decontaminate, langid, line_templates, minhash, packing, quality_lines, secrets, token_prefix, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,10 @@ def op7_language_id(spark, sf_dir):
             .withColumn("held_out", langid.held_out(F.col("doc_id"))))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -60,5 +65,9 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op9_decontamination, op10_url_filter)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op8_substring_dedup, op9_decontamination, op10_url_filter, pipeline)}
