@@ -102,6 +102,12 @@ class PrefixCounter:
         return bytes([first]) + out[2:]
 
 
+@lru_cache(1)
+def counter_of(path: str) -> PrefixCounter:
+    """The counter of a worker process, whose memos outlast a task."""
+    return PrefixCounter(path)
+
+
 def counts_at(deltas: bytes) -> np.ndarray:
     """Token counts of the prefixes of 1, 2, ... code points."""
     return np.cumsum(np.frombuffer(deltas, np.int8), dtype=np.int64)
@@ -125,7 +131,7 @@ def prefix_counts(docs: DataFrame, model: str | None = None, limit: int = LIMIT,
     keep = [c for c in docs.columns if c != text and c not in [n for n, _, _ in new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
         for batch in batches:
             for part in slices(batch):
                 rows = []
