@@ -18,37 +18,50 @@ from pyspark.sql.types import StructType
 from knownthen.llm.memo import slices
 
 #: Bounds of the fit: documents per language, and characters from the middle of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 512
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 1024
+#: No dictionary is longer than this many times the shortest: a longer one alone makes encodings smaller.
+MAX_RATIO = 2
 #: Texts are encoded in pieces of so many characters, so that a long text does not become its own dictionary.
-PIECE_CHARS, LEVEL = 4096, 3
+PIECE_CHARS, LEVEL = 2048, 9
 #: A text is rejected where the second smallest encoding is larger by less than this share, or by fewer bytes.
 MIN_MARGIN, MIN_BYTES = 0.01, 1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """The words of a text in lower case, without digits and marks, which say little about the language."""
+    return _OTHER.sub(" ", text.lower())
 
 
 def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary content per language from columns doc_id, text, lang: the documents of the smallest hashes of doc_id.
 
-    Languages without any sampled text are left out. Ids are picked first, so texts of others are never sorted or moved.
+    The most frequent language comes first. Languages without any sampled text are left out. Ids are picked first, so texts of others
+    are never sorted or moved.
     """
+    known = docs.filter(F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "doc_id")
+    ids = (known.filter(F.col("doc_id").isNotNull()).select("lang", "doc_id")
            .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_docs).select("doc_id").distinct().collect())
     middle = F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - sample_chars // 2)
-    rows = (docs.filter(F.col("doc_id").isin([r.doc_id for r in ids]) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = (known.filter(F.col("doc_id").isin([r.doc_id for r in ids]) & F.col("text").isNotNull())
             .select("lang", "doc_id", F.substring("text", middle, F.lit(sample_chars)).alias("part")).collect() if ids else [])
     parts: dict[str, dict[str, None]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.part)):
         if LETTER.search(r.part):
-            parts.setdefault(r.lang, {})[r.part.lower()] = None
-    return {lang: "\n".join(p).encode() for lang, p in parts.items()}
+            parts.setdefault(r.lang, {})[letters(r.part)] = None
+    contents = {lang: "\n".join(p).encode() for lang, p in parts.items()}
+    most = MAX_RATIO * min(map(len, contents.values()), default=0)
+    return {lang: contents[lang][:most] for lang in sorted(contents, key=lambda x: (-counts.get(x, 0), x))}
 
 
 class Classifier:
     def __init__(self, contents: dict[str, bytes]):
         self.encoders = {}
-        for lang in sorted(contents):
+        for lang in contents:
             d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.encoders[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False,
@@ -58,8 +71,9 @@ class Classifier:
         """Language, relative margin over the second, and whether the text is rejected."""
         if not text or not self.encoders or not LETTER.search(text):
             return UNKNOWN, 0.0, True
-        pieces = [text[i:i + PIECE_CHARS].lower().encode() for i in range(0, len(text), PIECE_CHARS)]
-        sizes = sorted((sum(len(e.compress(p)) for p in pieces), lang) for lang, e in self.encoders.items())
+        text = letters(text)
+        pieces = [text[i:i + PIECE_CHARS].encode() for i in range(0, len(text), PIECE_CHARS)]
+        sizes = sorted(((sum(len(e.compress(p)) for p in pieces), lang) for lang, e in self.encoders.items()), key=lambda x: x[0])
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         (best, lang), (second, _) = sizes[:2]
@@ -75,7 +89,7 @@ def predicted(docs: DataFrame, contents: dict[str, bytes], text: str = "text") -
     """`docs` with lang_pred, score (0 to 1) and rejected.
 
     `und` with score 0, and rejected: null and empty texts, texts without a letter, all texts if nothing was learned. Equal sizes
-    choose the first language by name and are rejected. Columns named like the new ones are replaced.
+    choose the first language of `contents` and are rejected. Columns named like the new ones are replaced.
     """
     new = [("lang_pred", "string", pa.string()), ("score", "double", pa.float64()), ("rejected", "boolean", pa.bool_())]
     keep = [c for c in docs.columns if c == text or c not in [n for n, _, _ in new]]
