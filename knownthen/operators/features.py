@@ -43,6 +43,8 @@ class FeatureSpec:
     value: Column
 
 
+INCOMPLETE = "a transaction has no current label at this basis"
+
 def feature_specs() -> list[FeatureSpec]:
     home = F.col("account_version.home_country")
     return [
@@ -119,17 +121,20 @@ def training_set(
 ) -> DataFrame:
     """One row per labelled transaction: features as of its instant, and its label.
 
-    All measures share one exchange by (account, pane). Anchor filters apply after the
-    scan; below it only what no window can reach is cut away.
+    All measures meet in one exchange by (account, pane). Anchor filters apply after the
+    scan; `since` cuts the transactions below it to what the widest of their windows can reach. A transaction
+    without a current label fails the read.
     """
     txn = settled(logs.transactions(basis), resolved_before)
     if account is not None:
         txn = txn.filter(F.col("account_id") == F.lit(account))
     histories = logs.label_timeline(basis)
     labels = histories.filter(F.col("valid_to").isNull()).select("id", "is_fraud", F.lit(True).alias("labelled"))
+    # an incomplete label history fails the read instead of losing transactions
+    complete = F.coalesce(F.col("labelled"), F.raise_error(F.lit(INCOMPLETE)).cast("boolean"))
     homes = logs.account_timeline(basis).select(
         F.col("id").alias("account_id"), "home_country", "valid_from", F.col("valid_to").alias("until"))
-    recent = txn if since is None else txn.filter(F.col("txn_ts") >= before(at(since), windows.baseline))
+    recent = txn if since is None else txn.filter(F.col("txn_ts") >= before(at(since), max(windows.baseline, windows.velocity)))
     version = Latest("account_version", homes, ("home_country", "until"))
     moments = dict(value="amount", moments=True)
 
@@ -140,7 +145,7 @@ def training_set(
     else:
         # pick the anchors once (written: `limit` rows), then read only their accounts' history
         lives = homes.select("account_id", "valid_from", "until")
-        labelled = recent.join(labels, "id").alias("t")
+        labelled = recent.join(labels, "id", "left").filter(complete).alias("t")
         alive = labelled.join(
             lives.alias("v"), (F.col("t.account_id") == F.col("v.account_id"))
             & (F.col("v.valid_from") <= F.col("t.txn_ts"))
@@ -158,7 +163,7 @@ def training_set(
     scanned = _named(point_in_time(base, [*trailing, frauds, version], pane=windows.pane))
     current = F.col("account_version").isNotNull() & (
         F.col("account_version.until").isNull() | (F.col("txn_ts") < F.col("account_version.until")))
-    kept = scanned.filter(F.col("labelled") & current)
+    kept = scanned.filter(complete & current)
     if since is not None:
         kept = kept.filter(F.col("txn_ts") >= at(since))
     chosen = KNOWN_THEN if knowledge == "as_of_decision" else HINDSIGHT

@@ -23,6 +23,8 @@ FIRST = Window.unboundedPreceding
 
 _KEY, _PANE, _AT, _KIND, _X, _ROW = "__key", "__pane", "__at", "__kind", "__x", "__row"
 _ANCHOR = 0
+#: anchors without key or instant are spread over so many groups
+_LOST_PANES = 4096
 
 
 @dataclass(frozen=True)
@@ -70,8 +72,8 @@ def point_in_time(
     """Anchors with every measure evaluated at their own instant, in one exchange.
 
     Anchors and all contributions are shuffled together by (key, pane); one ascending
-    and one descending scan read that exchange, and so do the totals per pane. Rows
-    without a key have no history and are left out. A fact leaves a window `width` after it happened,
+    and one descending scan read that exchange, and so do the totals per pane. An anchor
+    without a key or instant has empty windows; it is dealt by its own hash, and facts like it are left out. A fact leaves a window `width` after it happened,
     so a copy shifted by `width` meets, in the anchor's own pane, exactly the anchors
     that still see it: the window is (head of own pane) + (whole panes between) +
     (shifted facts not yet expired).
@@ -100,11 +102,14 @@ def point_in_time(
             F.col(key).alias(_KEY), F.expr(f"explode(array({copied}))").alias("__c"),
             *[F.struct(*m.columns).alias(slot[m.name]) if version is m else nothing[m.name] for m in latest],
             no_row if row is None else row.alias(_ROW))
-        return wide.selectExpr(
-            _KEY, f"__c.at AS {_AT}", f"(__c.at - pmod(__c.at, {step})) div {step} AS {_PANE}",
+        lost = f"(__c.at IS NULL OR {_KEY} IS NULL)"
+        return wide.where("__c IS NOT NULL" if row is None else f"NOT {lost} OR __c.kind = {_ANCHOR}").selectExpr(
+            _KEY, f"__c.at AS {_AT}",
+            f"CASE WHEN {lost} THEN {'NULL' if row is None else f'pmod(xxhash64(to_json({_ROW})), {_LOST_PANES})'} "
+            f"ELSE (__c.at - pmod(__c.at, {step})) div {step} END AS {_PANE}",
             f"__c.kind AS {_KIND}", f"__c.x AS {_X}", *slot.values(),
             _ROW if row is None else f"CASE WHEN __c.kind = {_ANCHOR} THEN {_ROW} END AS {_ROW}",
-        ).where(f"{_AT} IS NOT NULL AND {_KEY} IS NOT NULL")
+        ).where(f"{_AT} IS NOT NULL AND {_KEY} IS NOT NULL" if row is None else "true")
 
     head: dict[str, int] = {}
     tail: dict[str, int] = {}
@@ -179,7 +184,11 @@ def point_in_time(
         out += _merged(m, (f"__h{head[m.name]}", f"__t_{m.name}", f"__m_{m.name}"))
     out += [f"CAST(coalesce(__a_{n}, 0) + coalesce(__b_{n}, 0) AS BIGINT) AS `{n}`" for n in counted]
     out += [f"coalesce(__l_{m.name}, __k_{m.name}) AS `{m.name}`" for m in latest]
-    return joined.selectExpr(f"{_ROW}.*", *out)
+    # an anchor that no account or instant places saw nothing
+    lost = f"{_KEY} IS NULL OR {_AT} IS NULL"
+    names = [(x.rpartition(" AS ")[0], x.rpartition(" AS ")[2]) for x in out]
+    zero = {f"`{n}`" for n in (*counted, *(f"n_{m.name}" for m in trailing))}
+    return joined.selectExpr(f"{_ROW}.*", *[f"CASE WHEN {lost} THEN {'0' if n in zero else 'NULL'} ELSE {x} END AS {n}" for x, n in names])
 
 
 def _of(kind: int) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knownthen.operators.temporal import Basis
+from knownthen.operators.temporal import Basis, timeline
 from knownthen.sources.facts import FactLogs
 
 LEGACY_TABLE = "fraud_status"
@@ -18,7 +18,7 @@ def unlabelled_transactions(logs: FactLogs, basis: Basis = Basis()) -> DataFrame
 
 def closed_histories(logs: FactLogs, basis: Basis = Basis()) -> DataFrame:
     """Ids whose last classification has ended: nothing is in force now."""
-    return (logs.label_timeline(basis).groupBy("id")
+    return (timeline(logs.label, basis, logs.pane).groupBy("id")
             .agg(F.max(F.coalesce("valid_to", F.lit("9999-12-31").cast("timestamp"))).alias("ends"))
             .filter(F.col("ends") < F.lit("9999-12-31").cast("timestamp")))
 

@@ -82,13 +82,9 @@ def snapshot(log: DataFrame, basis: Basis) -> DataFrame:
 
 
 def versions(log: DataFrame, basis: Basis, pane: timedelta = DAY) -> DataFrame:
-    """Every version ever believed at the valid instant, with its system interval."""
-    facts = covering(known(log, basis), basis.valid_at)
-    chained = adjacent(facts, ["id"], ["system_from", "seq"], pane_of(micros("system_from"), pane),
-                       "system_from", "system_to")
-    return chained.filter((F.col("op") == PUT)
-                          & (F.col("system_to").isNull() | (F.col("system_from") < F.col("system_to")))
-                          ).drop("seq", "op")
+    """Every version ever believed at the valid instant, with its system interval; valid time is cut to where it was
+    believed, so the tail that a bounded correction leaves begins where the correction ends."""
+    return covering(rectangles(known(log, basis), pane), basis.valid_at)
 
 
 def replayed_timeline(log: DataFrame, basis: Basis, pane: timedelta = DAY) -> DataFrame:

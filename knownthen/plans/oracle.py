@@ -1,7 +1,7 @@
 """The same queries in SQL for DuckDB, over the same tables.
 
-Written from the definitions, not from the operators: trailing windows are band joins,
-as-known-then counts are interval joins, histories are resolved cell by cell.
+Written from the definitions, not from the operators: trailing windows are framed lists of amounts,
+prior-fraud counts are running sums over steps of a line, histories are resolved cell by cell.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ txn_log AS (
   SELECT e.event_id AS id, e.user_id AS account_id, e.ts AS txn_ts, e.value AS amount, e.event_type AS category,
          CAST(CASE WHEN e.event_id % 10 = 0 THEN (c.c_nationkey + 7) % 25 ELSE c.c_nationkey END AS BIGINT) AS country,
          date_trunc('day', e.ts) AS system_from
-  FROM events e JOIN customer c ON c.c_custkey = e.user_id),
+  FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id),
 all_labels AS (
   SELECT id, false AS is_fraud, seen AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, seen AS system_from, 0 AS seq, 'put' AS op, 'replayed' AS kind FROM truth
   UNION ALL SELECT id, true, confirmed, NULL, confirmed, 0, 'put', 'replayed' FROM truth WHERE fraud
@@ -91,15 +91,22 @@ rectangles AS (
 
 
 def prior(anchors: str = "txn", held: str = "label_held", current: str = "label", days: int = 90) -> str:
-    """Both prior-fraud counts of each anchor, as interval joins."""
-    return f""", pcf AS (
-  SELECT r.id, r.txn_ts, r.account_id, count(s.id) AS known, count(l.id) AS hindsight
-  FROM {anchors} r
-  LEFT JOIN txn f ON f.account_id = r.account_id AND f.txn_ts < r.txn_ts AND f.txn_ts >= r.txn_ts - INTERVAL {days} DAY
-  LEFT JOIN {held} s ON s.id = f.id AND s.is_fraud AND s.valid_from <= r.txn_ts
-    AND (s.valid_to IS NULL OR r.txn_ts < s.valid_to)
-  LEFT JOIN {current} l ON l.id = f.id AND l.is_fraud
-  GROUP BY r.id, r.txn_ts, r.account_id)
+    """Both prior-fraud counts of each anchor: a fraud counts from one instant to another, so both are running sums
+    of steps up and down along the time of an account."""
+    after = f"txn_ts + INTERVAL {days} DAY + INTERVAL 1 MICROSECOND"
+    return f""", spans AS (
+  SELECT account_id, greatest(valid_from, txn_ts + INTERVAL 1 MICROSECOND) AS up, least(coalesce(valid_to, {EVER}), {after}) AS down, 1 AS then_, 0 AS now_
+  FROM (SELECT id, valid_from AS valid_from, valid_to FROM {held} WHERE is_fraud) JOIN (SELECT id, account_id, txn_ts FROM txn) USING (id)
+  UNION ALL SELECT account_id, txn_ts + INTERVAL 1 MICROSECOND, {after}, 0, 1 FROM txn WHERE id IN (SELECT id FROM {current} WHERE is_fraud)),
+line AS (
+  SELECT account_id, up AS instant, then_, now_, NULL AS id FROM spans WHERE up < down
+  UNION ALL SELECT account_id, down, -then_, -now_, NULL FROM spans WHERE up < down
+  UNION ALL SELECT account_id, txn_ts, 0, 0, id FROM {anchors}),
+pcf AS (
+  SELECT id, instant AS txn_ts, account_id, {big("sum_then")} AS known, {big("sum_now")} AS hindsight
+  FROM (SELECT *, sum(then_) OVER so_far AS sum_then, sum(now_) OVER so_far AS sum_now FROM line
+        WINDOW so_far AS (PARTITION BY account_id ORDER BY instant RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WHERE id IS NOT NULL)
 """
 
 
@@ -108,32 +115,34 @@ def z(amount: str, mean: str, std: str, n: str) -> str:
             f"ELSE least(8.0, greatest(-8.0, ({amount} - {mean}) / {std})) END")
 
 
+def frame(width: str) -> str:
+    return (f"(PARTITION BY account_id ORDER BY instant RANGE BETWEEN INTERVAL {width} PRECEDING "
+            "AND INTERVAL 1 MICROSECOND PRECEDING)")
+
+
 def window(txn: str = "txn", fast: str = "24 HOUR", slow: str = "30 DAY") -> str:
-    """Trailing count and moments of each transaction, as a band join."""
+    """Trailing count and moments of each transaction, from the list of amounts that its window holds."""
     return f""", w AS (
-  SELECT t.id, t.account_id, t.txn_ts, t.amount,
-         count(CASE WHEN p.txn_ts >= t.txn_ts - INTERVAL {fast} THEN 1 END) AS fast, count(p.amount) AS n,
-         avg(p.amount) AS mean, stddev_samp(p.amount) AS std
-  FROM {txn} t LEFT JOIN {txn} p
-    ON p.account_id = t.account_id AND p.txn_ts < t.txn_ts AND p.txn_ts >= t.txn_ts - INTERVAL {slow}
-  GROUP BY t.id, t.account_id, t.txn_ts, t.amount)
+  SELECT id, account_id, txn_ts, amount, fast, list_count(held) AS n, list_avg(held) AS mean, list_stddev_samp(held) AS std
+  FROM (SELECT id, account_id, txn_ts, amount, count(*) OVER brief AS fast, coalesce(list(amount) OVER wide, []) AS held
+        FROM (SELECT *, txn_ts::TIMESTAMP AS instant FROM {txn}) WINDOW brief AS {frame(fast)}, wide AS {frame(slow)}))
 """
 
 
 def extract(at: str = LATEST, until: str = NOW, since: str | None = None, slow: str = "30 DAY", days: int = 90,
             limit: int | None = None, knowledge: str = "known") -> str:
-    lower = f" AND t.txn_ts >= {since}" if since else ""
-    cut = f" ORDER BY t.txn_ts DESC, t.id DESC LIMIT {limit}" if limit else ""
-    return base(at) + window(slow=slow) + prior(days=days) + f""", feat AS (
-  SELECT t.id, t.account_id, t.txn_ts, t.amount, t.country, {big("l.is_fraud")} AS label, w.n AS n_30d,
-         w.mean AS mean_30d, w.std AS std_30d, p.known AS prior_confirmed_fraud_as_known_then,
-         p.hindsight AS prior_confirmed_fraud_with_hindsight,
-         {z("t.amount", "w.mean", "w.std", "w.n")} AS amount_zscore, w.fast AS txn_count_24h,
-         {big("a.home_country <> t.country")} AS "foreign", p.{knowledge} AS prior_confirmed_fraud
-  FROM txn t JOIN label l ON l.id = t.id JOIN w ON w.id = t.id JOIN pcf p ON p.id = t.id
-  JOIN account_held a ON a.id = t.account_id AND a.valid_from <= t.txn_ts
-    AND (a.valid_to IS NULL OR t.txn_ts < a.valid_to)
-  WHERE t.txn_ts <= {until}{lower}{cut})
+    lower = f" AND txn_ts >= {since}" if since else ""
+    cut = f" ORDER BY txn_ts DESC, id DESC LIMIT {limit}" if limit else ""
+    return base(at) + window(slow=slow) + prior(days=days) + f""", placed AS (
+  SELECT w.*, country, home_country FROM w JOIN (SELECT id, country FROM txn) USING (id)
+  ASOF JOIN (SELECT id AS holder, home_country, valid_from FROM account_log) v ON w.account_id = v.holder AND w.txn_ts >= v.valid_from),
+feat AS (
+  SELECT id, account_id, txn_ts, amount, country, {big("is_fraud")} AS label, n AS n_30d, mean AS mean_30d, std AS std_30d,
+         known AS prior_confirmed_fraud_as_known_then, hindsight AS prior_confirmed_fraud_with_hindsight,
+         {z("amount", "mean", "std", "n")} AS amount_zscore, fast AS txn_count_24h,
+         {big("home_country <> country")} AS "foreign", {knowledge} AS prior_confirmed_fraud
+  FROM placed JOIN (SELECT id, is_fraud FROM label) USING (id) JOIN (SELECT id, known, hindsight FROM pcf) USING (id)
+  WHERE txn_ts <= {until}{lower}{cut})
 """
 
 
@@ -156,24 +165,21 @@ def prob(pcf: str | None = None) -> str:
 
 
 def vectors(requests: str, facts: str = "txn JOIN label USING (id)", label: str = "label") -> str:
-    """Serving vectors of (req_id, account_id, t, amount, country) rows, one join per request."""
-    return f""", facts AS (SELECT id, account_id, txn_ts, amount FROM {facts}),
-requests AS ({requests}),
+    """Serving vectors of (req_id, account_id, t, amount, country) rows: requests and facts in one time line per account."""
+    return f""", requests AS ({requests}),
+mixed AS (
+  SELECT account_id, t AS instant, req_id, NULL::DOUBLE AS spent, false AS bad FROM requests
+  UNION ALL SELECT account_id, txn_ts, NULL, amount, id IN (SELECT id FROM {label} WHERE is_fraud) FROM (SELECT id, account_id, txn_ts, amount FROM {facts})),
+looked AS (
+  SELECT req_id, count(*) FILTER (req_id IS NULL) OVER day_ AS txn_count_24h, coalesce(list(spent) FILTER (req_id IS NULL) OVER month_, []) AS held,
+         count(*) FILTER (bad) OVER season AS prior_confirmed_fraud
+  FROM mixed WINDOW day_ AS {frame("24 HOUR")}, month_ AS {frame("30 DAY")}, season AS {frame("90 DAY")}),
 served AS (
-  SELECT q.req_id, q.account_id, q.t, q.amount, q.country,
-         count(CASE WHEN f.txn_ts >= q.t - INTERVAL 24 HOUR THEN 1 END) AS txn_count_24h,
-         count(CASE WHEN f.txn_ts >= q.t - INTERVAL 30 DAY THEN f.amount END) AS n_30d,
-         avg(CASE WHEN f.txn_ts >= q.t - INTERVAL 30 DAY THEN f.amount END) AS mean_30d,
-         stddev_samp(CASE WHEN f.txn_ts >= q.t - INTERVAL 30 DAY THEN f.amount END) AS std_30d,
-         count(CASE WHEN f.txn_ts >= q.t - INTERVAL 90 DAY AND l.is_fraud THEN 1 END) AS prior_confirmed_fraud
-  FROM requests q LEFT JOIN facts f ON f.account_id = q.account_id AND f.txn_ts < q.t
-  LEFT JOIN {label} l ON l.id = f.id
-  GROUP BY q.req_id, q.account_id, q.t, q.amount, q.country),
+  SELECT requests.*, txn_count_24h, list_count(held) AS n_30d, list_avg(held) AS mean_30d, list_stddev_samp(held) AS std_30d, prior_confirmed_fraud
+  FROM requests JOIN looked USING (req_id)),
 vec AS (
-  SELECT s.*, {z("s.amount", "s.mean_30d", "s.std_30d", "s.n_30d")} AS amount_zscore,
-         {big("coalesce(a.home_country <> s.country, false)")} AS "foreign"
-  FROM served s LEFT JOIN account_held a ON a.id = s.account_id AND a.valid_from <= s.t
-    AND (a.valid_to IS NULL OR s.t < a.valid_to))
+  SELECT s.*, {z("amount", "mean_30d", "std_30d", "n_30d")} AS amount_zscore, {big("coalesce(home_country <> country, false)")} AS "foreign"
+  FROM served s ASOF LEFT JOIN (SELECT id AS holder, home_country, valid_from FROM account_log) v ON s.account_id = v.holder AND s.t >= v.valid_from)
 """
 
 
@@ -181,18 +187,18 @@ LATER_REQUESTS = "SELECT id AS req_id, account_id, txn_ts + INTERVAL 6 HOUR AS t
 VECTOR_COLUMNS = f"""req_id, account_id, t, {r("amount")} AS amount, n_30d, {r("mean_30d")} AS mean_30d,
   {r("std_30d")} AS std_30d, {r("amount_zscore")} AS amount_zscore, txn_count_24h, "foreign", prior_confirmed_fraud"""
 
-CORRECTED = """, flips AS (
-  SELECT id, min(CASE WHEN is_fraud THEN system_from END) AS confirmed_at,
-         min(CASE WHEN NOT is_fraud THEN system_from END) AS first_seen FROM label_log GROUP BY id),
-corrected AS (
-  SELECT t.id, t.account_id, t.amount, t.country, t.txn_ts AS event_at, f.confirmed_at
-  FROM flips f JOIN txn t ON t.id = f.id WHERE f.first_seen < f.confirmed_at)
+#: a transaction whose first fraud fact comes after a legit one
+CORRECTED = """, opening AS (
+  SELECT id, is_fraud, system_from FROM label_log QUALIFY row_number() OVER (PARTITION BY id, is_fraud ORDER BY system_from) = 1),
+late AS (
+  SELECT id, system_from AS confirmed_at, lag(system_from) OVER (PARTITION BY id ORDER BY system_from, is_fraud) AS first_seen, is_fraud FROM opening),
+flips AS (SELECT id, confirmed_at, first_seen FROM late WHERE is_fraud AND first_seen < confirmed_at),
+corrected AS (SELECT id, account_id, amount, country, txn_ts AS event_at, confirmed_at FROM txn JOIN flips USING (id))
 """
 
 STATES = """, states AS (
-  SELECT t.*, l.system_from AS learned_at,
-         CASE WHEN l.is_fraud THEN 'fraud' WHEN p.id IS NOT NULL THEN 'pending' ELSE 'legit' END AS state
-  FROM txn t JOIN label l ON l.id = t.id LEFT JOIN pending p ON p.id = t.id)
+  SELECT *, CASE WHEN id IN (SELECT id FROM label WHERE is_fraud) THEN 'fraud' WHEN id IN (SELECT id FROM pending) THEN 'pending' ELSE 'legit' END AS state
+  FROM txn JOIN (SELECT id, system_from AS learned_at FROM label) USING (id))
 """
 
 
@@ -234,21 +240,17 @@ GAPPED = f""", gapped_log AS (
     AND (id, system_from) IN (SELECT id, seen FROM truth UNION SELECT id, confirmed FROM truth)
   UNION ALL SELECT id, NULL, confirmed + INTERVAL 1 DAY, confirmed + INTERVAL 1 DAY, 1, 'del' FROM truth
   WHERE fraud AND k % 13 = 0 AND confirmed + INTERVAL 1 DAY <= {NOW}),
+bounded AS (SELECT id, CASE WHEN confirmed <= {NOW} THEN confirmed + INTERVAL 3 DAY ELSE confirmed END AS ends FROM truth WHERE fraud AND k % 17 = 0),
 last_fact AS (
-  SELECT id, op, valid_from FROM gapped_log QUALIFY row_number() OVER (PARTITION BY id ORDER BY system_from DESC, seq DESC) = 1)
+  SELECT id, CASE WHEN op = 'del' THEN valid_from END AS gone FROM gapped_log QUALIFY row_number() OVER (PARTITION BY id ORDER BY system_from DESC, seq DESC) = 1)
 """
 
 NEWEST_SUBJECTS = """SELECT id AS req_id, account_id, txn_ts AS t, amount, country FROM txn
   QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY txn_ts DESC, id DESC) = 1"""
 
-LEAKAGE = f""", settled AS (SELECT * FROM txn WHERE txn_ts <= {SETTLED})""" + prior("settled") + """, leaky AS (
-  SELECT r.id, count(f.id) AS pcf_leaky FROM settled r
-  LEFT JOIN (SELECT t.id, t.account_id, t.txn_ts FROM txn t JOIN label l ON l.id = t.id WHERE l.is_fraud) f
-    ON f.account_id = r.account_id AND f.txn_ts < r.txn_ts AND f.txn_ts >= r.txn_ts - INTERVAL 90 DAY
-  GROUP BY r.id),
-leak AS (
-  SELECT p.id, p.account_id, p.txn_ts, p.known AS leak_free, l.pcf_leaky, l.pcf_leaky - p.known AS over
-  FROM pcf p JOIN leaky l ON l.id = p.id)
+#: what a query of today's labels counts too much at each decision
+LEAKAGE = f""", settled AS (SELECT * FROM txn WHERE txn_ts <= {SETTLED})""" + prior("settled") + """, leak AS (
+  SELECT id, account_id, txn_ts, known AS leak_free, hindsight AS pcf_leaky, hindsight - known AS over FROM pcf)
 """
 
 TRAILING = base() + window()
@@ -317,9 +319,7 @@ WHERE valid_from <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > T
         "label_timeline": base(PAST) + "SELECT id, is_fraud, valid_from, valid_to FROM label_held",
         "label_intervals": base() + "SELECT id, is_fraud, valid_from, valid_to FROM label_held",
         "label_timeline_corrected": base() + RECTANGLES + "SELECT id, is_fraud, valid_from, valid_to FROM rectangles WHERE system_to IS NULL",
-        "label_versions": base() + RECTANGLES + """SELECT id, is_fraud, (SELECT min(valid_from) FROM corrected_log f
-  WHERE f.id = r.id AND f.system_from = r.system_from AND f.valid_to IS NULL) AS valid_from, system_from, system_to
-FROM rectangles r WHERE valid_to IS NULL""",
+        "label_versions": base() + RECTANGLES + "SELECT id, is_fraud, valid_from, system_from, system_to FROM rectangles WHERE valid_to IS NULL",
         "label_rectangles": base() + RECTANGLES + "SELECT * FROM rectangles",
         "pending_current": base() + "SELECT * FROM pending",
         "pending_at_basis": base(PAST) + "SELECT * FROM pending",
@@ -351,9 +351,7 @@ GROUP BY 1""",
         "pcf_known_14d": base() + prior(days=14) + """SELECT id, known AS prior_confirmed_fraud_as_known_then,
   hindsight AS prior_confirmed_fraud_with_hindsight FROM pcf""",
         "pcf_hindsight": base() + prior() + "SELECT id, hindsight AS prior_confirmed_fraud_with_hindsight FROM pcf",
-        "pcf_leaky": base() + """SELECT r.id, count(f.id) AS pcf_leaky FROM txn r
-LEFT JOIN (SELECT t.id, t.account_id, t.txn_ts FROM txn t JOIN label l ON l.id = t.id WHERE l.is_fraud) f
-  ON f.account_id = r.account_id AND f.txn_ts < r.txn_ts AND f.txn_ts >= r.txn_ts - INTERVAL 90 DAY GROUP BY r.id""",
+        "pcf_leaky": base() + prior() + "SELECT id, hindsight AS pcf_leaky FROM pcf",
         "pcf_compare": base(PAST) + prior() + """SELECT id, txn_ts, known AS prior_confirmed_fraud_as_known_then,
   hindsight AS prior_confirmed_fraud_with_hindsight FROM pcf""",
         "pcf_corrected": base() + RECTANGLES + """, held AS (SELECT * FROM rectangles WHERE system_to IS NULL),
@@ -435,8 +433,8 @@ SELECT account_id, req_id AS txn_id, t AS valid_time, {r("amount")} AS amount, c
         "settle_due": commit(f"({NOW} + INTERVAL 4 DAY)", f"due <= {NOW} + INTERVAL 4 DAY"),
         "replay_before_after": replay(),
         "unlabelled_txns": base() + GAPPED + """SELECT t.id, t.account_id, t.txn_ts FROM txn t
-JOIN last_fact f ON f.id = t.id WHERE f.op = 'del'""",
-        "finite_tail_labels": base() + GAPPED + "SELECT id, valid_from AS ends FROM last_fact WHERE op = 'del'",
+WHERE id IN (SELECT id FROM last_fact WHERE gone IS NOT NULL UNION SELECT id FROM bounded)""",
+        "finite_tail_labels": base() + GAPPED + "SELECT id, coalesce(gone, ends) AS ends FROM last_fact LEFT JOIN bounded USING (id) WHERE gone IS NOT NULL OR ends IS NOT NULL",
         "label_time_mismatch": base() + """SELECT is_fraud, count(*) AS n FROM corrected_log WHERE valid_from <> system_from GROUP BY 1""",
         "daily_activity": DAILY,
         "velocity_sliding": """SELECT user_id AS account_id, w AS window_start, count(*) AS n FROM (
@@ -449,7 +447,7 @@ UNION ALL SELECT 'label', id, false FROM truth UNION ALL SELECT 'pending', id, N
 JOIN label_log l ON l.id = t.id AND l.is_fraud GROUP BY t.id, t.txn_ts""",
         "stream_velocity": VELOCITY,
         "stream_score": "SELECT event_id AS id, 'fixed-1' AS model_version, true AS is_probability FROM events",
-        "stream_corrections": base() + CORRECTED + "SELECT id, confirmed_at, first_seen FROM flips WHERE first_seen < confirmed_at",
+        "stream_corrections": base() + CORRECTED + "SELECT * FROM flips",
         "stream_dedup": f"SELECT event_id AS id, user_id AS account_id, ts AS txn_ts, {r('value')} AS amount FROM events",
         "stream_daily": DAILY,
     }

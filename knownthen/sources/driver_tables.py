@@ -39,7 +39,7 @@ def days_after(ts, n):
 def transactions(events: DataFrame, customer: DataFrame) -> DataFrame:
     home = customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("home"))
     country = F.when(F.col("event_id") % 10 == 0, (F.col("home") + 7) % 25).otherwise(F.col("home"))
-    txn = events.join(home, "user_id").select(
+    txn = events.join(home, "user_id", "left").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("account_id"), F.col("ts").alias("txn_ts"),
         F.col("value").alias("amount"), F.col("event_type").alias("category"), country.alias("country"))
     return as_log(txn, valid_from=F.col("txn_ts"), system_from=utc_day("txn_ts"))
@@ -107,10 +107,13 @@ def corrected_labels(events: DataFrame) -> DataFrame:
 
 
 def gapped_labels(events: DataFrame) -> DataFrame:
-    """The same as `labels` with some histories deleted after confirmation."""
-    fraud, k, confirmed = F.col("fraud"), F.col("k"), F.col("confirmed")
-    gone = days_after(confirmed, 1)
-    return _facts(events, _replayed_cases()[:2] + [(fraud & (k % 13 == 0), None, gone, gone, None, 1, DELETE)])
+    """The same as `labels` with some histories deleted after confirmation, and some whose facts all end."""
+    fraud, k, seen, confirmed = F.col("fraud"), F.col("k"), F.col("seen"), F.col("confirmed")
+    gone, ends = days_after(confirmed, 1), fraud & (k % 17 == 0)
+    usual = [(condition & ~ends, *rest) for condition, *rest in _replayed_cases()[:2]]
+    return _facts(events, usual + [
+        (ends, False, seen, seen, confirmed, 0, PUT), (ends, True, confirmed, confirmed, days_after(confirmed, 3), 0, PUT),
+        (fraud & (k % 13 == 0), None, gone, gone, None, 1, DELETE)])
 
 
 def pending_chargebacks(events: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def fact_logs(spark: SparkSession, sf_dir: str) -> FactLogs:
 
 
 def replay_order(logs: FactLogs) -> DataFrame:
-    """All facts of all logs as one stream of (table, id, fact), ordered by when they were learned."""
+    """All facts of all logs as one table of (table, id, fact); system_from tells when each was learned."""
     def tagged(log, name, is_fraud):
         return log.select(F.lit(name).alias("table_name"), "id", is_fraud.cast("boolean").alias("is_fraud"),
                           "valid_from", "system_from", "op")

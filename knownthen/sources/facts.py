@@ -8,7 +8,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knownthen.functions.clock import DAY, at
-from knownthen.operators.temporal import Basis, known, replayed_timeline, snapshot, timeline
+from knownthen.operators.temporal import PUT, Basis, known, replayed_timeline, snapshot, timeline
 from knownthen.sources.shared import read_if_present
 
 TXN_SCHEMA = "account_id {key}, txn_ts timestamp, amount double, category string, country {country}"
@@ -35,7 +35,9 @@ class FactLogs:
     def transactions(self, basis: Basis) -> DataFrame:
         if self.restated:
             return snapshot(self.txn, basis).drop("valid_to")
-        return known(self.txn, basis).drop("valid_to", "seq", "op")
+        once = (F.col("op") == PUT) & (F.col("seq") == 0) & F.col("valid_to").isNull()
+        plain = F.when(once, True).otherwise(F.raise_error(F.lit("transactions were restated: use restated=True")).cast("boolean"))
+        return known(self.txn, basis).filter(plain).drop("valid_to", "seq", "op")
 
     def labels(self, basis: Basis) -> DataFrame:
         return snapshot(self.label, basis)
@@ -53,22 +55,20 @@ class FactLogs:
         read = replayed_timeline if self.replayed else timeline
         return read(log, basis, self.pane)
 
-    def around(self, accounts: DataFrame, since: datetime | None = None, until: datetime | None = None,
-               slack: timedelta = DAY) -> "FactLogs":
+    def around(self, accounts: DataFrame, since: datetime | None = None, until: datetime | None = None) -> "FactLogs":
         """The part of these logs that can matter to some accounts over some event time.
 
-        Time bounds prune the scans; a label is never learned before its transaction, give
-        or take `slack`. The account filter is a semi join, so a small `accounts` side is
-        broadcast by size and a large one shuffled.
+        Time bounds prune the scan of transactions, whose ids then narrow the labels, whenever those were learned.
+        The filters are semi joins, so a small side is broadcast by size and a large one shuffled.
         """
-        txn, label, account = self.txn, self.label, self.account
+        txn, account = self.txn, self.account
         if since is not None:
             txn = txn.filter(F.col("txn_ts") >= at(since))
-            label = label.filter(F.col("system_from") >= at(since - slack))
         if until is not None:
             txn = txn.filter(F.col("txn_ts") <= at(until))
         account_ids = accounts.select("account_id").distinct()
-        return replace(self, label=label, txn=txn.join(account_ids, "account_id", "left_semi"),
+        txn = txn.join(account_ids, "account_id", "left_semi")
+        return replace(self, label=self.label.join(txn.select("id").distinct(), "id", "left_semi"), txn=txn,
                        account=account.join(account_ids, F.col("id") == F.col("account_id"), "left_semi"))
 
     def learn(self, *, label: DataFrame | None = None, pending: DataFrame | None = None) -> "FactLogs":

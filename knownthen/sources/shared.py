@@ -13,10 +13,14 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset."""
+    """`spark.checkpoint.dir` of the session. Where it is unset, a temporary folder, but only if driver and executors are one process:
+    executors of a cluster would each write to their own disk."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="knownthen-"))
     return _local[0]
