@@ -7,7 +7,8 @@ on full shingle sets.
 
 No bucket is expanded into all pairs. First each class of a bucket meets the bucket's smallest. Then only classes that
 are still in different components are compared with each other, in blocks of bounded size, and a pair leaves its block only if it
-survives there, and only in the first band it shares.
+survives there, and only in the first band it shares. The survivors of a block are verified together, so each shingle set goes
+there once, however many pairs it is in.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ BANDS, ROWS = 64, 5
 HASHES = BANDS * ROWS
 #: Sizes of the signature prefix after each batch, and the chance to lose a pair of the threshold's similarity at each.
 BATCHES, MISS = (32, 64, 128, 192, HASHES), 1e-7
-BLOCK = 512
+#: A block holds about so many classes and so many shingles, whichever is reached first.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -147,8 +149,8 @@ def pruned(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
-    """Pairs (a, b) of doc_ids with 100 * intersection >= percent * union of their full shingle sets."""
+def shingle_sets(asked: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """node, members (the full shingle set) of the documents asked for by doc_id, as a table."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
@@ -156,26 +158,33 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text"
                 made = [shingler.distinct(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["node", "members"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(asked, "doc_id", "left_semi")
+    return written(texts.mapInArrow(sets, "node long, members binary"), "sets")
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of doc_ids with 100 * intersection >= percent * union of their full shingle sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 512):
-                good = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+                good = [similar(x, y, percent) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(asked, "doc_id", "left_semi")
-    members = written(texts.mapInArrow(sets, "node long, members binary"), "sets")
+    members = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, text)
     side = lambda x: members.withColumnsRenamed({"node": x, "members": f"set_{x}"})
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs of classes of one bucket but different components; entries: key, node, comp, n_shingles, sig, held."""
+    """A row per block of a bucket: the surviving pairs (arrays a and b) of classes in different components.
+    entries: key, node, comp, n_shingles, sig, and blocks of the bucket."""
     need = [least_matches(n, percent, MISS) for n in BATCHES]
 
     def run(key, table):
@@ -201,13 +210,34 @@ def _across(entries: DataFrame, percent: int) -> DataFrame:
             shared = (sig[i] == sig[j]).reshape(len(i), BANDS, ROWS).all(2).argmax(1)
             i, j = i[shared == band], j[shared == band]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        rows = [tuple(k.as_py() for k in key) + (a.tolist(), b.tolist())] if len(a) else []
+        pairs = pa.list_(pa.int64())
+        kinds = [("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("a", pairs), ("b", pairs)]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = entries.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    return dealt.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("key", "low", "high").applyInArrow(run, "key long, low int, high int, a array<bigint>, b array<bigint>")
+
+
+def _verified_blocks(jobs: DataFrame, docs: DataFrame, percent: int, text: str) -> DataFrame:
+    """The pairs (a, b) of the blocks' arrays whose full shingle sets are similar enough."""
+    def run(key, pairs, sets):
+        of: dict[int, list[bytes]] = {}
+        for node, members in zip(sets.column("node").to_pylist(), sets.column("members").to_pylist()):
+            of.setdefault(node, []).append(members)
+        good = [(a, b) for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()) for a, b in zip(x, y)
+                if any(similar(s, t, percent) for s in of.get(a, ()) for t in of.get(b, ()))]
+        return pa.table([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    block = ["key", "low", "high"]
+    nodes = jobs.select(*block, F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    members = shingle_sets(nodes.select(F.col("node").alias("doc_id")).distinct(), docs, text)
+    held = nodes.join(members, "node").select(*block, "node", "members")
+    named = jobs.withColumnsRenamed({c: f"_{c}" for c in block})
+    return named.groupBy(*[f"_{c}" for c in block]).cogroup(held.groupBy(*block)).applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -224,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
     classes = real.groupBy("print").agg(F.min("doc_id").alias("node"))
     reps = written(real.join(classes.select("print", F.col("node").alias("doc_id")), ["print", "doc_id"], "left_semi")
                    .select(F.col("doc_id").alias("node"), "n_shingles", "sig", "keys"), "classes")
-    banded = reps.select("node", F.explode("keys").alias("key"))
+    banded = reps.select("node", "n_shingles", F.explode("keys").alias("key"))
     buckets = (banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("_last"))
                .filter(F.col("pivot") < F.col("_last")).drop("_last"))
     entries = written(banded.join(buckets, "key"), "buckets")
@@ -232,13 +262,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text")
     tried = written(pruned(stars, reps, percent).distinct(), "stars")
     links = written(verified(tried, docs, percent, text), "links")
     first = components(links)
-    labelled = entries.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")).distinct()
+    labelled = entries.join(first, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("comp")).distinct()
     labelled = written(labelled, "labelled")
-    open_ = (labelled.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("held"))
-             .filter(F.col("_a") < F.col("_b")).select("key", "held"))
-    across = labelled.join(open_, "key").join(reps.select("node", "n_shingles", "sig"), "node")
-    more = written(_across(across, percent).distinct().join(tried, ["a", "b"], "left_anti"), "across")
-    links = links.union(verified(more, docs, percent, text))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    open_ = (labelled.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), blocks.alias("blocks"))
+             .filter(F.col("_a") < F.col("_b")).select("key", "blocks"))
+    across = labelled.join(open_, "key").join(reps.select("node", "sig"), "node")
+    links = links.union(_verified_blocks(written(_across(across, percent), "across"), docs, percent, text))
     # two texts of one doc_id join their classes
     twice = real.groupBy("doc_id").agg(F.min("print").alias("_a"), F.max("print").alias("_b")).filter("_a != _b").select("doc_id")
     same = real.join(twice, "doc_id", "left_semi").join(classes, "print").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
