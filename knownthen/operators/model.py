@@ -121,6 +121,16 @@ def fit(training: DataFrame, version: str) -> LinearModel:
     return LinearModel(**{**asdict(model), "auc": held_out, "n_train": sizes["n"], "n_fraud": sizes["pos"]})
 
 
+def gradient(training: DataFrame, model: LinearModel) -> dict[str, float]:
+    """Slope of the fitted objective per training row along each coefficient: zero at its optimum."""
+    part = scored(split(training).filter(~F.col("is_test")), model)
+    n, pos = part.agg(F.count(F.lit(1)), F.sum("label")).first()
+    weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
+    sums = part.agg(*[F.sum(weight * (F.col("p") - F.col("label")) * (F.col(f) - model.mean[i]) / model.scale[i]).alias(f)
+                      for i, f in enumerate(FEATURES)]).first()
+    return {f: (sums[f] + model.coef[i]) / n for i, f in enumerate(FEATURES)}
+
+
 def train(training: DataFrame, version: str) -> LinearModel | None:
     """Fit unless there are too few confirmed frauds to learn from."""
     return fit(training, version) if class_counts(training).first()["can_train"] else None

@@ -303,6 +303,32 @@ def replay() -> str:
 FROM ({side("label")}) b JOIN ({side("confirmed_label")}) a ON a.req_id = b.req_id"""
 
 
+def arrival_scores() -> str:
+    """Each half of the arrivals, scored with what was known at its newest instant."""
+    half, watched = "TIMESTAMP '2024-01-16'", "TIMESTAMP '2024-01-05'"
+    def side(test, lower):
+        newest = f"(SELECT max(ts) FROM events WHERE ts {test} {half})"
+        asked = f"SELECT id AS req_id, account_id, txn_ts AS t, amount, country FROM txn WHERE txn_ts {test} {half} AND txn_ts >= {lower}"
+        return base(newest) + vectors(asked) + f"SELECT req_id AS id, {r(prob())} AS p, 'fixed-1' AS model_version FROM vec"
+    return f"SELECT * FROM ({side('<', watched)}) UNION ALL SELECT * FROM ({side('>=', half)})"
+
+
+def fitted() -> str:
+    """Mean and spread of each feature over the part that is learned from, and the sizes of the whole extract."""
+    ranked = extract(until=SETTLED) + """, part AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) > 0.3 * count(*) OVER (PARTITION BY label) AS learns FROM feat)"""
+    one = lambda f: f"""SELECT '{f}' AS feature, {r(f'avg("{f}") FILTER (learns)')} AS mean,
+  {r(f'coalesce(nullif(stddev_pop("{f}") FILTER (learns), 0), 1)')} AS scale, count(*) AS n_train, {big("sum(label)")} AS n_fraud, true AS at_optimum FROM part"""
+    return ranked + " UNION ALL ".join(one(f) for f in FEATURES)
+
+
+def stored() -> str:
+    def side(name, at, until, when):
+        return (extract(at, until) + f"""SELECT '{name}' AS version, {when} AS trained_at_wall, {when} AS trained_at_sim,
+  count(*) AS n_train, {big("sum(label)")} AS n_fraud FROM feat""")
+    return f"SELECT * FROM ({side('past', PAST, SETTLED_PAST, PAST)}) UNION ALL SELECT * FROM ({side('now', LATEST, SETTLED, NOW)})"
+
+
 def oracle_sql() -> dict[str, str]:
     training = extract(until=SETTLED)
     return {
@@ -395,6 +421,9 @@ FROM txn t JOIN label l ON l.id = t.id WHERE t.txn_ts <= {SETTLED}""",
         "train_guard": base() + f""", c AS (SELECT count(*) AS n, count(*) FILTER (l.is_fraud) AS n_fraud
   FROM txn t JOIN label l ON l.id = t.id WHERE t.txn_ts <= {SETTLED})
 SELECT n, n_fraud, n_fraud >= 5 AS can_train, n_fraud >= 2 AND n - n_fraud >= 2 AS can_fit FROM c""",
+        "fit_metrics": fitted(),
+        "model_store": training + "SELECT id, true AS same_score, 'stored-1' AS model_version FROM feat",
+        "model_registry": stored(),
         "registry_latest": REGISTRY + "SELECT * FROM registry ORDER BY trained_at_wall DESC LIMIT 1",
         "registry_version": REGISTRY + "SELECT * FROM registry WHERE version = '20240115'",
         "corrections": base() + CORRECTED + f"SELECT id, account_id, {r('amount')} AS amount, country, event_at, confirmed_at FROM corrected",
@@ -446,7 +475,7 @@ UNION ALL SELECT 'label', id, false FROM truth UNION ALL SELECT 'pending', id, N
         "stream_confirm_join": base() + """SELECT t.id, t.txn_ts, min(l.system_from) AS confirmed_at FROM truth t
 JOIN label_log l ON l.id = t.id AND l.is_fraud GROUP BY t.id, t.txn_ts""",
         "stream_velocity": VELOCITY,
-        "stream_score": "SELECT event_id AS id, 'fixed-1' AS model_version, true AS is_probability FROM events",
+        "stream_score": arrival_scores(),
         "stream_corrections": base() + CORRECTED + "SELECT * FROM flips",
         "stream_dedup": f"SELECT event_id AS id, user_id AS account_id, ts AS txn_ts, {r('value')} AS amount FROM events",
         "stream_daily": DAILY,

@@ -18,7 +18,7 @@ from knownthen.operators.paned import Latest, point_in_time
 from knownthen.operators.temporal import Basis, rectangles, replayed_timeline, snapshot, timeline, versions
 from knownthen.sources import driver_tables as given, facts, registry as reg
 from knownthen.sources.driver_tables import NOW, OUTCOME_DELAY, PAST, fact_logs, read
-from knownthen.sources.shared import fresh_dir
+from knownthen.sources.shared import fresh_dir, written
 from knownthen.streaming import events as streams, ingest
 from knownthen.streaming.runs import staged_stream
 
@@ -29,6 +29,8 @@ SETTLED_AT_PAST = PAST - OUTCOME_DELAY
 SHORT = Windows(baseline=timedelta(days=7), fraud=timedelta(days=14))
 CURSOR = (datetime(2024, 1, 15, 12, tzinfo=timezone.utc), 0)
 LIMIT = 500
+#: Streamed arrivals come in two batches; those before WATCHED were there before the stream was.
+HALF, WATCHED = datetime(2024, 1, 16, tzinfo=timezone.utc), datetime(2024, 1, 5, tzinfo=timezone.utc)
 
 # Fixed coefficients, so that scores compare exactly.
 MODEL = LinearModel(
@@ -352,16 +354,23 @@ def train_guard(spark, sf):
 
 
 def fit_metrics(spark, sf):
-    return models.as_frame(spark, models.fit(training(spark, sf), "fitted"))
+    """What was fitted, and whether the objective is flat there in the direction of each feature."""
+    rows = written(training(spark, sf), "fit")
+    model = models.fit(rows, "fitted")
+    slope = models.gradient(rows, model)
+    flat = F.create_map(*[x for f, g in slope.items() for x in (F.lit(f), F.lit(abs(g) < 1e-5))])
+    return models.as_frame(spark, model).select("feature", "mean", "scale", "n_train", "n_fraud", flat[F.col("feature")].alias("at_optimum"))
 
 
 def model_store(spark, sf):
-    """Fit, store, and score with the artifact loaded back by version."""
+    """Fit, store, and score with the artifact loaded back by version and with the fitted one."""
     root = fresh_dir(spark, "models")
-    rows = training_set(logs_of(spark, sf), LATEST, SHORT, resolved_before=SETTLED)
-    reg.store_model(spark, models.fit(rows, "stored-1"), root, wall=NOW, sim=NOW)
+    rows = written(training_set(logs_of(spark, sf), LATEST, SHORT, resolved_before=SETTLED), "stored")
+    fitted = models.fit(rows, "stored-1")
+    reg.store_model(spark, fitted, root, wall=NOW, sim=NOW)
     loaded = reg.load_version(spark, root, "stored-1")
-    return models.scored(rows, loaded).select("id", "p", F.lit(loaded.version).alias("model_version"))
+    both = models.scored(models.scored(rows, fitted).withColumnRenamed("p", "before"), loaded)
+    return both.select("id", (F.col("p") == F.col("before")).alias("same_score"), F.lit(loaded.version).alias("model_version"))
 
 
 def model_registry(spark, sf):
@@ -382,12 +391,20 @@ def daily_registry(spark, sf):
                        F.col("system_from").alias("trained_at_wall"), "n_train", "n_fraud")
 
 
+def stored_registry(spark, sf):
+    """The daily rows as a stored registry, read back."""
+    root = fresh_dir(spark, "daily")
+    unknown = {"trained_at_sim": F.col("trained_at_wall"), "auc": F.lit(None).cast("double"), "path": F.lit(None).cast("string")}
+    reg.append_rows(daily_registry(spark, sf).withColumns(unknown), root)
+    return reg.registry(spark, root).select("version", "trained_at_wall", "n_train", "n_fraud")
+
+
 def registry_latest(spark, sf):
-    return reg.latest(daily_registry(spark, sf))
+    return reg.latest(stored_registry(spark, sf))
 
 
 def registry_version(spark, sf):
-    return reg.by_version(daily_registry(spark, sf), "20240115")
+    return reg.by_version(stored_registry(spark, sf), "20240115")
 
 
 # --- feed, pages, differences --------------------------------------------------------
@@ -555,8 +572,9 @@ def stream_velocity(spark, sf):
 def stream_score(spark, sf):
     logs = logs_of(spark, sf)
     arrivals = txn_of(logs).select("id", "account_id", "txn_ts", "amount", "country")
-    scores = ingest.score_on_arrival(staged_stream(arrivals, "txn_ts", 2), logs, MODEL)
-    return scores.select("id", "model_version", F.col("p").between(0, 1).alias("is_probability"))
+    halves = staged_stream(arrivals.withColumn("late", F.col("txn_ts") >= at(HALF)), "late", 2)
+    there = arrivals.filter(F.col("txn_ts") < at(WATCHED)).select("id")
+    return ingest.score_on_arrival(halves, logs, MODEL, baseline=there).select("id", "p", "model_version")
 
 
 def stream_corrections(spark, sf):

@@ -24,7 +24,11 @@ def store_model(spark: SparkSession, model: LinearModel, root: str, *, wall: dat
         F.lit(model.version).alias("version"), at(wall).alias("trained_at_wall"), at(sim).alias("trained_at_sim"),
         F.lit(model.auc).cast("double").alias("auc"), F.lit(model.n_train).cast("long").alias("n_train"),
         F.lit(model.n_fraud).cast("long").alias("n_fraud"), F.lit(path).alias("path"))
-    row.coalesce(1).write.mode("append").parquet(os.path.join(root, "registry"))
+    append_rows(row, root)
+
+
+def append_rows(rows: DataFrame, root: str) -> None:
+    rows.coalesce(1).write.mode("append").parquet(os.path.join(root, "registry"))
 
 
 def registry(spark: SparkSession, root: str) -> DataFrame:

@@ -100,7 +100,8 @@ def velocity_on_arrival(stream: DataFrame, windows: Windows = Windows()) -> Data
 
 def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
                      windows: Windows = Windows(), baseline: DataFrame | None = None) -> DataFrame:
-    """Score each new transaction once per model version against the logs.
+    """Score each new transaction once per model version, each batch as of its newest instant: with the labels
+    and transactions known by then, and none that were learned later.
 
     Transactions already in `baseline` (ids) were there before the stream was watched;
     the batch form scores those. Redelivered ids and retried batches add nothing.
@@ -120,7 +121,7 @@ def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
         reach = max(windows.velocity, windows.baseline, windows.fraud)
         first, last = (UNIX + timedelta(microseconds=us or 0) for us in span)
         near = logs.around(new, since=first - reach, until=last)
-        vectors = serve(requests_from(new), near, Basis(), windows)
+        vectors = serve(requests_from(new), near, Basis(system_at=last), windows)
         put_batch(scored(vectors, model).select(
             F.col("req_id").alias("id"), "p", F.lit(model.version).alias("model_version")), root, "scores", batch_id)
 
