@@ -30,11 +30,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, UPPER.lower()), path
 
 
-def _block(key: Column, blocks: int) -> Column:
+def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def _mask(key: Column) -> Column:
+def mask_of(key: Column) -> Column:
     """Four bits of a word, taken from a second hash."""
     h = F.xxhash64(key, F.lit("bits"))
     out = F.lit(0).cast("long")
@@ -46,7 +46,7 @@ def _mask(key: Column) -> Column:
 
 def bloom_words(keys: DataFrame, blocks: int) -> DataFrame:
     """One row with the filter of column `key`: an array of `blocks` words."""
-    words = (keys.select(_block(F.col("key"), blocks).cast("long").alias("id"), _mask(F.col("key")).alias("mask"))
+    words = (keys.select(block_of(F.col("key"), blocks).cast("long").alias("id"), mask_of(F.col("key")).alias("mask"))
              .groupBy("id").agg(F.bit_or("mask").alias("bits")))
     every = keys.sparkSession.range(blocks).join(words, "id", "left")
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))),
@@ -77,13 +77,11 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     starts = [F.substring("path", 1, n) for n in sorted(sizes.lengths)]
     keys = F.flatten(F.transform(suffixes, lambda s: F.array(*[F.concat(s, F.lit("\n"), x) for x in starts]))
                      if starts else F.array(F.array().cast("array<string>")))
-    words = bloom_words(listed, blocks).scalar()
-    possible = F.array_distinct(F.filter(
-        keys, lambda k: F.element_at(F.col("_words"), _block(k, blocks) + 1).bitwiseAND(_mask(k)) == _mask(k)))
-    at = at.withColumn("_words", words).withColumn("_keys", possible).drop("_words")
+    words = bloom_words(listed, blocks).scalar()  # one value in the condition, never a column of the rows
+    key = F.col("key")
+    possible = F.element_at(words, block_of(key, blocks) + 1).bitwiseAND(mask_of(key)) == mask_of(key)
     # salted: one entry may fit a large share of all URLs
-    urls = at.filter(F.size("_keys") > 0).select("host", "path", "_keys").distinct()
-    asked = (urls.select("host", "path", F.explode("_keys").alias("key"))
+    asked = (at.select("host", "path", F.explode(F.array_distinct(keys)).alias("key")).filter(possible).distinct()
              .withColumn("_salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS))))
     salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     fits = asked.join(salted, ["key", "_salt"])
