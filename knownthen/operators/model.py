@@ -140,7 +140,7 @@ def train_window(training: DataFrame, version: str, *, historical: bool = False,
                  persist: bool = False) -> LinearModel | None:
     """Fit on a window of data; a model of a past knowledge basis is a preview only."""
     if historical and persist:
-        raise ValueError("a model trained at a past knowledge basis cannot replace the live one")
+        raise ValueError("a preview at a past knowledge basis is never persisted")
     return fit(training, version) if class_counts(training).first()["can_fit"] else None
 
 

@@ -31,7 +31,7 @@ def misdated_labels(label_log: DataFrame) -> DataFrame:
 def require_label_history(logs: FactLogs, basis: Basis = Basis()) -> None:
     """Reject a dataset in which some transaction has no current label."""
     if not unlabelled_transactions(logs, basis).isEmpty():
-        raise RuntimeError("incomplete label history: every transaction needs a current label")
+        raise RuntimeError("incomplete label history: see unlabelled_transactions()")
 
 
 def require_current_tables(spark: SparkSession) -> None:
