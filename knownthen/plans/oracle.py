@@ -305,7 +305,7 @@ FROM ({side("label")}) b JOIN ({side("confirmed_label")}) a ON a.req_id = b.req_
 
 def arrival_scores() -> str:
     """Each half of the arrivals, scored with what was known at its newest instant."""
-    half, watched = "TIMESTAMP '2024-01-16'", "TIMESTAMP '2024-01-05'"
+    half, watched = "TIMESTAMP '2024-01-20'", "TIMESTAMP '2024-01-05'"
     def side(test, lower):
         newest = f"(SELECT max(ts) FROM events WHERE ts {test} {half})"
         asked = f"SELECT id AS req_id, account_id, txn_ts AS t, amount, country FROM txn WHERE txn_ts {test} {half} AND txn_ts >= {lower}"

@@ -29,8 +29,8 @@ SETTLED_AT_PAST = PAST - OUTCOME_DELAY
 SHORT = Windows(baseline=timedelta(days=7), fraud=timedelta(days=14))
 CURSOR = (datetime(2024, 1, 15, 12, tzinfo=timezone.utc), 0)
 LIMIT = 500
-#: Streamed arrivals come in two batches; those before WATCHED were there before the stream was.
-HALF, WATCHED = datetime(2024, 1, 16, tzinfo=timezone.utc), datetime(2024, 1, 5, tzinfo=timezone.utc)
+#: Streamed arrivals come in two batches, the first the larger, so that a range split always falls between them; those before WATCHED were there before the stream was.
+HALF, WATCHED = datetime(2024, 1, 20, tzinfo=timezone.utc), datetime(2024, 1, 5, tzinfo=timezone.utc)
 
 # Fixed coefficients, so that scores compare exactly.
 MODEL = LinearModel(
