@@ -19,8 +19,9 @@ from knownthen.llm.memo import slices
 
 #: Bounds of the fit: documents per language, and characters from the middle of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1024
-#: No dictionary is longer than this many times the shortest: a longer one alone makes encodings smaller.
-MAX_RATIO = 2
+#: No dictionary is longer than this many times the shortest of LEAST_BYTES or more: a longer one alone makes encodings smaller. Labels
+#: with less sampled text keep all of it, but do not shorten the others.
+MAX_RATIO, LEAST_BYTES = 2, 32768
 #: Texts are encoded in pieces of so many characters, so that a long text does not become its own dictionary.
 PIECE_CHARS, LEVEL = 2048, 9
 #: A text is rejected where the second smallest encoding is larger by less than this share, or by fewer bytes.
@@ -54,7 +55,7 @@ def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
         if LETTER.search(r.part):
             parts.setdefault(r.lang, {})[letters(r.part)] = None
     contents = {lang: "\n".join(p).encode() for lang, p in parts.items()}
-    most = MAX_RATIO * min(map(len, contents.values()), default=0)
+    most = MAX_RATIO * min((n for n in map(len, contents.values()) if n >= LEAST_BYTES), default=LEAST_BYTES)
     return {lang: contents[lang][:most] for lang in sorted(contents, key=lambda x: (-counts.get(x, 0), x))}
 
 

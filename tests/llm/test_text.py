@@ -115,6 +115,17 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_a_rare_label_takes_no_evidence_from_the_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-1, "five words of another tongue", "zz")], docs.schema)
+    train = docs.filter(~langid.held_out(F.col("doc_id")))
+    plain, more = langid.learned(train), langid.learned(train.union(rare))
+    assert {k: v for k, v in more.items() if k != "zz"} == plain and more["zz"] == b"five words of another tongue"
+    test = docs.filter(langid.held_out(F.col("doc_id")))
+    rows = langid.predicted(test, more).collect()
+    assert sum(r.lang == r.lang_pred for r in rows) > 0.98 * len(rows) and sum(r.rejected for r in rows) < 0.02 * len(rows)
+
+
 def test_language_of_odd_texts(documents):
     texts = [None, "", "123 ... !!", "x", "and of with not also", "das und mit nicht auch"]
     known = {"de": b"der die das und mit nicht auch ein eine", "en": b"the and of with not also one that this"}
