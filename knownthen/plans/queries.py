@@ -495,6 +495,12 @@ def replay_before_after(spark, sf):
     return audit.replay(logs, MODEL, audit.newest_per_account(txn_of(logs), 1), commit_time(logs))
 
 
+def replay_all_before_after(spark, sf):
+    """The same for every transaction."""
+    logs = logs_of(spark, sf)
+    return audit.replay(logs, MODEL, txn_of(logs), commit_time(logs))
+
+
 # --- quality ----------------------------------------------------------------------------
 
 def gapped(spark, sf):
@@ -624,6 +630,7 @@ QUERIES = {
     "account_history": account_history, "impact_per_account": impact_per_account,
     "impactful_cases": impactful_cases, "subject_impact": subject_impact, "confirm_account": confirm_account,
     "settle_due": settle_due, "replay_before_after": replay_before_after,
+    "replay_all_before_after": replay_all_before_after,
     "unlabelled_txns": unlabelled_txns, "finite_tail_labels": finite_tail_labels,
     "label_time_mismatch": label_time_mismatch,
     "daily_activity": daily_activity, "velocity_sliding": velocity_sliding,

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from fixtures import ACCOUNT, D, LABEL, PENDING, TXN, US, account, label, pending, txn, utc
 from knownthen.functions.rules import recorded_state
 from knownthen.operators import audit, feed, quality
-from knownthen.operators.features import HINDSIGHT, KNOWN_THEN, prior_fraud, serve, requests_from
+from knownthen.operators.features import HINDSIGHT, KNOWN_THEN, Windows, prior_fraud, serve, requests_from
 from knownthen.operators.model import LinearModel
 from knownthen.operators.temporal import Basis
+from knownthen.plans import queries
 from knownthen.sources.facts import FactLogs, append_facts, next_commit, optional_table, read_log, LOG_SCHEMA
 from knownthen.sources.shared import fresh_dir
 
+SF = "/root/testdata/sf0.001"
 MODEL = LinearModel("m1", (0.0, 0.0, 0.0, 0.0), (1.0, 1.0, 1.0, 1.0), (0.1, 0.1, 0.1, 1.0), -2.0)
 
 
@@ -137,3 +139,26 @@ def test_three_states(spark):
     df = spark.createDataFrame([(True, 1, "fraud"), (False, 1, "pending"), (False, None, "legit"), (None, None, "legit")],
                                "f boolean, p int, want string")
     assert df.filter(recorded_state("f", "p") != F.col("want")).count() == 0
+
+
+def test_replay_of_all_transactions(spark):
+    """The query has a row for every transaction, with counts by brute force."""
+    logs = queries.logs_of(spark, SF)
+    txns = logs.transactions(Basis()).select("id", "account_id", "txn_ts").collect()
+    fraud = {r.id for r in logs.labels(Basis()).filter("is_fraud").collect()}
+    due = logs.pendings(Basis()).select("id", "account_id", "txn_ts").collect()
+    waiting = {r.id for r in due}
+    got = {r.txn_id: r for r in queries.queries()["replay_all_before_after"](spark, SF).collect()}
+    assert set(got) == {t.id for t in txns} and len(txns) > len({t.account_id for t in txns})
+    by_account = {}
+    for t in txns:
+        by_account.setdefault(t.account_id, []).append(t)
+    for t in txns:
+        r = got[t.id]
+        past = [x.id for x in by_account[t.account_id] if t.txn_ts - Windows().fraud <= x.txn_ts < t.txn_ts]
+        assert (r.pcf_before, r.pcf_reproduced) == (sum(x in fraud for x in past),) * 2
+        assert r.pcf_after == sum(x in fraud or x in waiting for x in past) and r.before == r.reproduced
+        own = [x for x in due if x.account_id == t.account_id]
+        assert (r.n_confirmed, r.n_prior) == (len(own), sum(x.txn_ts < t.txn_ts for x in own))
+    newest = queries.queries()["replay_before_after"](spark, SF).collect()
+    assert newest and all(got[r.txn_id] == r for r in newest)
