@@ -94,5 +94,44 @@ GROUP BY r, page_id
 """
 
 
+OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END)
+             || (CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' ELSE '' END)
+             || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+cell AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+met AS (SELECT part, filter_order, step, fails, n, good, toxic, filter_order[step] AS x,
+               list_min(list_transform(string_split(fails, ''), lambda y: strpos(filter_order, y))) AS gone FROM cell, steps),
+res AS (SELECT part, filter_order, step, any_value(x) AS x,
+               coalesce(sum(n) FILTER (fails = '' OR gone > step), 0) AS kept, coalesce(sum(n) FILTER (fails <> '' AND gone = step), 0) AS removed,
+               coalesce(sum(n) FILTER (contains(fails, x) AND gone < step), 0) AS redundant, coalesce(sum(n) FILTER (fails = x), 0) AS unique_fails,
+               coalesce(sum(good) FILTER (fails <> '' AND gone = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails <> '' AND gone = step), 0) AS toxic_lost
+        FROM met GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM res
+"""
+
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p),
+v AS (SELECT *, list_transform(range(0, 32), lambda i: (('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) AS five FROM h)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(five, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', x::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2, "op5_quality_rules": OP5, "op9_decontamination": OP9, "op10_url_filter": OP10}
+    return {"op2_line_dedup": OP2, "op5_quality_rules": OP5, "op9_decontamination": OP9, "op10_url_filter": OP10, "op11_filter_audit": OP11,
+            "op12_warc": OP12}

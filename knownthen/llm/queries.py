@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from knownthen.llm import compact_windows, decontaminate, langid, line_templates, minhash, packing, quality_lines, secrets, token_prefix, url_filter
+from knownthen.llm import compact_windows, decontaminate, langid, line_templates, minhash, packing, quality_lines, secrets, token_prefix, transducer, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,29 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op11_filter_audit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce("source", F.lit("")).alias("part"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    rows = transducer.profiled(docs).join(labels, "doc_id", "left").withColumns(
+        {m: F.coalesce(m, F.lit(False)) for m in ("good", "toxic")})
+    conditions = [F.col("n_words") < 50, 100 * F.col("n_distinct") < 65 * F.col("n_words"),
+                  100 * F.col("n_capitals") > 5 * F.col("n_points"), F.col("n_symbols") > 0]
+    cells = transducer.audit_cells(rows, conditions, ["good", "toxic"], key="doc_id", part="part", twin="digest")
+    return transducer.interactions(cells, "ABCDE", marks=("good", "toxic")).select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails",
+        F.col("lost_good").alias("good_lost"), F.col("lost_toxic").alias("toxic_lost"), "shapley")
+
+
+def op12_warc(spark, sf_dir):
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op8_substring_dedup, op9_decontamination, op10_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op8_substring_dedup, op9_decontamination, op10_url_filter, op11_filter_audit,
+                                   op12_warc, pipeline)}
