@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from knownthen.llm import compact_windows, decontaminate, langid, line_templates, minhash, packing, quality_lines, secrets, token_prefix, transducer, url_filter, warc
+from knownthen.llm import compact_windows, decontaminate, langid, line_templates, minhash, multi_index, packing, quality_lines, secrets, token_prefix, transducer, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +84,16 @@ def op12_warc(spark, sf_dir):
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = multi_index.integers(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return multi_index.hard_negatives(rows, F.col("key") % 100 == 0)
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_minhash_dedup, op2_line_dedup, op3_secret_scan, op4_token_counts, op5_quality_rules, op6_packing, op7_language_id, op8_substring_dedup, op9_decontamination, op10_url_filter, op11_filter_audit,
-                                   op12_warc, pipeline)}
+                                   op12_warc, op13_hard_negatives, pipeline)}
