@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from math import floor
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from knownthen.functions.rules import logistic, verdict
 from knownthen.operators.features import FEATURES
-from knownthen.operators.paned import numbered, running_total
+from knownthen.operators.paned import total_in_order
 from knownthen.sources.shared import written
 
 TEST_SHARE = 0.3
 MIN_TRAINING_FRAUDS = 5
 MIN_PER_CLASS = 2
+#: hex digits by which hash prefixes grow, and rows that may share the last one
+PREFIX, FEW = 3, 10_000
 
 
 @dataclass(frozen=True)
@@ -58,27 +61,55 @@ def scored(df: DataFrame, model: LinearModel | None) -> DataFrame:
 
 
 def split(training: DataFrame) -> DataFrame:
-    """Adds `is_test`: the first 30 % of each class in hash order of the id.
+    """Adds `is_test`: the first 30 % of each class in hash order of the id, exact per class and reproducible.
 
-    Exact per class without sorting a class in one task: rows are numbered inside hash
-    prefixes, and prefixes are totalled.
+    The last row of the share is found by counting hash prefixes, longer ones where many rows share one; then a comparison tells
+    the parts apart, so no class is numbered, sorted or moved. `training` is read once more per prefix length.
     """
     hashed = training.withColumn("__h", F.md5(F.col("id").cast("string")))
-    prefix = F.conv(F.substring("__h", 1, 3), 16, 10).cast("long")
-    ranked = numbered(hashed, ["label"], ["__h", "id"], prefix, "__n")
-    sizes = training.groupBy("label").agg(F.count(F.lit(1)).alias("__size"))  # one row per class
-    return (ranked.join(F.broadcast(sizes), "label")
-            .withColumn("is_test", F.col("__n") <= TEST_SHARE * F.col("__size"))
-            .drop("__h", "__n", "__size"))
+    is_test = F.lit(False)
+    for label, (h, last) in share_ends(hashed).items():
+        is_test = is_test | ((F.col("label") == label) & ((F.col("__h") < h) | ((F.col("__h") == h) & (F.col("id") <= F.lit(last)))))
+    return hashed.withColumn("is_test", is_test).drop("__h")
+
+
+def share_ends(hashed: DataFrame) -> dict:
+    """Hash and id of the last row of the held-out share of each class that has one."""
+    wanted, prefix, ends = None, {}, {}
+    for digits in range(PREFIX, 33, PREFIX):
+        start = F.substring("__h", 1, digits)
+        inside = hashed if wanted is None else hashed.filter(reduce(
+            lambda x, y: x | y, [(F.col("label") == label) & F.startswith("__h", F.lit(p)) for label, p in prefix.items()]))
+        counts: dict = {}
+        for r in inside.groupBy("label", start.alias("p")).count().collect():
+            counts.setdefault(r["label"], []).append((r["p"], r["count"]))
+        if wanted is None:  # 30 % of each class
+            wanted = {label: floor(TEST_SHARE * sum(n for _, n in rows) + 1e-9) for label, rows in counts.items()}
+            prefix = {label: "" for label, k in wanted.items() if k}
+        last, widest = {}, 0
+        for label in prefix:
+            for p, n in sorted(counts[label]):
+                if wanted[label] <= n:
+                    last[label], widest = p, max(widest, n)
+                    break
+                wanted[label] -= n
+        prefix = last
+        if widest <= FEW:
+            break
+    for label, p in prefix.items():
+        k = wanted[label]
+        row = (hashed.filter((F.col("label") == label) & F.startswith("__h", F.lit(p))).select("__h", "id").orderBy("__h", "id").limit(k)
+               .agg(F.max(F.struct("__h", "id")).alias("end")).first().end)
+        ends[label] = (row["__h"], row["id"])
+    return ends
 
 
 def auc(scores: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
-    """Exact rank AUC: ties count half. Scores are grouped first, then accumulated in
-    score order over 4096 score panes, so no task sees all of them."""
+    """Exact rank AUC: ties count half. Scores are grouped first, then accumulated over ranges of equal numbers of them, so no task
+    sees all and skewed scores are spread as even ones are."""
     by_score = scores.groupBy(F.col(score).alias("__s")).agg(
         F.sum(F.col(label).cast("double")).alias("__pos"), F.sum(1.0 - F.col(label)).alias("__neg"))
-    low = running_total(by_score.withColumn("__all", F.lit(0)), ["__all"], ["__s"],
-                        F.floor(F.col("__s") * 4096), F.col("__neg"), "__upto")
+    low = total_in_order(by_score, ["__s"], F.col("__neg"), "__upto")
     wins = F.sum(F.col("__pos") * (F.col("__upto") - F.col("__neg") / 2))
     pairs = F.nullif(F.sum("__pos") * F.sum("__neg"), F.lit(0.0))
     return low.agg((wins / pairs).alias("auc"))
@@ -93,42 +124,82 @@ def class_counts(training: DataFrame) -> DataFrame:
         ((fraud >= MIN_PER_CLASS) & (n - fraud >= MIN_PER_CLASS)).alias("can_fit"))
 
 
+def extracted(training: DataFrame) -> DataFrame:
+    """id, label, features and is_test, written: evaluated once, read by every pass of a fit."""
+    rows = written(training.select("id", "label", *[F.col(f).cast("double").alias(f) for f in FEATURES]), "extract")
+    return split(rows)
+
+
 def fit(training: DataFrame, version: str) -> LinearModel:
     """Standardise by population deviation, balance the classes, fit with an L2 penalty of
     1 on the summed loss, and measure AUC on the held-out part."""
-    rows = written(training.select("id", "label", *[F.col(f).cast("double").alias(f) for f in FEATURES]), "extract")
-    parts = written(split(rows), "training")  # extracted once, read by every pass below
-    train = parts.filter(~F.col("is_test"))
-    stats = train.agg(
+    return fit_parts(extracted(training), version)
+
+
+def fit_parts(parts: DataFrame, version: str) -> LinearModel:
+    """The same from `extracted` rows: one aggregation for sizes and moments, one per Newton step, one for the AUC."""
+    stats = {r.is_test: r for r in parts.groupBy("is_test").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"),
         *[F.avg(f).alias(f"m_{f}") for f in FEATURES],
-        *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES]).first()
-    n, pos = stats["n"], stats["pos"]
-    mean = tuple(stats[f"m_{f}"] for f in FEATURES)
-    scale = tuple(stats[f"s_{f}"] or 1.0 for f in FEATURES)
-    weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-    scaled = train.select(
-        F.col("label").cast("double").alias("label"), weight.alias("weight"),
-        *[((F.col(f) - mean[i]) / scale[i]).alias(f) for i, f in enumerate(FEATURES)])
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled)
-    lr = LogisticRegression(weightCol="weight", regParam=1.0 / n, elasticNetParam=0.0,
-                            standardization=False, maxIter=1000, tol=1e-10)
-    fitted = lr.fit(vectors)
-    model = LinearModel(version, mean, scale, tuple(float(c) for c in fitted.coefficients),
-                        float(fitted.intercept))
-    sizes = parts.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")).first()
+        *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES]).collect()}
+    learn = stats[False]
+    mean = tuple(learn[f"m_{f}"] for f in FEATURES)
+    scale = tuple(learn[f"s_{f}"] or 1.0 for f in FEATURES)
+    train = parts.filter(~F.col("is_test")).select(
+        F.col("label").cast("double").alias("y"), class_weight(learn["n"], learn["pos"]).alias("w"),
+        *[((F.col(f) - mean[i]) / scale[i]).alias(f"x{i + 1}") for i, f in enumerate(FEATURES)])
+    theta = newton(train, len(FEATURES))
+    model = LinearModel(version, mean, scale, tuple(theta[1:]), theta[0])
     held_out = auc(scored(parts.filter("is_test"), model)).first()["auc"]
-    return LinearModel(**{**asdict(model), "auc": held_out, "n_train": sizes["n"], "n_fraud": sizes["pos"]})
+    return replace(model, auc=held_out, n_train=sum(r["n"] for r in stats.values()), n_fraud=sum(r["pos"] for r in stats.values()))
+
+
+def class_weight(n: int, pos: int) -> Column:
+    """Both classes weigh the same in all."""
+    return F.when(F.col("label") == 1, n / (2 * pos) if pos else 0.0).otherwise(n / (2 * (n - pos)) if n > pos else 0.0)
 
 
-def gradient(training: DataFrame, model: LinearModel) -> dict[str, float]:
-    """Slope of the fitted objective per training row along each coefficient: zero at its optimum."""
-    part = scored(split(training).filter(~F.col("is_test")), model)
-    n, pos = part.agg(F.count(F.lit(1)), F.sum("label")).first()
-    weight = F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-    sums = part.agg(*[F.sum(weight * (F.col("p") - F.col("label")) * (F.col(f) - model.mean[i]) / model.scale[i]).alias(f)
-                      for i, f in enumerate(FEATURES)]).first()
-    return {f: (sums[f] + model.coef[i]) / n for i, f in enumerate(FEATURES)}
+def newton(train: DataFrame, k: int, penalty: float = 1.0, steps: int = 50, tol: float = 1e-10) -> list[float]:
+    """Intercept and coefficients of the weighted logistic loss of (y, w, x1..xk) plus penalty / 2 times the squared coefficients.
+
+    Each step is one aggregation of the gradient, the Hessian and the loss, (k + 1)(k + 4) / 2 + 1 numbers; where a step made the loss larger it
+    is halved. The driver solves the k + 1 equations.
+    """
+    size = range(k + 1)
+    x = [F.lit(1.0), *[F.col(f"x{i}") for i in range(1, k + 1)]]
+    ridge = np.diag([0.0] + [penalty] * k)
+
+    def sums(theta):
+        z = F.lit(float(theta[0])) + reduce(lambda a, b: a + b, [float(theta[i]) * x[i] for i in range(1, k + 1)])
+        rows = train.withColumn("z", z).withColumn("p", logistic("z")).withColumns(
+            {"r": F.col("w") * (F.col("p") - F.col("y")), "h": F.col("w") * F.col("p") * (1 - F.col("p")),
+             "loss": F.col("w") * (F.log1p(F.exp(-F.abs("z"))) + F.greatest("z", F.lit(0.0)) - F.col("y") * F.col("z"))})
+        row = rows.agg(F.sum("loss").alias("loss"), *[F.sum(F.col("r") * x[i]).alias(f"g{i}") for i in size],
+                       *[F.sum(F.col("h") * x[i] * x[j]).alias(f"h{i}{j}") for i in size for j in size if i <= j]).first()
+        hessian = np.array([[row[f"h{min(i, j)}{max(i, j)}"] for j in size] for i in size]) + ridge
+        return row["loss"] + theta @ ridge @ theta / 2, np.array([row[f"g{i}"] for i in size]) + ridge @ theta, hessian
+
+    theta, move, best = np.zeros(k + 1), np.zeros(k + 1), np.inf
+    for _ in range(steps):
+        loss, slope, hessian = sums(theta)
+        if loss > best + 1e-9 * abs(best):
+            move /= 2
+            theta = theta + move
+            continue
+        best, move = min(best, loss), np.linalg.solve(hessian, slope)
+        theta = theta - move
+        if np.abs(move).max() < tol:
+            break
+    return [float(t) for t in theta]
+
+
+def gradient(parts: DataFrame, model: LinearModel) -> dict[str, float]:
+    """Slope of the fitted objective per training row of `extracted` rows along each coefficient: zero at its optimum."""
+    part = scored(parts.filter(~F.col("is_test")), model)
+    sums = part.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[
+        F.sum((F.col("p") - F.col("label")) * (F.col(f) - model.mean[i]) / model.scale[i]).alias(f) for i, f in enumerate(FEATURES)]).collect()
+    n = sum(r["n"] for r in sums)
+    return {f: (sum(r[f] * n / (2 * r["n"]) for r in sums) + model.coef[i]) / n for i, f in enumerate(FEATURES)}
 
 
 def train(training: DataFrame, version: str) -> LinearModel | None:

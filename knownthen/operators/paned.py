@@ -18,6 +18,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from knownthen.functions.clock import DAY, width_us
+from knownthen.sources.shared import written
 
 FIRST = Window.unboundedPreceding
 
@@ -262,6 +263,20 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], pane: Column
             .drop(_PANE, _X, "__carry"))
 
 
+def total_in_order(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+    """Sum of `value` up to and including each row in `order` over the whole table, which must be unique in `order`.
+
+    Rows are dealt by ranges of `order` with about as many in each, and written; each range adds what the ones before it
+    sum to, one number per range.
+    """
+    dealt = written(df.withColumn(_X, value).repartitionByRange(*order).withColumn(_PANE, F.spark_partition_id()), "ranges")
+    before = Window.orderBy(_PANE).rowsBetween(FIRST, -1)  # over one row per range
+    carry = dealt.groupBy(_PANE).agg(F.sum(_X).alias("__sum")).select(_PANE, F.sum("__sum").over(before).alias("__carry"))
+    inside = Window.partitionBy(_PANE).orderBy(*order).rowsBetween(FIRST, 0)
+    return (dealt.withColumn(out, F.sum(_X).over(inside)).join(carry, _PANE)
+            .withColumn(out, F.col(out) + F.coalesce("__carry", F.lit(0))).drop(_PANE, _X, "__carry"))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], pane: Column, out: str) -> DataFrame:
     """Row number from 1 within `keys`."""
     return running_total(df, keys, order, pane, F.lit(1).cast("long"), out)

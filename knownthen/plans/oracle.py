@@ -196,6 +196,24 @@ flips AS (SELECT id, confirmed_at, first_seen FROM late WHERE is_fraud AND first
 corrected AS (SELECT id, account_id, amount, country, txn_ts AS event_at, confirmed_at FROM txn JOIN flips USING (id))
 """
 
+#: arrivals by tick; a tick is stamped with the newest event time seen so far, and settles what is due by then
+TICKED = """, arrivals AS (
+  SELECT *, (came >= TIMESTAMP '2024-01-08')::INT + (came >= TIMESTAMP '2024-01-16')::INT + (came >= TIMESTAMP '2024-01-24')::INT AS tick
+  FROM (SELECT *, CASE WHEN id % 7 = 0 THEN txn_ts + INTERVAL 3 DAY ELSE txn_ts END AS came FROM truth)),
+ticks AS (SELECT tick, max(max(txn_ts)) OVER (ORDER BY tick) AS stamp FROM arrivals GROUP BY tick),
+arrived AS (SELECT a.*, stamp FROM arrivals a JOIN ticks USING (tick)),
+settled AS (SELECT a.id, min(t.stamp) AS settled FROM arrived a JOIN ticks t ON t.tick >= a.tick AND t.stamp >= a.due WHERE a.fraud GROUP BY a.id)
+"""
+
+#: runs of an account without a pause of eight hours: gaps and islands
+BURSTS = """, apart AS (
+  SELECT *, coalesce(txn_ts - lag(txn_ts) OVER w >= INTERVAL 8 HOUR, true) AS new FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY txn_ts, id)),
+island AS (SELECT *, sum(new::INT) OVER (PARTITION BY account_id ORDER BY txn_ts, id ROWS UNBOUNDED PRECEDING) AS k FROM apart),
+burst AS (
+  SELECT account_id, min(txn_ts) AS start, max(txn_ts) + INTERVAL 8 HOUR AS "end", count(*) AS n, round(sum(amount) + 1e-9, 6) + 0.0 AS amount
+  FROM island WHERE account_id IS NOT NULL GROUP BY account_id, k)
+"""
+
 STATES = """, states AS (
   SELECT *, CASE WHEN id IN (SELECT id FROM label WHERE is_fraud) THEN 'fraud' WHEN id IN (SELECT id FROM pending) THEN 'pending' ELSE 'legit' END AS state
   FROM txn JOIN (SELECT id, system_from AS learned_at FROM label) USING (id))
@@ -313,13 +331,58 @@ def arrival_scores() -> str:
     return f"SELECT * FROM ({side('<', watched)}) UNION ALL SELECT * FROM ({side('>=', half)})"
 
 
-def fitted() -> str:
-    """Mean and spread of each feature over the part that is learned from, and the sizes of the whole extract."""
-    ranked = extract(until=SETTLED) + """, part AS (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) > 0.3 * count(*) OVER (PARTITION BY label) AS learns FROM feat)"""
-    one = lambda f: f"""SELECT '{f}' AS feature, {r(f'avg("{f}") FILTER (learns)')} AS mean,
-  {r(f'coalesce(nullif(stddev_pop("{f}") FILTER (learns), 0), 1)')} AS scale, count(*) AS n_train, {big("sum(label)")} AS n_fraud, true AS at_optimum FROM part"""
-    return ranked + " UNION ALL ".join(one(f) for f in FEATURES)
+def store_scores() -> str:
+    """Each part of the arrivals, scored when those up to its newest instant have arrived and what is due by then has settled."""
+    half, watched = "TIMESTAMP '2024-01-20'", "TIMESTAMP '2024-01-05'"
+    def side(test, lower):
+        newest = f"(SELECT max(txn_ts) FROM truth WHERE txn_ts {test} {half})"
+        known = f""", come AS (SELECT * FROM txn WHERE txn_ts <= {newest}),
+decided AS (SELECT id, fraud AND due <= {newest} AS is_fraud FROM truth)"""
+        asked = f"SELECT id AS req_id, account_id, txn_ts AS t, amount, country FROM come WHERE txn_ts {test} {half} AND txn_ts >= {lower}"
+        return base() + known + vectors(asked, "come", "decided") + f"SELECT req_id AS id, {r(prob())} AS p, 'fixed-1' AS model_version FROM vec"
+    return f"SELECT * FROM ({side('<', watched)}) UNION ALL SELECT * FROM ({side('>=', half)})"
+
+
+def newton_step(k: int) -> str:
+    """The next coefficients from those of step k: sums of gradient and Hessian, then a Cholesky solution of five equations."""
+    n = range(5)
+    low = lambda i, j: f"l{max(i, j)}{min(i, j)}"
+    minus = lambda terms: "".join(f" - {t}" for t in terms)
+    sums = [f"sum(r * x{i}) AS g{i}" for i in n] + [f"sum(h * x{i} * x{j}) AS h{i}{j}" for i in n for j in n if i <= j]
+    levels = []  # each uses columns of the ones before it
+    for j in n:
+        own = lambda i: f"h{j}{i}{' + 1' if i == j > 0 else ''}" + minus(f"{low(i, m)} * {low(j, m)}" for m in range(j))  # noqa: B023, E731
+        levels.append([f"sqrt({own(j)}) AS l{j}{j}"])
+        levels.append([f"({own(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, 5)])
+    levels += [[f"(g{i}{f' + b{i}' if i else ''}{minus(f'l{i}{m} * u{m}' for m in range(i))}) / l{i}{i} AS u{i}"] for i in n]
+    levels += [[f"(u{i}{minus(f'l{m}{i} * d{m}' for m in range(i + 1, 5))}) / l{i}{i} AS d{i}"] for i in reversed(n)]
+    solved = f"(SELECT * FROM sums{k}, t{k})"
+    for level in filter(None, levels):
+        solved = f"(SELECT *, {', '.join(level)} FROM {solved})"
+    z = " + ".join(f"b{i} * x{i}" for i in n)
+    return f""", sums{k} AS MATERIALIZED (
+  SELECT {", ".join(sums)} FROM (SELECT *, w * (p - y) AS r, w * p * (1 - p) AS h FROM (SELECT x.*, 1 / (1 + exp(-({z}))) AS p FROM x, t{k}))),
+t{k + 1} AS MATERIALIZED (SELECT {", ".join(f"b{i} - d{i} AS b{i}" for i in n)} FROM {solved})"""
+
+
+def fitted(steps: int = 9) -> str:
+    """Mean and spread of each feature over the part that is learned from, the coefficients after some Newton steps, the rank AUC of the
+    held-out part, and the sizes of the whole extract."""
+    z = " + ".join(["b0", *[f'b{i} * ("{f}" - m{i}) / s{i}' for i, f in enumerate(FEATURES, 1)]])
+    ranked = extract(until=SETTLED) + f""", part AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR)), id) > 0.3 * count(*) OVER (PARTITION BY label) AS learns FROM feat),
+stats AS MATERIALIZED (SELECT count(*) AS n, sum(label) AS pos, {", ".join(f'avg("{f}") AS m{i}, coalesce(nullif(stddev_pop("{f}"), 0), 1) AS s{i}' for i, f in enumerate(FEATURES, 1))} FROM part WHERE learns),
+x AS MATERIALIZED (SELECT label::DOUBLE AS y, CASE WHEN label = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS w, 1.0::DOUBLE AS x0,
+  {", ".join(f'("{f}" - m{i}) / s{i} AS x{i}' for i, f in enumerate(FEATURES, 1))} FROM part, stats WHERE learns),
+t0 AS MATERIALIZED (SELECT {", ".join(f"0.0::DOUBLE AS b{i}" for i in range(5))})""" + "".join(newton_step(k) for k in range(steps)) + f""",
+ranks AS (SELECT label, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0 AS place
+          FROM (SELECT label, 1 / (1 + exp(-({z}))) AS z FROM part, stats, t{steps} WHERE NOT learns)),
+held AS (SELECT (sum(place) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * count(*) FILTER (label = 0)) AS auc FROM ranks)
+"""
+    sizes = f"(SELECT count(*) FROM part) AS n_train, (SELECT {big('sum(label)')} FROM part) AS n_fraud"
+    one = lambda i, f: f"""SELECT '{f}' AS feature, {r(f"m{i}")} AS mean, {r(f"s{i}")} AS scale, {r(f"b{i}")} AS coef, {r("b0")} AS intercept, {r("auc")} AS auc,
+  {sizes}, true AS at_optimum FROM stats, t{steps}, held"""
+    return ranked + " UNION ALL ".join(one(i, f) for i, f in enumerate(FEATURES, 1))
 
 
 def stored() -> str:
@@ -469,13 +532,24 @@ WHERE id IN (SELECT id FROM last_fact WHERE gone IS NOT NULL UNION SELECT id FRO
         "velocity_sliding": """SELECT user_id AS account_id, w AS window_start, count(*) AS n FROM (
   SELECT user_id, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM events)
 GROUP BY 1, 2""",
-        "stream_ingest": base() + """SELECT 'txn' AS table_name, id, CAST(NULL AS BOOLEAN) AS is_fraud FROM truth
-UNION ALL SELECT 'label', id, false FROM truth UNION ALL SELECT 'pending', id, NULL FROM truth WHERE fraud""",
-        "stream_settle": base() + "SELECT id, account_id, due FROM truth WHERE fraud AND due <= (SELECT max(txn_ts) FROM truth)",
+        "stream_ingest": base() + TICKED + """SELECT 'txn' AS table_name, id, CAST(NULL AS BOOLEAN) AS is_fraud, txn_ts AS valid_from, stamp AS system_from, 'put' AS op FROM arrived
+UNION ALL SELECT 'label', id, false, stamp, stamp, 'put' FROM arrived
+UNION ALL SELECT 'label', id, true, settled, settled, 'put' FROM settled
+UNION ALL SELECT 'pending', id, NULL, txn_ts, stamp, 'put' FROM arrived WHERE fraud
+UNION ALL SELECT 'pending', id, NULL, settled, settled, 'del' FROM settled""",
+        "stream_settle": base() + """, late AS (SELECT *, CASE WHEN id % 7 = 0 THEN txn_ts + INTERVAL 3 DAY ELSE txn_ts END AS arrived FROM truth)
+SELECT id, account_id, due, greatest(due, arrived) AS settled_at FROM late
+WHERE fraud AND (due <= arrived OR epoch_ms(due) < epoch_ms((SELECT max(arrived) FROM late)))""",
         "stream_confirm_join": base() + """SELECT t.id, t.txn_ts, min(l.system_from) AS confirmed_at FROM truth t
 JOIN label_log l ON l.id = t.id AND l.is_fraud GROUP BY t.id, t.txn_ts""",
         "stream_velocity": VELOCITY,
         "stream_score": arrival_scores(),
+        "stream_score_store": store_scores(),
+        "burst_sessions": base() + BURSTS + "SELECT * FROM burst",
+        "stream_burst_sessions": base() + BURSTS + """SELECT * FROM burst
+WHERE epoch_ms("end") <= (SELECT epoch_ms(max(txn_ts)) FROM txn) - 3 * 86400000""",
+        "confirm_committed": base() + f"""SELECT 'label' AS table_name, true AS is_fraud, id, {NOW} + INTERVAL 1 MICROSECOND AS system_from, 'put' AS op FROM pending
+UNION ALL SELECT 'pending_chargeback', NULL, id, {NOW} + INTERVAL 1 MICROSECOND, 'del' FROM pending""",
         "stream_corrections": base() + CORRECTED + "SELECT * FROM flips",
         "stream_dedup": f"SELECT event_id AS id, user_id AS account_id, ts AS txn_ts, {r('value')} AS amount FROM events",
         "stream_daily": DAILY,

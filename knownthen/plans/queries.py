@@ -15,12 +15,14 @@ from knownthen.operators.features import (HINDSIGHT, KNOWN_THEN, Windows, prior_
                                           requests_from, serve, settled, trailing_features, training_set)
 from knownthen.operators.model import LinearModel
 from knownthen.operators.paned import Latest, point_in_time
+from knownthen.operators.sessions import sessions
 from knownthen.operators.temporal import Basis, rectangles, replayed_timeline, snapshot, timeline, versions
 from knownthen.sources import driver_tables as given, facts, registry as reg
 from knownthen.sources.driver_tables import NOW, OUTCOME_DELAY, PAST, fact_logs, read
 from knownthen.sources.shared import fresh_dir, written
-from knownthen.streaming import events as streams, ingest
-from knownthen.streaming.runs import staged_stream
+from knownthen.sources.store import FactStore
+from knownthen.streaming import events as streams, ingest, timers
+from knownthen.streaming.runs import Stage, new_run, staged_stream
 
 LATEST = Basis()
 AT_PAST = Basis(system_at=PAST)
@@ -30,6 +32,9 @@ SHORT = Windows(baseline=timedelta(days=7), fraud=timedelta(days=14))
 CURSOR = (datetime(2024, 1, 15, 12, tzinfo=timezone.utc), 0)
 LIMIT = 500
 #: Streamed arrivals come in two batches, the first the larger, so that a range split always falls between them; those before WATCHED were there before the stream was.
+#: delivered tables come in parts cut here
+TICKS = [datetime(2024, 1, d, tzinfo=timezone.utc) for d in (8, 16, 24)]
+BURST_GAP = timedelta(hours=8)
 HALF, WATCHED = datetime(2024, 1, 20, tzinfo=timezone.utc), datetime(2024, 1, 5, tzinfo=timezone.utc)
 
 # Fixed coefficients, so that scores compare exactly.
@@ -355,11 +360,12 @@ def train_guard(spark, sf):
 
 def fit_metrics(spark, sf):
     """What was fitted, and whether the objective is flat there in the direction of each feature."""
-    rows = written(training(spark, sf), "fit")
-    model = models.fit(rows, "fitted")
-    slope = models.gradient(rows, model)
+    parts = models.extracted(training(spark, sf))
+    model = models.fit_parts(parts, "fitted")
+    slope = models.gradient(parts, model)
     flat = F.create_map(*[x for f, g in slope.items() for x in (F.lit(f), F.lit(abs(g) < 1e-5))])
-    return models.as_frame(spark, model).select("feature", "mean", "scale", "n_train", "n_fraud", flat[F.col("feature")].alias("at_optimum"))
+    return models.as_frame(spark, model).select("feature", "mean", "scale", "coef", "intercept", "auc", "n_train", "n_fraud",
+                                                flat[F.col("feature")].alias("at_optimum"))
 
 
 def model_store(spark, sf):
@@ -483,6 +489,17 @@ def settle_due(spark, sf):
     return _commit(labels, deletes)
 
 
+def confirm_committed(spark, sf):
+    """The same commit written to a store that holds the logs, and read back: label and pending facts of its stamp."""
+    logs, store = logs_of(spark, sf), FactStore(spark, fresh_dir(spark, "store"))
+    store.commit({t: getattr(logs, t) for t in ("txn", "account", "label", "pending")}, NOW, history=True)
+    before = store.logs()
+    labels, deletes = audit.confirm_facts(before.pendings(LATEST), NOW)
+    stamp = store.commit({"label": labels, "pending": deletes}, NOW).system_time
+    of_stamp = F.col("system_from") == at(stamp)
+    return _commit(store.facts("label").filter(of_stamp), store.facts("pending").filter(of_stamp)).drop("valid_from")
+
+
 def _commit(labels, deletes):
     columns = ["id", "valid_from", "system_from", "op"]
     return labels.select(F.lit("label").alias("table_name"), "is_fraud", *columns).unionByName(
@@ -536,29 +553,43 @@ def _arrivals(spark, sf):
         F.col("value").alias("amount"))
 
 
-def _ticks(spark, sf):
+def _late_arrivals(spark, sf):
+    """All transactions with what will be charged back; every seventh arrives three days after it happened."""
     truth = given.chargebacks(read(spark, sf, "events"))
-    due = F.when(F.col("fraud"), given.days_after(F.col("txn_ts"), F.col("delay"))).alias("due")
-    return ingest.ingest_and_settle(staged_stream(truth.select("id", "account_id", "txn_ts", due), "txn_ts"))
+    due = F.when(F.col("fraud"), given.days_after(F.col("txn_ts"), F.col("delay")))
+    late = F.when(F.col("id") % 7 == 0, 3).otherwise(0)
+    return truth.select("id", "account_id", "txn_ts", due.alias("due"), given.days_after(F.col("txn_ts"), late).alias("arrived"))
+
+
+def _full_arrivals(spark, sf):
+    rest = txn_of(logs_of(spark, sf)).select("id", "amount", "category", "country")
+    return _late_arrivals(spark, sf).join(rest, "id")
+
+
+def _delivered(df, clock, once):
+    """Add a table to a stream in parts by its clock, and run what `once` makes of the stream after each; the last result."""
+    stage, edges = Stage(df.sparkSession, df.schema), [None, *TICKS, None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = df if low is None else df.filter(F.col(clock) >= at(low))
+        stage.add(part if high is None else part.filter(F.col(clock) < at(high)))
+        result = once(stage.stream())
+    return result
 
 
 def stream_ingest(spark, sf):
-    root = _ticks(spark, sf)
+    """The facts of ticks, each tick one commit, the stream started anew for each."""
+    store, run = FactStore(spark, fresh_dir(spark, "store")), new_run(spark, "ticks")
+    _delivered(_full_arrivals(spark, sf), "arrived", lambda s: ingest.ingest_and_settle(s, store, run))
     def facts_of(table, is_fraud):
-        df = spark.read.parquet(f"{root}/{table}")
-        return df.select(F.lit(table).alias("table_name"), "id", is_fraud(df).alias("is_fraud"))
-    none = lambda df: F.lit(None).cast("boolean")
-    first = facts_of("label", lambda df: df["is_fraud"]).filter(~F.col("is_fraud"))
-    pending = spark.read.parquet(f"{root}/pending").filter("op = 'put'")
-    return (facts_of("txn", none).unionByName(first)
-            .unionByName(pending.select(F.lit("pending").alias("table_name"), "id", none(pending).alias("is_fraud"))))
+        return store.facts(table).select(F.lit(table).alias("table_name"), "id", is_fraud.cast("boolean").alias("is_fraud"), "valid_from", "system_from", "op")
+    none = F.lit(None)
+    return facts_of("txn", none).unionByName(facts_of("label", F.col("is_fraud"))).unionByName(facts_of("pending", none))
 
 
 def stream_settle(spark, sf):
-    root = _ticks(spark, sf)
-    settled_labels = spark.read.parquet(f"{root}/label").filter("is_fraud")
-    deletes = spark.read.parquet(f"{root}/pending").filter("op = 'del'")
-    return settled_labels.join(deletes.select("id", "account_id", "due"), "id").select("id", "account_id", "due")
+    """Chargebacks settle as the clock of arrivals passes their due time, those that arrive later at their arrival."""
+    run = new_run(spark, "settle")
+    return _delivered(_late_arrivals(spark, sf), "arrived", lambda s: streams.collected(timers.settlements(s), "append", run=run))
 
 
 def stream_confirm_join(spark, sf):
@@ -583,10 +614,34 @@ def stream_score(spark, sf):
     return ingest.score_on_arrival(halves, logs, MODEL, baseline=there).select("id", "p", "model_version")
 
 
+def stream_score_store(spark, sf):
+    """Arrivals scored from the store that they are committed to; it holds accounts and what happened before WATCHED at first."""
+    logs, store, run = logs_of(spark, sf), FactStore(spark, fresh_dir(spark, "store")), new_run(spark, "scores")
+    store.commit({"account": logs.account}, given.FIRST_ACCOUNT_VERSION, history=True)
+    arrivals = _full_arrivals(spark, sf).withColumn("half", F.col("txn_ts") >= at(HALF))
+    seed = ingest.tick(store, arrivals.filter(F.col("txn_ts") < at(WATCHED)), "seed", 0)
+    stage = Stage(spark, arrivals.schema)
+    for half in (False, True):
+        stage.add(arrivals.filter(F.col("half") == half))
+        scores = ingest.score_as_ingested(stage.stream(), store, MODEL, run, baseline=seed.system_time)
+    return scores
+
+
 def stream_corrections(spark, sf):
     log = given.labels(read(spark, sf, "events")).select("id", "is_fraud", "system_from")
-    flips = streams.collected(streams.flips(staged_stream(log, "system_from", 3)), "update", ["id"])
-    return flips.filter(F.col("first_seen") < F.col("confirmed_at"))
+    run = new_run(spark, "flips")
+    return _delivered(log, "system_from", lambda s: streams.collected(timers.flips_once(s, timedelta(days=45)), "append", run=run))
+
+
+def burst_sessions(spark, sf):
+    return sessions(txn_of(logs_of(spark, sf)), BURST_GAP)
+
+
+def stream_burst_sessions(spark, sf):
+    """Late arrivals are part of their bursts; bursts that may still grow at the end are not given."""
+    amounts = _full_arrivals(spark, sf).select("account_id", "txn_ts", "amount", "arrived")
+    run = new_run(spark, "bursts")
+    return _delivered(amounts, "arrived", lambda s: streams.collected(streams.bursts(s, BURST_GAP, timedelta(days=3)), "append", run=run))
 
 
 def stream_dedup(spark, sf):
@@ -636,7 +691,8 @@ QUERIES = {
     "daily_activity": daily_activity, "velocity_sliding": velocity_sliding,
     "stream_ingest": stream_ingest, "stream_settle": stream_settle, "stream_confirm_join": stream_confirm_join,
     "stream_velocity": stream_velocity, "stream_score": stream_score, "stream_corrections": stream_corrections,
-    "stream_dedup": stream_dedup, "stream_daily": stream_daily,
+    "stream_dedup": stream_dedup, "stream_daily": stream_daily, "stream_score_store": stream_score_store,
+    "burst_sessions": burst_sessions, "stream_burst_sessions": stream_burst_sessions, "confirm_committed": confirm_committed,
 }
 
 

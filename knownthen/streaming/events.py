@@ -7,8 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from knownthen.functions.clock import width_us
-from knownthen.sources.shared import fresh_dir
-from knownthen.streaming.runs import put_batch, run_batches
+from knownthen.streaming.runs import Run, new_run, put_batch, run_batches
 
 
 def _interval(width: timedelta):
@@ -54,15 +53,25 @@ def sliding_velocity(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")).select("account_id", F.col("w.start").alias("window_start"), "n")
 
 
-def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+def bursts(stream: DataFrame, gap: timedelta, lateness: timedelta) -> DataFrame:
+    """The runs of `operators.sessions.sessions` on a stream, each once the watermark has passed its end; its state is dropped then. Facts later
+    than `lateness` are in no run. Partial sessions are merged before the shuffle where the session allows it."""
+    session = F.session_window("txn_ts", _delay(gap))
+    return (stream.filter(F.col("account_id").isNotNull()).withWatermark("txn_ts", _delay(lateness)).groupBy("account_id", session.alias("w"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+            .select("account_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "amount"))
+
+
+def collected(stream: DataFrame, mode: str, keys: list[str] | None = None, run: Run | None = None) -> DataFrame:
     """Run a derived stream over what is available and read its result.
 
     With `keys` the last value per key stands (update mode); complete mode keeps the last
-    batch only by the same rule.
+    batch only by the same rule. With a `run` that was started before, what it had is there too.
     """
     spark = stream.sparkSession
-    root = fresh_dir(spark, "derived")
-    run_batches(stream, lambda batch, n: put_batch(batch, root, "out", n), mode)
+    run = run or new_run(spark, "derived")
+    root = run.folder
+    run_batches(stream, lambda batch, n: put_batch(batch, root, "out", n), mode, run)
     out = spark.read.schema(stream.schema).parquet(f"{root}/out")
     if keys is None:
         return out.drop("batch")

@@ -11,56 +11,89 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from knownthen.functions.clock import instant, micros, pane_of, width_us
+from knownthen.functions.clock import at, instant, micros, pane_of, width_us
 from knownthen.operators.features import Windows, requests_from, serve
 from knownthen.operators.model import LinearModel, scored
 from knownthen.operators.paned import Trailing, point_in_time
-from knownthen.operators.temporal import Basis, DELETE, PUT
+from knownthen.operators.temporal import Basis, DELETE, PUT, snapshot
 from knownthen.sources.facts import FactLogs
-from knownthen.sources.shared import fresh_dir
-from knownthen.streaming.runs import put_batch, run_batches, table_so_far
+from knownthen.sources.shared import written
+from knownthen.sources.store import Commit, FactStore
+from knownthen.streaming.runs import Run, new_run, put_batch, run_batches, table_so_far
 
 UNIX = datetime(1970, 1, 1, tzinfo=timezone.utc)
-LABELS = "id {key}, is_fraud boolean, learned timestamp, op string"
-PENDING = "id {key}, account_id {key}, txn_ts timestamp, due timestamp, op string"
+ARRIVALS = ("id", "account_id", "txn_ts", "amount", "category", "country", "due")
 
 
-def ingest_and_settle(stream: DataFrame, key: str = "bigint") -> str:
-    """Each micro-batch is one tick: new transactions with a first 'legit' label, pending
-    rows for chargebacks (`due` set), then every pending one that is due by the newest
-    event time seen so far becomes a confirmed label and is deleted from pending.
+def tick(store: FactStore, batch: DataFrame, source: str, batch_id: int) -> Commit:
+    """Commit a batch of arrivals and everything it makes due, under one stamp.
 
-    `stream` has id, account_id, txn_ts and a `due` that is NULL unless it will be charged
-    back. Returns the folder with the tables txn, label and pending.
+    `batch` has the columns `ARRIVALS`; `due` is NULL unless the transaction will be charged back. The commit holds the transactions, a
+    first 'legit' label of each, pending rows of the chargebacks, and for each pending one that is due by the newest event time seen
+    so far a 'fraud' label and the end of its pending. What became due since the last tick is read by its due day; what
+    was due by then was settled in a tick before. A batch that is already in the store changes nothing.
+    """
+    done = store.committed(source, batch_id)
+    if done is not None:
+        return done
+    arrived = written(batch.select(*ARRIVALS).filter(F.col("id").isNotNull()).dropDuplicates(["id"]), "arrivals")
+    last = store.last()
+    newest = arrived.agg(F.max(micros("txn_ts"))).first()[0]
+    seen = [UNIX + timedelta(microseconds=newest)] if newest is not None else []
+    seen += [last.clock] if last else []
+    now = max(seen, default=UNIX)
+    stamp = at(store.next_time(now))
+
+    def fact(df, valid_from, seq, op):
+        return df.withColumns({"valid_from": valid_from, "valid_to": F.lit(None).cast("timestamp"), "seq": F.lit(seq), "op": F.lit(op)})
+
+    charged = arrived.filter(F.col("due").isNotNull()).select("id", "account_id", "txn_ts", "due")
+    waiting = snapshot(store.facts("pending", due=(last.clock if last else None, now)), Basis()).select("id", "account_id", "txn_ts", "due")
+    due = waiting.unionByName(charged.filter(F.col("due") <= at(now)))
+    labels = fact(arrived.select("id", F.lit(False).alias("is_fraud")), stamp, 0, PUT).unionByName(
+        fact(due.select("id", F.lit(True).alias("is_fraud")), stamp, 1, PUT))
+    pending = fact(charged, F.col("txn_ts"), 0, PUT).unionByName(fact(due, stamp, 1, DELETE))
+    return store.commit({"txn": fact(arrived.drop("due"), F.col("txn_ts"), 0, PUT), "label": labels, "pending": pending}, now,
+                        clock=now, source=source, batch=batch_id)
+
+
+def ingest_and_settle(stream: DataFrame, store: FactStore, run: Run, source: str = "arrivals") -> None:
+    """Each micro-batch is one tick and one commit of the store. Started again with the same run, it goes on."""
+    def arrive(batch: DataFrame, batch_id: int) -> None:
+        tick(store, batch, source, batch_id)
+
+    run_batches(stream, arrive, run=run)
+
+
+def score_as_ingested(stream: DataFrame, store: FactStore, model: LinearModel, run: Run, windows: Windows = Windows(),
+                      source: str = "arrivals", baseline: datetime | None = None) -> DataFrame:
+    """Commit each micro-batch as a tick, then score its transactions from the store at the basis of that commit: id, p, model_version.
+
+    What arrived before is their history, whatever its batch. Transactions that were in the store at `baseline` are neither committed nor
+    scored again; redelivered batches score the same rows from the same basis and replace them.
     """
     spark = stream.sparkSession
-    root = fresh_dir(spark, "ticks")
-    labels, pendings = LABELS.format(key=key), PENDING.format(key=key)
-
-    def tick(batch: DataFrame, batch_id: int) -> None:
-        put_batch(batch.drop("due"), root, "txn", batch_id)
-        txn = table_so_far(spark, root, "txn", batch.drop("due").schema)
-        now = txn.filter(F.col("batch") <= batch_id).agg(F.max(micros("txn_ts"))).first()[0]
-        new_pending = batch.filter(F.col("due").isNotNull()).select(
-            "id", "account_id", "txn_ts", "due", F.lit(PUT).alias("op"))
-        earlier = table_so_far(spark, root, "pending", pendings).filter(F.col("batch") < batch_id).drop("batch")
-        in_flight = earlier.unionByName(new_pending)
-        open_rows = in_flight.filter(F.col("op") == PUT).join(
-            in_flight.filter(F.col("op") == DELETE).select("id"), "id", "left_anti")
-        due = open_rows.filter(micros("due") <= F.lit(now)).withColumn("now", instant(F.lit(now).cast("long")))
-        put_batch(
-            batch.select("id", F.lit(False).alias("is_fraud"), F.col("txn_ts").alias("learned"), F.lit(PUT).alias("op"))
-            .unionByName(due.select("id", F.lit(True).alias("is_fraud"), F.col("now").alias("learned"), "op")),
-            root, "label", batch_id)
-        # puts of this tick and deletes of what it settled, from the same snapshot
-        put_batch(new_pending.unionByName(
-            due.select("id", "account_id", "txn_ts", "due", F.lit(DELETE).alias("op"))), root, "pending", batch_id)
-
-    run_batches(stream, tick)
-    return root
-
-
-def velocity_on_arrival(stream: DataFrame, windows: Windows = Windows()) -> DataFrame:
+    schema = "id {}, p double, model_version string".format(stream.schema["id"].dataType.simpleString())
+
+    def arrive(batch: DataFrame, batch_id: int) -> None:
+        if baseline is not None:
+            there = store.facts("txn", baseline).select("id")
+            batch = written(batch.join(there, "id", "left_anti"), "arrivals")
+        commit = tick(store, batch, source, batch_id)
+        new = batch.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+        span = new.agg(F.min(micros("txn_ts")), F.max(micros("txn_ts"))).first()
+        reach = max(windows.velocity, windows.baseline, windows.fraud)
+        first, last = (UNIX + timedelta(microseconds=us or 0) for us in span)
+        near = store.logs(commit.system_time, pane=windows.pane).around(new, since=first - reach, until=last)
+        vectors = serve(requests_from(new), near, Basis(system_at=commit.system_time), windows)
+        put_batch(scored(vectors, model).select(
+            F.col("req_id").alias("id"), "p", F.lit(model.version).alias("model_version")), run.folder, "scores", batch_id)
+
+    run_batches(stream, arrive, run=run)
+    return spark.read.schema(schema).parquet(f"{run.folder}/scores").drop("batch")
+
+
+def velocity_on_arrival(stream: DataFrame, windows: Windows = Windows(), run: Run | None = None) -> DataFrame:
     """Exact trailing count per transaction, kept right as facts arrive in any order.
 
     A new fact changes the count of its account's transactions up to one width later.
@@ -68,7 +101,8 @@ def velocity_on_arrival(stream: DataFrame, windows: Windows = Windows()) -> Data
     and the newest value of each transaction stands.
     """
     spark = stream.sparkSession
-    root = fresh_dir(spark, "velocity")
+    run = run or new_run(spark, "velocity")
+    root = run.folder
     reach = windows.velocity // windows.pane
     schema = stream.select("id", "account_id", "txn_ts").schema
 
@@ -92,14 +126,14 @@ def velocity_on_arrival(stream: DataFrame, windows: Windows = Windows()) -> Data
         put_batch(counted.select("id", "account_id", "txn_ts", F.col("n_velocity").alias("txn_count_24h")),
                   root, "counts", batch_id)
 
-    run_batches(stream, arrive)
-    written = spark.read.parquet(f"{root}/counts")
+    run_batches(stream, arrive, run=run)
+    counts = spark.read.parquet(f"{root}/counts")
     last = F.max_by(F.struct("account_id", "txn_ts", "txn_count_24h"), "batch")
-    return written.groupBy("id").agg(last.alias("c")).select("id", "c.*")
+    return counts.groupBy("id").agg(last.alias("c")).select("id", "c.*")
 
 
 def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
-                     windows: Windows = Windows(), baseline: DataFrame | None = None) -> DataFrame:
+                     windows: Windows = Windows(), baseline: DataFrame | None = None, run: Run | None = None) -> DataFrame:
     """Score each new transaction once per model version, each batch as of its newest instant: with the labels
     and transactions known by then, and none that were learned later.
 
@@ -107,7 +141,8 @@ def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
     the batch form scores those. Redelivered ids and retried batches add nothing.
     """
     spark = stream.sparkSession
-    root = fresh_dir(spark, "scores")
+    run = run or new_run(spark, "scores")
+    root = run.folder
     schema = "id {}, p double, model_version string".format(stream.schema["id"].dataType.simpleString())
 
     def arrive(batch: DataFrame, batch_id: int) -> None:
@@ -125,5 +160,5 @@ def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
         put_batch(scored(vectors, model).select(
             F.col("req_id").alias("id"), "p", F.lit(model.version).alias("model_version")), root, "scores", batch_id)
 
-    run_batches(stream, arrive)
+    run_batches(stream, arrive, run=run)
     return spark.read.schema(schema).parquet(f"{root}/scores").drop("batch")

@@ -8,9 +8,12 @@ retried, so a lost executor or driver never duplicates a fact.
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from knownthen.sources.shared import fresh_dir, read_if_present
 
@@ -23,24 +26,64 @@ def staged_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-                state_partitions: int | None = None) -> None:
-    """Process everything available now in micro-batches, then stop.
+class Stage:
+    """A folder that a stream reads and to which tables are added, each a batch of many files."""
 
-    State is split once and for all into `state_partitions`, by default one per core of
-    the cluster; a stream keeps the setting it was started with.
+    def __init__(self, spark: SparkSession, schema):
+        self.spark, self.schema, self.path = spark, schema, fresh_dir(spark, "stage")
+
+    def add(self, df: DataFrame) -> None:
+        df.select(*self.schema.names).write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+
+_starting = threading.Lock()
+
+
+@dataclass(frozen=True)
+class Run:
+    """Where a stream keeps its checkpoint and outputs, and when it takes new data.
+
+    A run that is started again with the same folder goes on where it stopped. `every` is the time between micro-batches, such as
+    '1 minute'; None takes what is there now and ends.
+    """
+
+    folder: str
+    every: str | None = None
+    state_partitions: int | None = None
+
+    @property
+    def checkpoint(self) -> str:
+        return os.path.join(self.folder, "checkpoint")
+
+
+def new_run(spark: SparkSession, name: str, **settings) -> Run:
+    return Run(fresh_dir(spark, name), **settings)
+
+
+def start(stream: DataFrame, each: Callable[[DataFrame, int], None], run: Run, mode: str = "append") -> StreamingQuery:
+    """Begin, or go on with, a run of a stream.
+
+    State is split once and for all when a folder is first used, by default into one partition per core of the cluster. A
+    stream takes its settings from the session as it starts; they are set for that moment only, one start at a time.
     """
-    spark = stream.sparkSession
-    partitions = "spark.sql.shuffle.partitions"
-    usual = spark.conf.get(partitions)
-    spark.conf.set(partitions, str(state_partitions or spark.sparkContext.defaultParallelism))
-    try:
-        query = (stream.writeStream.outputMode(mode).foreachBatch(each)
-                 .option("checkpointLocation", fresh_dir(spark, "state"))
-                 .trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(partitions, usual)
-    query.awaitTermination()
+    spark, partitions = stream.sparkSession, "spark.sql.shuffle.partitions"
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", run.checkpoint)
+    writer = writer.trigger(availableNow=True) if run.every is None else writer.trigger(processingTime=run.every)
+    with _starting:
+        usual = spark.conf.get(partitions)
+        spark.conf.set(partitions, str(run.state_partitions or spark.sparkContext.defaultParallelism))
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set(partitions, usual)
+
+
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", run: Run | None = None) -> None:
+    """Process everything available now in micro-batches, then stop."""
+    start(stream, each, run or new_run(stream.sparkSession, "run"), mode).awaitTermination()
 
 
 def batch_path(root: str, table: str, batch_id: int) -> str:

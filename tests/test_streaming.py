@@ -5,8 +5,10 @@ from datetime import timedelta
 
 from fixtures import D, utc
 from knownthen.operators.features import trailing_features
+from knownthen.sources.shared import fresh_dir
+from knownthen.sources.store import FactStore
 from knownthen.streaming import events, ingest
-from knownthen.streaming.runs import staged_stream, table_so_far
+from knownthen.streaming.runs import new_run, staged_stream
 
 
 def arrivals(spark, n=400):
@@ -32,13 +34,13 @@ def test_ticks_settle_each_due_chargeback_once(spark):
     df = spark.createDataFrame(
         [(1, 10, D(1), D(3)), (2, 10, D(2), None), (3, 11, D(4), D(6)), (4, 11, D(5), D(30)), (5, 12, D(9), None)],
         "id long, account_id long, txn_ts timestamp, due timestamp")
-    root = ingest.ingest_and_settle(staged_stream(df, "txn_ts", 5))
-    labels = table_so_far(spark, root, "label", ingest.LABELS.format(key="bigint"))
-    settled = labels.filter("is_fraud").select("id").collect()
-    assert sorted(r.id for r in settled) == [1, 3]
+    df = df.selectExpr("*", "1D AS amount", "'retail' AS category", "3L AS country")
+    store = FactStore(spark, fresh_dir(spark, "store"))
+    ingest.ingest_and_settle(staged_stream(df, "txn_ts", 5), store, new_run(spark, "ticks"))
+    labels = store.facts("label")
+    assert sorted(r.id for r in labels.filter("is_fraud").collect()) == [1, 3]
     assert labels.filter("not is_fraud").count() == 5
-    log = table_so_far(spark, root, "pending", ingest.PENDING.format(key="bigint"))
-    assert sorted((r.id, r.op) for r in log.collect()) == [(1, "del"), (1, "put"), (3, "del"), (3, "put"), (4, "put")]
+    assert sorted((r.id, r.op) for r in store.facts("pending").collect()) == [(1, "del"), (1, "put"), (3, "del"), (3, "put"), (4, "put")]
 
 
 def test_derived_streams(spark):
