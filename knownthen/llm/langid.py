@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +20,10 @@ from knownthen.llm.memo import slices
 
 #: Bounds of the fit: documents per language, and characters from the middle of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 1024
+#: Only so many labels are learned, the most frequent ones; rarer ones are never predicted.
+MAX_LANGS = 200
+#: A label's documents are first ranked in so many groups, then the first of each together.
+SALTS = 64
 #: No dictionary is longer than this many times the shortest of LEAST_BYTES or more: a longer one alone makes encodings smaller. Labels
 #: with less sampled text keep all of it, but do not shorten the others.
 MAX_RATIO, LEAST_BYTES = 2, 32768
@@ -27,7 +32,8 @@ PIECE_CHARS, LEVEL = 2048, 9
 #: A text is rejected where the second smallest encoding is larger by less than this share, or by fewer bytes.
 MIN_MARGIN, MIN_BYTES = 0.01, 1
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: characters of the Unicode category L; numbers such as ½ are none
+LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -39,14 +45,19 @@ def letters(text: str) -> str:
 def learned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary content per language from columns doc_id, text, lang: the documents of the smallest hashes of doc_id.
 
-    The most frequent language comes first. Languages without any sampled text are left out. Ids are picked first, so texts of others
-    are never sorted or moved.
+    The most frequent language comes first. Languages without any sampled text are left out, and those beyond the `MAX_LANGS` most
+    frequent, so what reaches the driver is bounded. Ids are picked first, so texts of others are never sorted or moved, and in two
+    steps, so that no task ranks a whole language. Rows that share a doc_id count as one document; parts that repeat count once.
     """
     known = docs.filter(F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (known.filter(F.col("doc_id").isNotNull()).select("lang", "doc_id")
-           .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_docs).select("doc_id").distinct().collect())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()}
+    known = known.filter(F.col("lang").isin(list(counts)))
+    hashed = known.filter(F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"))
+    some, order = hashed.withColumn("_salt", F.pmod("_h", F.lit(SALTS))), ["_h", "doc_id"]
+    for group in (["lang", "_salt"], ["lang"]):
+        some = (some.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+                .filter(F.col("_n") <= sample_docs).drop("_n"))
+    ids = some.select("doc_id").distinct().collect()
     middle = F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - sample_chars // 2)
     rows = (known.filter(F.col("doc_id").isin([r.doc_id for r in ids]) & F.col("text").isNotNull())
             .select("lang", "doc_id", F.substring("text", middle, F.lit(sample_chars)).alias("part")).collect() if ids else [])

@@ -94,9 +94,10 @@ class Rows:
     vectors: np.ndarray
 
 
-def fit(table: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Codebooks, Rows]:
-    """Codebooks from at most `sample` rows of `integers`, and these; all rows give the number of components and the largest length."""
-    size = table.agg(F.max(F.size("q")).alias("dim"), F.max(F.aggregate(
+def fit(table: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Codebooks, Rows, int]:
+    """Codebooks from at most `sample` rows of `integers`, these, and the number of all rows, which also give the number of components and the
+    largest length."""
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q")).alias("dim"), F.max(F.aggregate(
         "q", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm")).first()
     if (size["norm"] or 0) >= EXACT:
         raise ValueError("vectors are too long for exact scores: choose a smaller scale")
@@ -105,7 +106,7 @@ def fit(table: DataFrame, sample: int = SAMPLE, codes: int = CODES) -> tuple[Cod
     x = padded([r.q for r in rows], dim)
     half = dim // 2
     return (Codebooks(dim, half, (centres_of(x[:, :half], codes), centres_of(x[:, half:], codes))),
-            Rows(np.array([r.key for r in rows], np.int64), np.array([r.label for r in rows], np.int64), x))
+            Rows(np.array([r.key for r in rows], np.int64), np.array([r.label for r in rows], np.int64), x), size["n"])
 
 
 def padded(vectors: list, dim: int) -> np.ndarray:
@@ -123,9 +124,9 @@ def matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return padded(column.to_pylist(), dim)
 
 
-def indexed(table: DataFrame, books) -> DataFrame:
+def indexed(table: DataFrame, books, rows: int) -> DataFrame:
     """The rows with the codes of their cell, as a table ordered by cell; equal cells are told apart by the hash of the key, so none is
-    larger than a partition need be. `books` is a broadcast `Codebooks`."""
+    larger than a partition need be. `books` is a broadcast `Codebooks`, `rows` the number of rows."""
     schema = "key long, label long, q array<long>, a int, b int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +134,7 @@ def indexed(table: DataFrame, books) -> DataFrame:
             a, b = books.value.codes(matrix(batch.column(2), books.value.dim))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["key", "label", "q", "a", "b"])
 
-    coded = written(table.mapInArrow(run, schema), "codes")
-    rows, cores = coded.count(), table.sparkSession.sparkContext.defaultParallelism
+    coded, cores = table.mapInArrow(run, schema), table.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-rows // PART), min(cores, -(-rows // 1024)))
     return written(coded.repartitionByRange(parts, "a", "b", F.xxhash64("key")).sortWithinPartitions("a", "b", "key"), "index")
 
@@ -330,15 +330,12 @@ def hard_negatives(table: DataFrame, anchors: Column, positives: int = POSITIVES
     """
     spark, out = table.sparkSession, fresh_dir(table.sparkSession, "negatives")
     table = written(table, "vectors")
-    books, seen = fit(table, sample, codes)
+    books, seen, rows = fit(table, sample, codes)
     sent = spark.sparkContext.broadcast(books)
-    index = indexed(table, sent)
-    chosen = index.filter(anchors)
-    parts = max(1, -(-chosen.count() // block))
-    blocks = written(chosen.repartitionByRange(parts, "a", "b", "key").withColumn("block", F.spark_partition_id()), "anchors")
-    n = 0
-    for part in [r.block for r in blocks.select("block").distinct().orderBy("block").collect()]:
-        for some in local_blocks(blocks.filter(F.col("block") == part), block):
+    index = indexed(table, sent, rows)
+    chosen, n = index.filter(anchors), 0
+    for part in anchor_parts(chosen, chosen.count(), block):
+        for some in local_blocks(part, block):
             wanted = block_wanted(some, books.dim, positives)
             result = mined(index, sent, seen, wanted, negatives, low, high)
             result.write.mode("overwrite").parquet(f"{out}/block={n}")
@@ -346,6 +343,17 @@ def hard_negatives(table: DataFrame, anchors: Column, positives: int = POSITIVES
     return spark.read.schema(RESULT).parquet(out).drop("block") if n else spark.createDataFrame([], RESULT)
 
 
+def anchor_parts(chosen: DataFrame, total: int, block: int) -> Iterator[DataFrame]:
+    """The anchors in parts of about `block`, by ranges of cells."""
+    if total <= block:
+        yield chosen
+        return
+    parts = chosen.repartitionByRange(-(-total // block), "a", "b", "key").withColumn("part", F.spark_partition_id())
+    parts = written(parts, "anchors")
+    for row in parts.select("part").distinct().orderBy("part").collect():
+        yield parts.filter(F.col("part") == row.part)
+
+
 def local_blocks(rows: DataFrame, block: int) -> Iterator[list]:
     """The rows of one block on the driver, in slices of at most `block`: range partitions are only about equal."""
     held = []

@@ -24,7 +24,8 @@ def op2_line_dedup(spark, sf_dir):
 
 def op3_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.scanned(docs, secrets.fit(secrets.sample(docs))).drop("span_list")
+    found = secrets.scanned(docs, secrets.fit(secrets.sample(docs)))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
 
 
 def op4_token_counts(spark, sf_dir):
@@ -43,8 +44,8 @@ def op6_packing(spark, sf_dir):
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = langid.learned(docs.filter(~langid.held_out(F.col("doc_id"))))
-    return (langid.predicted(docs.select("doc_id", "text"), known).drop("text")
-            .withColumn("held_out", langid.held_out(F.col("doc_id"))))
+    found = langid.predicted(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op8_substring_dedup(spark, sf_dir):
@@ -53,7 +54,8 @@ def op8_substring_dedup(spark, sf_dir):
 
 def op9_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 #: Fixed rules of the query: action, host, start of the path.

@@ -18,5 +18,5 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in res.description]
     want = sorted(map(repr, res.fetchall()))
     df = contract.queries()[name](spark, SF)
-    assert set(columns) <= set(df.columns)
+    assert set(columns) == set(df.columns)
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want
