@@ -147,7 +147,7 @@ def replay(logs: FactLogs, model: LinearModel, subjects: DataFrame, confirmed_at
     rewound = Basis(system_at=confirmed_at - US)
     reads = {"after": current_frauds(confirmed, Basis()), "reproduced": current_frauds(confirmed, rewound)}
     vector = serve(
-        requests_from(subjects), logs, basis, windows, labelled_only=False,
+        requests_from(subjects), logs, basis, windows, complete=True,
         extra=[pending_before(pending, "n_prior")] + [Trailing(n, windows.fraud, facts=f) for n, f in reads.items()])
     pcf = {"before": F.col("prior_confirmed_fraud"), "after": F.col("n_after"), "reproduced": F.col("n_reproduced")}
     sizes = pending.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_confirmed"))

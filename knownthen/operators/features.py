@@ -105,6 +105,14 @@ def prior_fraud(logs: FactLogs, basis: Basis, windows: Windows = Windows(),
     return point_in_time(txn, [measure], pane=windows.pane)
 
 
+def labelled(txn: DataFrame, logs: FactLogs, basis: Basis) -> DataFrame:
+    """Transactions with the `is_fraud` and `learned_at` of their current label. One without fails the read: an incomplete label history
+    must not lose transactions in silence."""
+    labels = logs.labels(basis).select("id", "is_fraud", F.col("system_from").alias("learned_at"), F.lit(True).alias("__labelled"))
+    complete = F.coalesce(F.col("__labelled"), F.raise_error(F.lit(INCOMPLETE)).cast("boolean"))
+    return txn.join(labels, "id", "left").filter(complete).drop("__labelled")
+
+
 def settled(txn: DataFrame, resolved_before: datetime | None) -> DataFrame:
     return txn if resolved_before is None else txn.filter(F.col("txn_ts") <= at(resolved_before))
 
@@ -175,25 +183,25 @@ def training_set(
 
 
 def serve(requests: DataFrame, logs: FactLogs, basis: Basis = Basis(), windows: Windows = Windows(), *,
-          labelled_only: bool = True, extra: list[Active | Trailing] = ()) -> DataFrame:
+          labelled_only: bool = True, complete: bool = False, extra: list[Active | Trailing] = ()) -> DataFrame:
     """Feature vector of each request (req_id, account_id, t, amount, country) at its own
     instant, with the labels current at the basis.
 
     `labelled_only` reads history through an inner join with the labels, as the one-query
     form does; without it velocity and baseline see every transaction, as the feature by
-    feature form does. Both agree when every transaction has a label. `extra` counts ride
+    feature form does. Both agree when every transaction has a label; with `complete` one without fails the read. `extra` counts ride
     along in the same scan.
     """
     txn = logs.transactions(basis).select("id", "account_id", F.col("txn_ts").alias("t"), "amount")
-    labelled = txn.join(logs.labels(basis).select("id", "is_fraud"), "id")
-    facts = labelled if labelled_only else txn
+    known = labelled(txn, logs, basis).drop("learned_at") if complete else txn.join(logs.labels(basis).select("id", "is_fraud"), "id")
+    facts = known if labelled_only or complete else txn
     homes = logs.account_timeline(basis).select(
         F.col("id").alias("account_id"), "home_country", "valid_from", F.col("valid_to").alias("until"))
     scanned = point_in_time(
         requests,
         [Trailing("velocity", windows.velocity, facts=facts, value="amount"),
          Trailing("baseline", windows.baseline, facts=facts, value="amount", moments=True),
-         Trailing("fraud", windows.fraud, facts=labelled.filter("is_fraud")),
+         Trailing("fraud", windows.fraud, facts=known.filter("is_fraud")),
          Latest("account_version", homes, ("home_country", "until")), *extra],
         at="t", pane=windows.pane)
     alive = F.col("account_version.until").isNull() | (F.col("t") < F.col("account_version.until"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knownthen.functions.clock import DAY, at, before
 from knownthen.functions.rules import SCORE_MOVE, recorded_state
+from knownthen.operators.features import labelled
 from knownthen.operators.temporal import Basis, PUT, covering, known
 from knownthen.sources.facts import FactLogs
 
@@ -49,10 +50,9 @@ def activity_feed(logs: FactLogs, basis: Basis = Basis(), limit: int = 40) -> Da
 
 
 def states(logs: FactLogs, basis: Basis) -> DataFrame:
-    """Every labelled transaction with its recorded state: fraud, pending or legit."""
+    """Every transaction with its recorded state: fraud, pending or legit. One without a current label fails the read."""
     pending = logs.pendings(basis).select("id", F.col("id").alias("pending_id"))
-    labels = logs.labels(basis).select("id", "is_fraud", F.col("system_from").alias("learned_at"))
-    return (logs.transactions(basis).join(labels, "id").join(pending, "id", "left")
+    return (labelled(logs.transactions(basis), logs, basis).join(pending, "id", "left")
             .select("id", "account_id", "amount", "country", "txn_ts", "valid_from", "system_from", "learned_at",
                     recorded_state("is_fraud", "pending_id").alias("state")))
 

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from knownthen.operators.features import HINDSIGHT, KNOWN_THEN, Windows, newest, prior_fraud, prior_fraud_measure, settled
+from knownthen.operators.features import HINDSIGHT, KNOWN_THEN, Windows, labelled, newest, prior_fraud, prior_fraud_measure, settled
 from knownthen.operators.paned import Trailing, point_in_time
 from knownthen.operators.temporal import Basis
 from knownthen.functions.rules import as_flag
@@ -16,12 +16,11 @@ from knownthen.sources.shared import written
 
 def leaky_counts(logs: FactLogs, basis: Basis, windows: Windows = Windows(),
                  resolved_before: datetime | None = None) -> DataFrame:
-    """Prior fraud counted with current outcomes only, whenever they arrived."""
-    txn = settled(logs.transactions(basis), resolved_before)
-    frauds = (txn.select("id", "account_id", "txn_ts")
-              .join(logs.labels(basis).filter("is_fraud").select("id"), "id", "left_semi"))
-    counted = point_in_time(txn.select("id", "account_id", "txn_ts"),
-                            [Trailing("leaky", windows.fraud, facts=frauds)], pane=windows.pane)
+    """Prior fraud counted with current outcomes only, whenever they arrived. A transaction without a label fails the read."""
+    txn = labelled(settled(logs.transactions(basis), resolved_before).select("id", "account_id", "txn_ts"), logs, basis).drop("learned_at")
+    bad = F.when(F.col("is_fraud"), F.col("txn_ts"))  # the label comes with the anchor: no second join for the frauds
+    frauds = txn.select("account_id", bad.alias("txn_ts"))
+    counted = point_in_time(txn.drop("is_fraud"), [Trailing("leaky", windows.fraud, facts=frauds)], pane=windows.pane)
     return counted.withColumnRenamed("n_leaky", "pcf_leaky")
 
 
@@ -48,15 +47,18 @@ def leakage_examples(rows: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def training_totals(logs: FactLogs, basis: Basis, resolved_before: datetime) -> DataFrame:
-    labelled = settled(logs.transactions(basis), resolved_before).join(logs.labels(basis).select("id", "is_fraud"), "id")
-    return labelled.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("is_fraud").alias("total_fraud"))
+    rows = labelled(settled(logs.transactions(basis), resolved_before), logs, basis)
+    return rows.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("is_fraud").alias("total_fraud"))
 
 
 def training_sample(logs: FactLogs, basis: Basis, resolved_before: datetime, limit: int = 60,
-                    windows: Windows = Windows()) -> DataFrame:
-    """The newest settled transactions with both counts; history is read for their accounts only."""
+                    windows: Windows = Windows(), selected=None) -> DataFrame:
+    """The newest settled transactions with both counts; history is read for their accounts only. A `selected` transaction that
+    the basis does not show is an error."""
     txn = settled(logs.transactions(basis), resolved_before)
-    anchors = written(newest(txn.join(logs.labels(basis).select("id", "is_fraud"), "id"), limit), "anchors")
+    if selected is not None and logs.transactions(basis).filter(F.col("id") == F.lit(selected)).isEmpty():
+        raise ValueError(f"unknown transaction: {selected}")
+    anchors = written(newest(labelled(txn, logs, basis).drop("learned_at"), limit), "anchors")
     history = txn.join(anchors.select("account_id").distinct(), "account_id", "left_semi")
     measure = prior_fraud_measure(history, logs.label_timeline(basis), windows.fraud)
     counted = point_in_time(anchors, [measure], pane=windows.pane)

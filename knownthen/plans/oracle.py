@@ -205,9 +205,9 @@ arrived AS (SELECT a.*, stamp FROM arrivals a JOIN ticks USING (tick)),
 settled AS (SELECT a.id, min(t.stamp) AS settled FROM arrived a JOIN ticks t ON t.tick >= a.tick AND t.stamp >= a.due WHERE a.fraud GROUP BY a.id)
 """
 
-#: runs of an account without a pause of eight hours: gaps and islands
+#: runs of an account without a pause of over eight hours: gaps and islands
 BURSTS = """, apart AS (
-  SELECT *, coalesce(txn_ts - lag(txn_ts) OVER w >= INTERVAL 8 HOUR, true) AS new FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY txn_ts, id)),
+  SELECT *, coalesce(txn_ts - lag(txn_ts) OVER w > INTERVAL 8 HOUR, true) AS new FROM txn WINDOW w AS (PARTITION BY account_id ORDER BY txn_ts, id)),
 island AS (SELECT *, sum(new::INT) OVER (PARTITION BY account_id ORDER BY txn_ts, id ROWS UNBOUNDED PRECEDING) AS k FROM apart),
 burst AS (
   SELECT account_id, min(txn_ts) AS start, max(txn_ts) + INTERVAL 8 HOUR AS "end", count(*) AS n, round(sum(amount) + 1e-9, 6) + 0.0 AS amount
@@ -461,6 +461,7 @@ FROM txn t JOIN label l ON l.id = t.id WHERE t.txn_ts <= {SETTLED_PAST}""",
   WHERE t.txn_ts <= {SETTLED_PAST} ORDER BY t.txn_ts DESC, t.id DESC LIMIT 60)""" + prior("chosen") + f"""SELECT c.id, c.txn_ts,
   c.account_id, {r("c.amount")} AS amount, c.country, {big("c.is_fraud")} AS label, p.known AS prior_confirmed_fraud_as_known_then,
   p.hindsight AS prior_confirmed_fraud_with_hindsight, p.known <> p.hindsight AS differs FROM chosen c JOIN pcf p ON p.id = c.id""",
+        "serve_maintained": base() + vectors(LATER_REQUESTS) + f"SELECT {VECTOR_COLUMNS} FROM vec",
         "serve_batch": base() + vectors(LATER_REQUESTS) + f"SELECT {VECTOR_COLUMNS} FROM vec",
         "serve_vector": base(PAST) + vectors(LATER_REQUESTS.replace("FROM txn", "FROM txn_log"), "txn") + f"SELECT {VECTOR_COLUMNS} FROM vec",
         "train_serve_parity": base() + """SELECT count(*) AS n, 0::BIGINT AS amount_zscore_differs, 0::BIGINT AS txn_count_24h_differs,

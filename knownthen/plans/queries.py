@@ -20,6 +20,7 @@ from knownthen.operators.temporal import Basis, rectangles, replayed_timeline, s
 from knownthen.sources import driver_tables as given, facts, registry as reg
 from knownthen.sources.driver_tables import NOW, OUTCOME_DELAY, PAST, fact_logs, read
 from knownthen.sources.shared import fresh_dir, written
+from knownthen.sources.serving import ServingPanes
 from knownthen.sources.store import FactStore
 from knownthen.streaming import events as streams, ingest, timers
 from knownthen.streaming.runs import Stage, new_run, staged_stream
@@ -301,6 +302,14 @@ def serve_vector(spark, sf):
     return serve(requests(logs), logs, AT_PAST, labelled_only=False).drop("country")
 
 
+def serve_maintained(spark, sf):
+    """The same requests from pane aggregates that two commits have brought up to date."""
+    logs, panes = logs_of(spark, sf), ServingPanes(spark, fresh_dir(spark, "serving"))
+    panes.update(logs, None, PAST)
+    panes.update(logs, PAST, NOW)
+    return panes.serve(requests(logs)).drop("country")
+
+
 def train_serve_parity(spark, sf):
     """Serving every transaction must give the training values under current knowledge."""
     logs = logs_of(spark, sf)
@@ -492,7 +501,7 @@ def settle_due(spark, sf):
 def confirm_committed(spark, sf):
     """The same commit written to a store that holds the logs, and read back: label and pending facts of its stamp."""
     logs, store = logs_of(spark, sf), FactStore(spark, fresh_dir(spark, "store"))
-    store.commit({t: getattr(logs, t) for t in ("txn", "account", "label", "pending")}, NOW, history=True)
+    store.import_history({t: getattr(logs, t) for t in ("txn", "account", "label", "pending")}, NOW)
     before = store.logs()
     labels, deletes = audit.confirm_facts(before.pendings(LATEST), NOW)
     stamp = store.commit({"label": labels, "pending": deletes}, NOW).system_time
@@ -617,7 +626,7 @@ def stream_score(spark, sf):
 def stream_score_store(spark, sf):
     """Arrivals scored from the store that they are committed to; it holds accounts and what happened before WATCHED at first."""
     logs, store, run = logs_of(spark, sf), FactStore(spark, fresh_dir(spark, "store")), new_run(spark, "scores")
-    store.commit({"account": logs.account}, given.FIRST_ACCOUNT_VERSION, history=True)
+    store.import_history({"account": logs.account}, given.FIRST_ACCOUNT_VERSION)
     arrivals = _full_arrivals(spark, sf).withColumn("half", F.col("txn_ts") >= at(HALF))
     seed = ingest.tick(store, arrivals.filter(F.col("txn_ts") < at(WATCHED)), "seed", 0)
     stage = Stage(spark, arrivals.schema)
@@ -672,7 +681,7 @@ QUERIES = {
     "training_set_at_basis": training_at_basis,
     "leakage_rows": leakage_rows, "leakage_summary": leakage_summary, "leakage_examples": leakage_examples,
     "training_totals": training_totals, "training_sample": training_sample,
-    "serve_batch": serve_batch, "serve_vector": serve_vector, "train_serve_parity": train_serve_parity,
+    "serve_batch": serve_batch, "serve_vector": serve_vector, "serve_maintained": serve_maintained, "train_serve_parity": train_serve_parity,
     "explain": explain, "verdicts": verdicts, "auc": auc, "score_recent": score_recent,
     "score_account": score_account, "scored_frame": scored_frame, "score_moves": score_moves,
     "train_test_split": train_test_split, "train_guard": train_guard, "fit_metrics": fit_metrics,

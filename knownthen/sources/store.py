@@ -13,7 +13,7 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from knownthen.functions.clock import at
 from knownthen.sources.facts import LOG_SCHEMA, PENDING_SCHEMA, TXN_SCHEMA, FactLogs
@@ -33,34 +33,30 @@ class Commit:
     clock: datetime
 
 
-class FactStore:
-    """The logs of `FactLogs` below `root`; `key` and `country` are the types of ids and of countries."""
+class CommittedTables:
+    """Tables below `root`: schema by name, and by name the partition columns with what they are computed from."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "bigint", country: str = "bigint"):
-        self.spark, self.root = spark, root
-        own = {"txn": TXN_SCHEMA, "account": "name string, home_country {country}, tier string", "label": "is_fraud boolean", "pending": PENDING_SCHEMA}
-        self.schemas = {t: f"id {key}, {s.format(key=key, country=country)}, {LOG_SCHEMA}" for t, s in own.items()}
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, str], parts: dict[str, dict[str, tuple[str, Column]]]):
+        self.spark, self.root, self.schemas, self.parts = spark, root, schemas, parts
+        self.columns = {t: [c.split()[0] for c in s.split(", ")] for t, s in schemas.items()}
 
     # --- commits ---
 
-    def _commits(self) -> DataFrame:
-        records = read_if_present(self.spark, os.path.join(self.root, "commits"), COMMIT_SCHEMA)
-        return self.spark.createDataFrame([], COMMIT_SCHEMA) if records is None else records
-
     def commits(self) -> DataFrame:
         """The records of all commits."""
-        return self._commits()
+        records = read_if_present(self.spark, os.path.join(self.root, "commits"), COMMIT_SCHEMA)
+        return self.spark.createDataFrame([], COMMIT_SCHEMA) if records is None else records
 
     def _found(self, records: DataFrame) -> Commit | None:
         row = records.agg(F.max_by(F.struct(F.unix_micros("system_time").alias("s"), F.unix_micros("clock").alias("c")), "system_time").alias("r")).first()
         return None if row.r is None else Commit(*(UNIX + timedelta(microseconds=us) for us in (row.r.s, row.r.c)))
 
     def last(self) -> Commit | None:
-        return self._found(self._commits())
+        return self._found(self.commits())
 
     def committed(self, source: str, batch: int) -> Commit | None:
         """The commit that holds a batch of a stream, if there is one."""
-        return self._found(self._commits().filter((F.col("source") == source) & (F.col("batch") == batch)))
+        return self._found(self.commits().filter((F.col("source") == source) & (F.col("batch") == batch)))
 
     def next_time(self, now: datetime) -> datetime:
         """The stamp of a commit at `now`: just after the last one where that is not past."""
@@ -68,31 +64,28 @@ class FactStore:
         return now if last is None else max(now, last.system_time + timedelta(microseconds=1))
 
     def commit(self, tables: dict[str, DataFrame], now: datetime, *, clock: datetime | None = None, source: str | None = None,
-               batch: int | None = None, history: bool = False) -> Commit:
-        """Append facts of several tables under one stamp; they appear together, or none does.
+               batch: int | None = None) -> Commit:
+        """Append rows to several tables under one stamp; they appear together, or none does.
 
-        Facts need the columns of their log but `system_from`, which is the stamp; with `history` they bring it and the store must be
-        empty. A batch that is already in the store is not written again; its commit is returned.
+        A batch that is already there is not written again; its commit is returned.
         """
-        if unknown := set(tables) - set(TABLES):
+        if unknown := set(tables) - set(self.schemas):
             raise ValueError(f"no such tables: {sorted(unknown)}")
         if source is not None and (done := self.committed(source, batch)) is not None:
             return done
-        if history and self.last() is not None:
-            raise ValueError("history is imported into an empty store only")
         stamp, attempt = self.next_time(now), uuid.uuid4().hex
-        for name, facts in tables.items():
-            self._write(name, facts if history else facts.withColumn("system_from", at(stamp)), attempt)
+        for name, rows in tables.items():
+            self._write(name, self._stamped(name, rows, stamp), attempt)
         clock = clock or now
         self._record(Row(attempt=attempt, system_time=stamp, clock=clock, source=source, batch=batch))
         return Commit(stamp, clock)
 
-    def _write(self, name: str, facts: DataFrame, attempt: str) -> None:
-        days = {"system_day": F.date_format("system_from", DAY_FORMAT)}
-        if name == "pending":
-            days["due_day"] = F.date_format("due", DAY_FORMAT)
-        columns = [c.split()[0] for c in self.schemas[name].split(", ")]
-        (facts.select(*columns).withColumns(days).write.mode("overwrite").partitionBy(*days)
+    def _stamped(self, name: str, rows: DataFrame, stamp: datetime) -> DataFrame:
+        return rows
+
+    def _write(self, name: str, rows: DataFrame, attempt: str) -> None:
+        parts = {p: c for p, (_, c) in self.parts[name].items()}
+        (rows.select(*self.columns[name]).withColumns(parts).write.mode("overwrite").partitionBy(*parts)
          .parquet(os.path.join(self.root, name, f"attempt={attempt}")))
 
     def _record(self, record: Row) -> None:
@@ -101,13 +94,42 @@ class FactStore:
 
     # --- reading ---
 
+    def rows(self, name: str) -> DataFrame:
+        """The committed rows of a table with its partition columns."""
+        parts = "".join(f", {p} {kind}" for p, (kind, _) in self.parts[name].items())
+        rows = read_if_present(self.spark, os.path.join(self.root, name), f"{self.schemas[name]}, attempt string{parts}")
+        if rows is None:
+            return self.spark.createDataFrame([], self.schemas[name] + parts)
+        return rows.join(self.commits().select("attempt"), "attempt", "left_semi")
+
+
+class FactStore(CommittedTables):
+    """The logs of `FactLogs` below `root`; `key` and `country` are the types of ids and of countries. Facts carry the stamp of their commit."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "bigint", country: str = "bigint"):
+        own = {"txn": TXN_SCHEMA, "account": "name string, home_country {country}, tier string", "label": "is_fraud boolean", "pending": PENDING_SCHEMA}
+        schemas = {t: f"id {key}, {s.format(key=key, country=country)}, {LOG_SCHEMA}" for t, s in own.items()}
+        parts = {t: {"system_day": ("string", F.date_format("system_from", DAY_FORMAT))} for t in TABLES}
+        parts["pending"]["due_day"] = ("string", F.date_format("due", DAY_FORMAT))
+        super().__init__(spark, root, schemas, parts)
+
+    def _stamped(self, name: str, rows: DataFrame, stamp: datetime) -> DataFrame:
+        return rows.withColumn("system_from", at(stamp))
+
+    def import_history(self, tables: dict[str, DataFrame], now: datetime) -> Commit:
+        """Facts that bring their own system times, as the first commit."""
+        if self.last() is not None:
+            raise ValueError("history is imported into an empty store only")
+        attempt = uuid.uuid4().hex
+        for name, rows in tables.items():
+            self._write(name, rows, attempt)
+        self._record(Row(attempt=attempt, system_time=now, clock=now, source=None, batch=None))
+        return Commit(now, now)
+
     def facts(self, name: str, system_at: datetime | None = None, due: tuple[datetime | None, datetime] | None = None) -> DataFrame:
         """The committed facts of a table, with those later than `system_at` unread; of pending facts only those due in (from, to] if `due`
         is given. Both prune whole days."""
-        parts = "attempt string, system_day string" + (", due_day string" if name == "pending" else "")
-        rows = read_if_present(self.spark, os.path.join(self.root, name), f"{self.schemas[name]}, {parts}")
-        if rows is None:
-            return self.spark.createDataFrame([], self.schemas[name])
+        rows = self.rows(name)
         if system_at is not None:
             rows = rows.filter((F.col("system_day") <= _day(system_at)) & (F.col("system_from") <= at(system_at)))
         if due is not None:
@@ -115,7 +137,7 @@ class FactStore:
             rows = rows.filter((F.col("due_day") <= _day(high)) & (F.col("due") <= at(high)))
             if low is not None:
                 rows = rows.filter((F.col("due_day") >= _day(low)) & (F.col("due") > at(low)))
-        return rows.join(self._commits().select("attempt"), "attempt", "left_semi").select(*[c.split()[0] for c in self.schemas[name].split(", ")])
+        return rows.select(*self.columns[name])
 
     def logs(self, system_at: datetime | None = None, **settings) -> FactLogs:
         """The logs as of a system time, for every operator that takes `FactLogs`."""

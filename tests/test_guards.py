@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import ACCOUNT, D, LABEL, PENDING, TXN, account, label, txn, utc
+from knownthen.operators import audit, feed, leakage
 from knownthen.operators.features import Windows, prior_fraud, serve, training_set
 from knownthen.operators.model import LinearModel
 from knownthen.operators.quality import closed_histories
@@ -31,6 +32,30 @@ def test_an_unlabelled_transaction_fails_the_read_where_it_is_visible(spark):
             training_set(logs, limit=limit).collect()
 
 
+def test_every_read_of_labels_fails_on_an_incomplete_history(spark):
+    logs = fact_logs(spark, [txn("a", "x", D(1)), txn("b", "x", D(5))], [label("a", False, D(1))], [account("x")])
+    model = LinearModel("m", (0.0,) * 4, (1.0,) * 4, (0.0,) * 4, 0.0)
+    reads = {
+        "states": lambda b: feed.states(logs, b), "leaky": lambda b: leakage.leaky_counts(logs, b),
+        "leakage": lambda b: leakage.leakage_rows(logs, b, D(9)), "totals": lambda b: leakage.training_totals(logs, b, D(9)),
+        "sample": lambda b: leakage.training_sample(logs, b, D(9)), "page": lambda b: feed.data_head(logs, D(6), b),
+        "replay": lambda b: audit.replay(logs, model, logs.transactions(b), D(9), b)}
+    for name, read in reads.items():
+        assert read(Basis(system_at=D(3))).count() >= (name != "page"), name
+        with pytest.raises(Exception, match="no current label"):
+            read(Basis()).collect()
+    # what the horizon leaves out needs no label
+    assert leakage.training_totals(logs, Basis(), D(3)).first().total_rows == 1
+
+
+def test_a_selected_transaction_must_be_visible(spark):
+    txns = [txn("a", "x", D(1)), txn("b", "x", D(5))]
+    logs = fact_logs(spark, txns, [label(t[0], False, t[2]) for t in txns], [account("x")])
+    assert leakage.training_sample(logs, Basis(), D(9), selected="b").count() == 2
+    with pytest.raises(ValueError, match="unknown transaction"):
+        leakage.training_sample(logs, Basis(system_at=D(3)), D(9), selected="b")
+
+
 def test_since_keeps_what_the_widest_window_reaches(spark):
     txns = [txn(f"t{i}", "x", D(i)) for i in range(12)]
     logs = fact_logs(spark, txns, [label(t[0], False, t[2]) for t in txns], [account("x")])

@@ -74,7 +74,7 @@ def test_stamps_only_move_forward_and_history_needs_an_empty_store(spark, store)
     two = store.commit({}, D(4))
     assert (one.system_time, two.system_time) == (D(5), D(5) + US)
     with pytest.raises(ValueError, match="empty store"):
-        store.commit({}, D(9), history=True)
+        store.import_history({}, D(9))
     with pytest.raises(ValueError, match="no such tables"):
         store.commit({"labels": None}, D(9))
 
@@ -114,7 +114,7 @@ def test_a_confirmed_chargeback_does_not_settle_again(spark, store):
 
 def test_arrivals_are_scored_with_earlier_arrivals_as_history(spark, store):
     model = LinearModel("m", (0.0,) * 4, (1.0,) * 4, (0.0, 1.0, 0.0, 10.0), 0.0)
-    store.commit({"account": accounts(spark, "a", "b")}, D(-1), history=True)
+    store.import_history({"account": accounts(spark, "a", "b")}, D(-1))
     run, schema = new_run(spark, "scores"), spark.createDataFrame([], ARRIVALS).schema
     stage = Stage(spark, schema)
     for part in ([arrival("t1", "a", D(1), D(1) + H)], [arrival("t2", "a", D(1) + 2 * H)], [arrival("t3", "a", D(1) + 3 * H), arrival("t4", "b", D(1))]):
@@ -177,7 +177,7 @@ def brute_sessions(rows, gap):
     for account in {a for a, t, _ in rows if a is not None and t is not None}:
         held = None
         for t, v in sorted((t, v) for a, t, v in rows if a == account and t is not None):
-            if held and t - held[1] < gap:
+            if held and t - held[1] <= gap:
                 held = [held[0], t, held[2] + 1, held[3] + v]
             else:
                 out += [(account, held[0], held[1] + gap, held[2], held[3])] if held else []
@@ -190,7 +190,7 @@ def brute_sessions(rows, gap):
 def test_sessions_equal_brute_force_and_the_stream(spark, gap):
     rng = random.Random(8)
     rows = [("hot" if rng.random() < .5 else f"a{rng.randint(0, 5)}", D(0) + timedelta(minutes=30 * rng.randint(0, 900)), float(rng.randint(1, 9))) for _ in range(300)]
-    rows += [("edge", D(1), 1.0), ("edge", D(1) + gap, 2.0), ("edge", D(1) + 2 * gap - US, 4.0), (None, D(1), 1.0)]
+    rows += [("edge", D(1), 1.0), ("edge", D(1) + gap, 2.0), ("edge", D(1) + 2 * gap + US, 4.0), (None, D(1), 1.0)]
     schema = "account_id string, txn_ts timestamp, amount double"
     want = brute_sessions(rows, gap)
     assert facts(sessions(spark.createDataFrame(rows + [("lost", None, 1.0)], schema), gap)) == want
