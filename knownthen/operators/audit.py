@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from knownthen.functions.clock import after, at, before
 from knownthen.functions.rules import CASE_DELTA
-from knownthen.operators.features import US, Windows, current_frauds, requests_from, serve
+from knownthen.operators.features import US, Windows, complete, requests_from, serve
 from knownthen.operators.feed import states
 from knownthen.operators.model import LinearModel
 from knownthen.operators.paned import Active, Trailing
-from knownthen.operators.temporal import Basis, DELETE, PUT
+from knownthen.operators.temporal import Basis, DELETE, PUT, snapshots
 from knownthen.sources.facts import FactLogs
 
 LOOKBACK = timedelta(days=120)
@@ -135,7 +135,7 @@ def replay(logs: FactLogs, model: LinearModel, subjects: DataFrame, confirmed_at
     """Confirm all pending chargebacks of the subjects' accounts at `confirmed_at`, and
     score each subject before, after, and rewound to the microsecond before the commit.
 
-    Each prior-fraud count is read from the logs at its own basis with the same model;
+    Each prior-fraud count is read from the logs at its own basis with the same model, all in one pass over the labels;
     none is derived from another. The commit holds no transactions or account versions,
     so the other features are read once. Subjects of accounts with nothing pending come
     back unchanged, with zero counts.
@@ -144,11 +144,16 @@ def replay(logs: FactLogs, model: LinearModel, subjects: DataFrame, confirmed_at
     pending = logs.pendings(basis).join(accounts, "account_id", "left_semi")
     labels, deletes = confirm_facts(pending, confirmed_at)
     confirmed = logs.learn(label=labels, pending=deletes)
-    rewound = Basis(system_at=confirmed_at - US)
-    reads = {"after": current_frauds(confirmed, Basis()), "reproduced": current_frauds(confirmed, rewound)}
-    vector = serve(
-        requests_from(subjects), logs, basis, windows, complete=True,
-        extra=[pending_before(pending, "n_prior")] + [Trailing(n, windows.fraud, facts=f) for n, f in reads.items()])
+    bases = {"before": basis if basis.system_at is not None else Basis(basis.valid_at, confirmed_at - US), "after": Basis(),
+             "reproduced": Basis(system_at=confirmed_at - US)}
+    states = snapshots(confirmed.label, bases, ["is_fraud"])
+    txn = logs.transactions(basis).select("id", "account_id", F.col("txn_ts").alias("t"), "amount")
+    # labels of transactions that the basis does not show belong to none of these
+    known = complete(txn, states.filter(F.col("before").isNotNull())).select(
+        "id", "account_id", "t", "amount", F.col("before.is_fraud").alias("is_fraud"),
+        *[F.coalesce(F.col(f"{n}.is_fraud"), F.lit(False)).alias(f"fraud_{n}") for n in ("after", "reproduced")])
+    counts = [Trailing(n, windows.fraud, facts=known, where=f"fraud_{n}") for n in ("after", "reproduced")]
+    vector = serve(requests_from(subjects), logs, basis, windows, known=known, extra=[pending_before(pending, "n_prior"), *counts])
     pcf = {"before": F.col("prior_confirmed_fraud"), "after": F.col("n_after"), "reproduced": F.col("n_reproduced")}
     sizes = pending.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_confirmed"))
     return vector.join(sizes, "account_id", "left").select(

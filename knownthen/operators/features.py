@@ -105,12 +105,16 @@ def prior_fraud(logs: FactLogs, basis: Basis, windows: Windows = Windows(),
     return point_in_time(txn, [measure], pane=windows.pane)
 
 
+def complete(txn: DataFrame, labels: DataFrame) -> DataFrame:
+    """Transactions with the columns of `labels`, which has at most one row per id; one that has no row there fails the read."""
+    there = F.coalesce(F.col("__labelled"), F.raise_error(F.lit(INCOMPLETE)).cast("boolean"))
+    return txn.join(labels.withColumn("__labelled", F.lit(True)), "id", "left").filter(there).drop("__labelled")
+
+
 def labelled(txn: DataFrame, logs: FactLogs, basis: Basis) -> DataFrame:
     """Transactions with the `is_fraud` and `learned_at` of their current label. One without fails the read: an incomplete label history
     must not lose transactions in silence."""
-    labels = logs.labels(basis).select("id", "is_fraud", F.col("system_from").alias("learned_at"), F.lit(True).alias("__labelled"))
-    complete = F.coalesce(F.col("__labelled"), F.raise_error(F.lit(INCOMPLETE)).cast("boolean"))
-    return txn.join(labels, "id", "left").filter(complete).drop("__labelled")
+    return complete(txn, logs.labels(basis).select("id", "is_fraud", F.col("system_from").alias("learned_at")))
 
 
 def settled(txn: DataFrame, resolved_before: datetime | None) -> DataFrame:
@@ -139,7 +143,7 @@ def training_set(
     histories = logs.label_timeline(basis)
     labels = histories.filter(F.col("valid_to").isNull()).select("id", "is_fraud", F.lit(True).alias("labelled"))
     # an incomplete label history fails the read instead of losing transactions
-    complete = F.coalesce(F.col("labelled"), F.raise_error(F.lit(INCOMPLETE)).cast("boolean"))
+    whole = F.coalesce(F.col("labelled"), F.raise_error(F.lit(INCOMPLETE)).cast("boolean"))
     homes = logs.account_timeline(basis).select(
         F.col("id").alias("account_id"), "home_country", "valid_from", F.col("valid_to").alias("until"))
     recent = txn if since is None else txn.filter(F.col("txn_ts") >= before(at(since), max(windows.baseline, windows.velocity)))
@@ -153,7 +157,7 @@ def training_set(
     else:
         # pick the anchors once (written: `limit` rows), then read only their accounts' history
         lives = homes.select("account_id", "valid_from", "until")
-        labelled = recent.join(labels, "id", "left").filter(complete).alias("t")
+        labelled = recent.join(labels, "id", "left").filter(whole).alias("t")
         alive = labelled.join(
             lives.alias("v"), (F.col("t.account_id") == F.col("v.account_id"))
             & (F.col("v.valid_from") <= F.col("t.txn_ts"))
@@ -171,7 +175,7 @@ def training_set(
     scanned = _named(point_in_time(base, [*trailing, frauds, version], pane=windows.pane))
     current = F.col("account_version").isNotNull() & (
         F.col("account_version.until").isNull() | (F.col("txn_ts") < F.col("account_version.until")))
-    kept = scanned.filter(complete & current)
+    kept = scanned.filter(whole & current)
     if since is not None:
         kept = kept.filter(F.col("txn_ts") >= at(since))
     chosen = KNOWN_THEN if knowledge == "as_of_decision" else HINDSIGHT
@@ -183,25 +187,28 @@ def training_set(
 
 
 def serve(requests: DataFrame, logs: FactLogs, basis: Basis = Basis(), windows: Windows = Windows(), *,
-          labelled_only: bool = True, complete: bool = False, extra: list[Active | Trailing] = ()) -> DataFrame:
+          labelled_only: bool = True, known: DataFrame | None = None, extra: list[Active | Trailing] = ()) -> DataFrame:
     """Feature vector of each request (req_id, account_id, t, amount, country) at its own
     instant, with the labels current at the basis.
 
     `labelled_only` reads history through an inner join with the labels, as the one-query
     form does; without it velocity and baseline see every transaction, as the feature by
-    feature form does. Both agree when every transaction has a label; with `complete` one without fails the read. `extra` counts ride
-    along in the same scan.
+    feature form does. Both agree when every transaction has a label. `known` gives the history (id, account_id, t, amount, is_fraud) instead.
+    `extra` counts ride along in the same scan.
     """
     txn = logs.transactions(basis).select("id", "account_id", F.col("txn_ts").alias("t"), "amount")
-    known = labelled(txn, logs, basis).drop("learned_at") if complete else txn.join(logs.labels(basis).select("id", "is_fraud"), "id")
-    facts = known if labelled_only or complete else txn
+    if known is None:
+        known = txn.join(logs.labels(basis).select("id", "is_fraud"), "id")
+        facts = known if labelled_only else txn
+    else:
+        facts = known
     homes = logs.account_timeline(basis).select(
         F.col("id").alias("account_id"), "home_country", "valid_from", F.col("valid_to").alias("until"))
     scanned = point_in_time(
         requests,
         [Trailing("velocity", windows.velocity, facts=facts, value="amount"),
          Trailing("baseline", windows.baseline, facts=facts, value="amount", moments=True),
-         Trailing("fraud", windows.fraud, facts=known.filter("is_fraud")),
+         Trailing("fraud", windows.fraud, facts=known, where="is_fraud"),
          Latest("account_version", homes, ("home_country", "until")), *extra],
         at="t", pane=windows.pane)
     alive = F.col("account_version.until").isNull() | (F.col("t") < F.col("account_version.until"))
@@ -212,12 +219,6 @@ def serve(requests: DataFrame, logs: FactLogs, basis: Basis = Basis(), windows:
                           *[s.value.alias(s.name) for s in feature_specs()])
 
 
-def current_frauds(logs: FactLogs, basis: Basis) -> DataFrame:
-    """Transactions whose label at the basis is fraud, as facts at their own instant."""
-    frauds = logs.labels(basis).filter("is_fraud").select("id")
-    return logs.transactions(basis).select("id", "account_id", F.col("txn_ts").alias("t")).join(frauds, "id")
-
-
 def requests_from(txn: DataFrame) -> DataFrame:
     """Each transaction as a scoring request at its own instant."""
     return txn.select(F.col("id").alias("req_id"), "account_id", F.col("txn_ts").alias("t"), "amount", "country")

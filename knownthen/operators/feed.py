@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from knownthen.functions.clock import DAY, at, before
 from knownthen.functions.rules import SCORE_MOVE, recorded_state
-from knownthen.operators.features import labelled
-from knownthen.operators.temporal import Basis, PUT, covering, known
+from knownthen.operators.features import complete, labelled
+from knownthen.operators.temporal import Basis, PUT, covering, known, snapshots
 from knownthen.sources.facts import FactLogs
 
 
@@ -17,9 +17,9 @@ def first_flips(label_log: DataFrame, basis: Basis) -> DataFrame:
     """Ids recorded legit before they were first recorded fraud, seen on system time only.
 
     Two grouped passes over the versions valid at the basis: one keeps the last fact of
-    each (id, commit), one takes the first commit of either kind.
+    each (id, commit), one takes the first commit of either kind. Both, and a join by id, need one exchange by id.
     """
-    facts = covering(known(label_log, basis), basis.valid_at)
+    facts = covering(known(label_log, basis), basis.valid_at).select("id", "system_from", "seq", "is_fraud", "op").repartition("id")
     commits = facts.groupBy("id", "system_from").agg(F.max_by(F.struct("is_fraud", "op"), "seq").alias("f"))
     stands = F.col("f.op") == PUT
     firsts = commits.groupBy("id").agg(
@@ -77,13 +77,26 @@ def _page(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def basis_diff(logs: FactLogs, older: Basis, newer: Basis) -> DataFrame:
-    """Rows that are new at the newer basis, and rows whose state turned to fraud."""
-    was = states(logs, older).select("id", F.col("state").alias("state_before"))
-    now = states(logs, newer).select("id", "account_id", F.col("state").alias("state_after"))
+    """Rows that are new at the newer basis, and rows whose state turned to fraud.
+
+    Only what was learned in between can differ: those facts are read first, by their system time, and earlier facts only of their ids,
+    whose states at both bases come out of one grouped pass per log. Both bases look at the same valid time.
+    """
+    if older.valid_at != newer.valid_at or older.system_at is None:
+        raise ValueError("bases differ in system time only, and the older one has one")
+    def between(log):
+        return known(log, newer).filter(F.col("system_from") > at(older.system_at)).select("id")
+    learned = between(logs.txn).unionByName(between(logs.label)).unionByName(between(logs.pending)).distinct()
+    def both(log, *columns):
+        return snapshots(known(log, newer).join(learned, "id", "left_semi"), {"was": older, "now": newer}, list(columns))
+    txn = logs.transactions(newer).join(learned, "id", "left_semi").select("id", "account_id", (F.col("system_from") <= at(older.system_at)).alias("there"))
+    pending = both(logs.pending, "due").select("id", F.col("was.due").alias("p_was"), F.col("now.due").alias("p_now"))
+    rows = complete(txn, both(logs.label, "is_fraud").filter(F.col("now").isNotNull())).join(pending, "id", "left")
+    before = F.when(F.col("there") & F.col("was").isNotNull(), recorded_state("was.is_fraud", "p_was"))
     change = (F.when(F.col("state_before").isNull(), "new")
               .when((F.col("state_after") == "fraud") & (F.col("state_before") != "fraud"), "corrected"))
-    return (was.join(now, "id", "full_outer").withColumn("change", change)
-            .filter(F.col("change").isNotNull() & F.col("state_after").isNotNull())
+    return (rows.withColumns({"state_before": before, "state_after": recorded_state("now.is_fraud", "p_now")})
+            .withColumn("change", change).filter(F.col("change").isNotNull())
             .select("id", "account_id", "state_before", "state_after", "change"))
 
 

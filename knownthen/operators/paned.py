@@ -33,7 +33,8 @@ class Trailing:
     """Facts of the anchor's key in [t - width, t).
 
     Adds `n_<name>`, and with `moments` also `mean_<name>` and `std_<name>` of `value`.
-    `facts=None` means the anchors are the facts. Facts need the key and time columns.
+    `facts=None` means the anchors are the facts. Facts need the key and time columns; `where` names a flag of theirs that
+    has to be set. Windows over the same frame read it once, whatever their flags and values.
     """
 
     name: str
@@ -41,6 +42,7 @@ class Trailing:
     facts: DataFrame | None = None
     value: str | None = None
     moments: bool = False
+    where: str | None = None
 
 
 @dataclass(frozen=True)
@@ -116,25 +118,28 @@ def point_in_time(
     tail: dict[str, int] = {}
     code: dict[str, int] = {}
 
-    def entering_and_leaving(group, h, value):
-        copies = [(h, instant, value)]
+    def entering_and_leaving(group, h, value, where=None):
+        when = f"CASE WHEN `{where}` THEN {instant} END" if where else instant
+        copies = [(h, when, value)]
         for m in group:
             head[m.name], tail[m.name] = h, next(kinds)
-            copies.append((tail[m.name], f"{instant} + {width_us(m.width)}", value))
+            copies.append((tail[m.name], f"{when} + {width_us(m.width)}", value))
         return copies
 
     # anchors, doubling as their own facts where asked; then other facts, with one set of
-    # head rows for all windows over the same frame and value
+    # head rows for all windows over the same frame, value and flag
     own = [m for m in trailing if m.facts is None]
     own_value = f"`{own_values.pop()}`" if own_values else "NULL"
     parts = [contribution(anchors, entering_and_leaving(own, _ANCHOR, own_value), row=F.struct(*anchors.columns))]
-    shared: dict[tuple, list[Trailing]] = {}
+    shared: dict[int, dict[tuple, list[Trailing]]] = {}
     for m in trailing:
         if m.facts is not None:
-            shared.setdefault((id(m.facts), m.value), []).append(m)
-    for group in shared.values():
-        value = f"`{group[0].value}`" if group[0].value else "NULL"
-        parts.append(contribution(group[0].facts, entering_and_leaving(group, next(kinds), value)))
+            shared.setdefault(id(m.facts), {}).setdefault((m.value, m.where), []).append(m)
+    for groups in shared.values():
+        copies = []
+        for (value, where), group in groups.items():
+            copies += entering_and_leaving(group, next(kinds), f"`{value}`" if value else "NULL", where)
+        parts.append(contribution(group[0].facts, copies))
     for m in active:
         copies = []
         for name, (start, stop) in m.spans.items():

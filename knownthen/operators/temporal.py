@@ -59,12 +59,17 @@ def known(log: DataFrame, basis: Basis) -> DataFrame:
     return log.filter(F.col("system_from") <= at(basis.system_at))
 
 
-def covering(df: DataFrame, valid_at: datetime | None) -> DataFrame:
-    """Facts whose half-open valid interval contains the instant."""
+def covers(valid_at: datetime | None) -> Column:
+    """Does the half-open valid interval of a fact contain the instant?"""
     if valid_at is None:
-        return df.filter(F.col("valid_to").isNull())
+        return F.col("valid_to").isNull()
     t = at(valid_at)
-    return df.filter((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (t < F.col("valid_to"))))
+    return (F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (t < F.col("valid_to")))
+
+
+def covering(df: DataFrame, valid_at: datetime | None) -> DataFrame:
+    """Facts whose half-open valid interval contains the instant."""
+    return df.filter(covers(valid_at))
 
 
 def snapshot(log: DataFrame, basis: Basis) -> DataFrame:
@@ -81,6 +86,17 @@ def snapshot(log: DataFrame, basis: Basis) -> DataFrame:
             .select("id", "f.*").drop("op"))
 
 
+def snapshots(log: DataFrame, bases: dict[str, Basis], columns: list[str]) -> DataFrame:
+    """id and, for each named basis, a struct of `columns` of the row in force there, NULL where there is none: `snapshot` at several bases in
+    one grouped pass. Ids with no row at any of them are left out."""
+    kept = F.struct(*columns, "op")
+    when = {name: covers(b.valid_at) & (F.lit(True) if b.system_at is None else F.col("system_from") <= at(b.system_at)) for name, b in bases.items()}
+    newest = [F.max_by(F.when(c, kept), F.when(c, F.struct("system_from", "seq"))).alias(name) for name, c in when.items()]
+    states = log.groupBy("id").agg(*newest)
+    put = {n: F.when(F.col(f"{n}.op") == PUT, F.struct(*[F.col(f"{n}.{c}").alias(c) for c in columns])) for n in bases}
+    return states.select("id", *[c.alias(n) for n, c in put.items()]).filter(F.coalesce(*bases).isNotNull())
+
+
 def versions(log: DataFrame, basis: Basis, pane: timedelta = DAY) -> DataFrame:
     """Every version ever believed at the valid instant, with its system interval; valid time is cut to where it was
     believed, so the tail that a bounded correction leaves begins where the correction ends."""

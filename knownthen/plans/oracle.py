@@ -307,18 +307,22 @@ FROM ({side(LATEST)}) b LEFT JOIN ({side(PAST)}) a ON a.id = b.id
 WHERE a.state IS NULL OR (b.state = 'fraud' AND a.state <> 'fraud')"""
 
 
-def replay() -> str:
-    """Before and reproduced read the recorded labels; after adds the confirmed ones."""
-    confirmed = ", confirmed_label AS (SELECT id, is_fraud FROM label WHERE id NOT IN (SELECT id FROM pending) UNION ALL SELECT id, true FROM pending)"
-    side = lambda label: (base() + confirmed + vectors(NEWEST_SUBJECTS, "txn", label)
+def replay(subjects: str) -> str:
+    """Each side reads the label log with the confirmed facts in it, as known at its own instant: before them, with them, and just before their commit."""
+    confirmed = f""", stamp AS (SELECT greatest({NOW}, max(s) + INTERVAL 1 MICROSECOND) AS moment FROM (
+  SELECT max(system_from) AS s FROM label_log UNION ALL SELECT max(system_from) FROM txn UNION ALL SELECT max(confirmed) FROM truth WHERE fraud AND confirmed <= {NOW})),
+confirmed_log AS (SELECT id, is_fraud, system_from, seq FROM label_log UNION ALL SELECT id, true, moment, 0 FROM pending, stamp),
+rewound AS (SELECT id, is_fraud FROM confirmed_log, stamp WHERE system_from <= moment - INTERVAL 1 MICROSECOND
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY system_from DESC, seq DESC) = 1),
+confirmed_label AS (SELECT id, is_fraud FROM confirmed_log QUALIFY row_number() OVER (PARTITION BY id ORDER BY system_from DESC, seq DESC) = 1)"""
+    side = lambda label: (base() + confirmed + vectors(subjects, "txn", label)
                           + f"SELECT req_id, account_id, t, prior_confirmed_fraud AS pcf, {prob()} AS p FROM vec")
-    counts = base() + "SELECT id, account_id, txn_ts FROM pending"
-    return f"""SELECT b.req_id AS txn_id, b.account_id, {r("b.p")} AS before, {r("a.p")} AS after, {r("b.p")} AS reproduced,
-  b.pcf AS pcf_before, a.pcf AS pcf_after, b.pcf AS pcf_reproduced,
-  (SELECT count(*) FROM ({counts}) p WHERE p.account_id = b.account_id) AS n_confirmed,
-  (SELECT count(*) FROM ({counts}) p WHERE p.account_id = b.account_id AND p.txn_ts < b.t) AS n_prior,
-  'fixed-1' AS model_version
-FROM ({side("label")}) b JOIN ({side("confirmed_label")}) a ON a.req_id = b.req_id"""
+    pending = base() + "SELECT id, account_id, txn_ts FROM pending"
+    return f"""SELECT b.req_id AS txn_id, b.account_id, {r("b.p")} AS before, {r("a.p")} AS after, {r("c.p")} AS reproduced,
+  b.pcf AS pcf_before, a.pcf AS pcf_after, c.pcf AS pcf_reproduced, coalesce(n.n_confirmed, 0) AS n_confirmed,
+  coalesce(len(list_filter(n.times, lambda x: x < b.t)), 0) AS n_prior, 'fixed-1' AS model_version
+FROM ({side("label")}) b JOIN ({side("confirmed_label")}) a ON a.req_id = b.req_id JOIN ({side("rewound")}) c ON c.req_id = b.req_id
+LEFT JOIN (SELECT account_id, count(*) AS n_confirmed, list(txn_ts) AS times FROM ({pending}) GROUP BY account_id) n ON n.account_id = b.account_id"""
 
 
 def arrival_scores() -> str:
@@ -524,7 +528,8 @@ SELECT account_id, req_id AS txn_id, t AS valid_time, {r("amount")} AS amount, c
   req_id IN (SELECT id FROM pending) AS self_pending, 'fixed-1' AS model_version FROM moved""",
         "confirm_account": commit(NEXT_COMMIT, "true"),
         "settle_due": commit(f"({NOW} + INTERVAL 4 DAY)", f"due <= {NOW} + INTERVAL 4 DAY"),
-        "replay_before_after": replay(),
+        "replay_before_after": replay(NEWEST_SUBJECTS),
+        "replay_all_before_after": replay("SELECT id AS req_id, account_id, txn_ts AS t, amount, country FROM txn"),
         "unlabelled_txns": base() + GAPPED + """SELECT t.id, t.account_id, t.txn_ts FROM txn t
 WHERE id IN (SELECT id FROM last_fact WHERE gone IS NOT NULL UNION SELECT id FROM bounded)""",
         "finite_tail_labels": base() + GAPPED + "SELECT id, coalesce(gone, ends) AS ends FROM last_fact LEFT JOIN bounded USING (id) WHERE gone IS NOT NULL OR ends IS NOT NULL",

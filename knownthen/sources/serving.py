@@ -103,7 +103,7 @@ class ServingPanes(CommittedTables):
         if any(width_us(w) % width_us(self.pane) for w in widths.values()):
             raise ValueError(f"windows are whole numbers of panes of {self.pane}")
         asked = requests.withColumn("__us", micros("t")).withColumn("__pane", pane_of(F.col("__us"), self.pane))
-        slim = asked.select("req_id", "account_id", "__us", "__pane", F.col("amount").alias("__asked"))
+        slim = asked.select("req_id", "account_id", "__us", "__pane", F.coalesce("amount", F.lit(0.0)).alias("__asked"))
         reach = {n: w // self.pane for n, w in widths.items()}
         longest = max(reach.values())
         accounts = requests.select("account_id")
@@ -118,9 +118,10 @@ class ServingPanes(CommittedTables):
         facts = self._of("facts", accounts).select("account_id", "pane", "us", "n", "amount", "frauds")
         inside = {n: (F.col("us") < F.col("__us")) & (F.col("us") >= F.col("__us") - width_us(w)) & (
             (F.col("pane") == F.col("__pane")) | (F.col("pane") == F.col("__pane") - reach[n])) for n, w in widths.items()}
+        spent, one = F.col("amount"), F.col("amount").isNotNull()
         partial = edges.join(facts, ["account_id", "pane"]).select(
-            "req_id", "__asked", "n", F.when(F.col("amount").isNotNull(), 1).otherwise(0).cast("long").alias("k"), F.col("amount").alias("mean"), F.when(F.col("amount").isNotNull(), 0.0).alias("m2"), F.col("amount").alias("lo"),
-            F.col("amount").alias("hi"), "frauds", *[c.alias(f"in_{n}") for n, c in inside.items()])
+            "req_id", "__asked", "n", F.when(one, 1).otherwise(0).cast("long").alias("k"), spent.alias("mean"), F.when(one, 0.0).alias("m2"),
+            spent.alias("lo"), spent.alias("hi"), "frauds", *[c.alias(f"in_{n}") for n, c in inside.items()])
 
         parts = whole.unionByName(partial)
         base = F.col("in_baseline") & F.col("mean").isNotNull()
