@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from knownthen.functions.clock import DAY, at, before
+from knownthen.functions.clock import DAY, after, at, before
 from knownthen.functions.rules import SCORE_MOVE, recorded_state
-from knownthen.operators.features import complete, labelled
+from knownthen.operators.features import Windows, complete, labelled, training_set
+from knownthen.operators.model import LinearModel, scored
 from knownthen.operators.temporal import Basis, PUT, covering, known, snapshots
 from knownthen.sources.facts import FactLogs
+from knownthen.sources.shared import written
+
+FAR = datetime(9999, 12, 31, tzinfo=timezone.utc)
 
 
 def first_flips(label_log: DataFrame, basis: Basis) -> DataFrame:
@@ -49,10 +54,11 @@ def activity_feed(logs: FactLogs, basis: Basis = Basis(), limit: int = 40) -> Da
     return both.orderBy(F.col("learned_at").desc(), F.col("id").desc(), "kind").limit(limit)
 
 
-def states(logs: FactLogs, basis: Basis) -> DataFrame:
-    """Every transaction with its recorded state: fraud, pending or legit. One without a current label fails the read."""
+def states(logs: FactLogs, basis: Basis, txn: DataFrame | None = None) -> DataFrame:
+    """Every transaction, or those of `txn`, with its recorded state: fraud, pending or legit. One without a current label fails the read."""
     pending = logs.pendings(basis).select("id", F.col("id").alias("pending_id"))
-    return (labelled(logs.transactions(basis), logs, basis).join(pending, "id", "left")
+    txn = logs.transactions(basis) if txn is None else txn
+    return (labelled(txn, logs, basis).join(pending, "id", "left")
             .select("id", "account_id", "amount", "country", "txn_ts", "valid_from", "system_from", "learned_at",
                     recorded_state("is_fraud", "pending_id").alias("state")))
 
@@ -60,20 +66,41 @@ def states(logs: FactLogs, basis: Basis) -> DataFrame:
 def data_head(logs: FactLogs, valid_at: datetime, basis: Basis = Basis(), limit: int = 40) -> DataFrame:
     """Newest rows of the day before `valid_at`; labels are read at current valid time."""
     day = (F.col("valid_from") < at(valid_at)) & (F.col("valid_from") >= before(at(valid_at), DAY))
-    return _page(states(logs, basis).filter(day), limit)
+    return _page(logs, basis, day, limit)
 
 
 def data_page(logs: FactLogs, cursor: tuple[datetime, object], basis: Basis = Basis(), limit: int = 40) -> DataFrame:
     """The page of rows before the cursor (valid_from, id) of the last row of the page above."""
     ts, last_id = cursor
     older = (F.col("valid_from") < at(ts)) | ((F.col("valid_from") == at(ts)) & (F.col("id") < F.lit(last_id)))
-    return _page(states(logs, basis).filter(older), limit)
-
-
-def _page(rows: DataFrame, limit: int) -> DataFrame:
-    return (rows.orderBy(F.col("valid_from").desc(), F.col("id").desc()).limit(limit)
-            .select("id", "account_id", "amount", "country", F.col("valid_from").alias("happened_at"),
-                    F.col("system_from").alias("recorded_at"), F.col("state").alias("label")))
+    return _page(logs, basis, older, limit)
+
+
+def _page(logs: FactLogs, basis: Basis, condition, limit: int) -> DataFrame:
+    """The newest transactions are chosen first (written: `limit` rows), then only their labels and pending rows are resolved."""
+    order = (F.col("valid_from").desc(), F.col("id").desc())
+    top = written(logs.transactions(basis).filter(condition).orderBy(*order).limit(limit), "page")
+    ids = top.select("id")
+    own = replace(logs, label=logs.label.join(ids, "id", "left_semi"), pending=logs.pending.join(ids, "id", "left_semi"))
+    return states(own, basis, top).orderBy(*order).select(
+        "id", "account_id", "amount", "country", F.col("valid_from").alias("happened_at"), F.col("system_from").alias("recorded_at"),
+        F.col("state").alias("label"))
+
+
+def scored_page(page: DataFrame, logs: FactLogs, model: LinearModel | None, *, live: bool, windows: Windows = Windows()) -> DataFrame:
+    """A page of the data view with the model's verdict `p` on each row: the score as of its decision, from the histories of the page's
+    accounts only. NULL on a page that is pinned to a basis or below the head, where `live` is false, and for a row that has no account version."""
+    if model is None or not live:
+        return page.withColumn("p", F.lit(None).cast("double"))
+    page = written(page, "page")
+    span = page.agg(F.min("happened_at"), F.max("happened_at")).select(
+        *[F.unix_micros(c) for c in ("min(happened_at)", "max(happened_at)")]).first()
+    if span[0] is None:
+        return page.withColumn("p", F.lit(None).cast("double"))
+    first, last = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us) for us in span)
+    near = logs.around(page, since=first - max(windows.velocity, windows.baseline, windows.fraud), until=last)
+    scores = scored(training_set(near, windows=windows, since=first), model).select("id", "p")
+    return page.join(scores, "id", "left")
 
 
 def basis_diff(logs: FactLogs, older: Basis, newer: Basis) -> DataFrame:
@@ -100,6 +127,27 @@ def basis_diff(logs: FactLogs, older: Basis, newer: Basis) -> DataFrame:
             .select("id", "account_id", "state_before", "state_after", "change"))
 
 
+def moved_scores(logs: FactLogs, model: LinearModel, older: Basis, newer: Basis, windows: Windows = Windows()) -> DataFrame:
+    """`score_moves` of current-knowledge scores at two bases, of the transactions that can have moved.
+
+    A fact learned in between matters to its account from its own time until the widest window has passed it, an account version from then
+    on; only transactions in such a range of their account are scored, at both bases, from the logs of these accounts.
+    """
+    def between(log):
+        return known(log, newer).filter(F.col("system_from") > at(older.system_at))
+    learned = between(logs.label).select("id").unionByName(between(logs.txn).select("id")).distinct()
+    events = logs.transactions(newer).select("id", "account_id", "txn_ts").join(learned, "id", "left_semi").select(
+        "account_id", F.col("txn_ts").alias("low"), after("txn_ts", max(windows.velocity, windows.baseline, windows.fraud)).alias("high"))
+    versions = between(logs.account).select(F.col("id").alias("account_id"), F.col("valid_from").alias("low"), at(FAR).alias("high"))
+    ranges = written(events.unionByName(versions).groupBy("account_id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "ranges")
+    near = logs.around(ranges)
+
+    def scores(basis):
+        rows = training_set(near, basis, windows, knowledge="current").join(ranges, "account_id")
+        return scored(rows.filter(F.col("txn_ts").between(F.col("low"), F.col("high"))), model).select("id", "p")
+    return score_moves(scores(older), scores(newer))
+
+
 def score_moves(before_scores: DataFrame, after_scores: DataFrame) -> DataFrame:
     """Scores (id, p) that are new or moved visibly between two reads."""
     moved = after_scores.withColumnRenamed("p", "p_to").join(

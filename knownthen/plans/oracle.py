@@ -505,6 +505,9 @@ FROM corrected ORDER BY confirmed_at DESC, id DESC LIMIT 40""",
 SELECT id, account_id, {r("amount")} AS amount, country, kind, happened_at, learned_at FROM items
 ORDER BY learned_at DESC, id DESC, kind LIMIT 40""",
         "data_head": page(LATEST, f"txn_ts < {NOW} AND txn_ts >= {NOW} - INTERVAL 1 DAY"),
+        "data_head_scored": f"""SELECT h.*, s.p, true AS live FROM ({page(LATEST, f"txn_ts < {NOW} AND txn_ts >= {NOW} - INTERVAL 1 DAY")}) h
+LEFT JOIN ({extract()} SELECT id, {r(prob())} AS p FROM feat) s ON s.id = h.id
+UNION ALL SELECT *, NULL, false FROM ({page(PAST, f"txn_ts < {PAST} AND txn_ts >= {PAST} - INTERVAL 1 DAY")})""",
         "data_head_at_basis": page(PAST, f"txn_ts < {PAST} AND txn_ts >= {PAST} - INTERVAL 1 DAY"),
         "data_page": page(LATEST, "(txn_ts, id) < (TIMESTAMP '2024-01-15 12:00:00', 0)"),
         "basis_diff": diff(),

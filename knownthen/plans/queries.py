@@ -351,10 +351,7 @@ def scored_frame(spark, sf):
 
 
 def score_moves(spark, sf):
-    logs = logs_of(spark, sf)
-    def scores(basis):
-        return models.scored(training_set(logs, basis, knowledge="current"), MODEL).select("id", "p")
-    return feed.score_moves(scores(AT_PAST), scores(LATEST))
+    return feed.moved_scores(logs_of(spark, sf), MODEL, AT_PAST, LATEST)
 
 
 def train_test_split(spark, sf):
@@ -444,6 +441,14 @@ def data_head_at_basis(spark, sf):
     return feed.data_head(logs_of(spark, sf), PAST, AT_PAST)
 
 
+def data_head_scored(spark, sf):
+    """The live head with scores, and the same view pinned to a basis without."""
+    logs = logs_of(spark, sf)
+    def view(valid_at, basis, live):
+        return feed.scored_page(feed.data_head(logs, valid_at, basis), logs, MODEL, live=live).withColumn("live", F.lit(live))
+    return view(NOW, LATEST, True).unionByName(view(PAST, AT_PAST, False))
+
+
 def data_page(spark, sf):
     return feed.data_page(logs_of(spark, sf), CURSOR)
 
@@ -688,7 +693,7 @@ QUERIES = {
     "model_store": model_store, "model_registry": model_registry, "registry_latest": registry_latest,
     "registry_version": registry_version,
     "corrections": corrections, "corrections_feed": corrections_feed, "activity_feed": activity_feed,
-    "data_head": data_head, "data_head_at_basis": data_head_at_basis, "data_page": data_page,
+    "data_head": data_head, "data_head_at_basis": data_head_at_basis, "data_head_scored": data_head_scored, "data_page": data_page,
     "basis_diff": basis_diff,
     "audit_candidates": audit_candidates, "pending_accounts": pending_accounts, "pending_burst": pending_burst,
     "account_history": account_history, "impact_per_account": impact_per_account,
