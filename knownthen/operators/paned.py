@@ -175,14 +175,27 @@ def point_in_time(
         *[f"sum({_of(code[n])}) AS __a_{n}" for n in counted],
         *[_newest(m, slot[m.name], code[m.name]) for m in latest]]))
     of_key = f"PARTITION BY {_KEY}"
-    past = f"OVER ({of_key} ORDER BY {_PANE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     panes = panes.selectExpr("*", *[
         f"sum(__p{h}_n * __p{h}_mean) OVER ({of_key}) / nullif(sum(__p{h}_n) OVER ({of_key}), 0) AS __c{h}"
-        for h in sorted(with_moments)])
+        for h in sorted(with_moments)], *[
+        f"__p{h}_lo <> lead(__p{h}_lo) IGNORE NULLS OVER ({of_key} ORDER BY {_PANE}) AS __turn{h}" for h in sorted(with_moments)])
+    # a pane leaves a window as many panes later as that is wide: a copy of it, taken off from there on
+    leaving = {m.name: i for i, m in enumerate((m for m in trailing if m.width // pane >= 2), 1)}
+    copies = ", ".join([f"named_struct('copy', 0, 'at', {_PANE})"] + [
+        f"named_struct('copy', {leaving[m.name]}, 'at', {_PANE} + {m.width // pane})" for m in trailing if m.name in leaving])
+    if leaving:
+        panes = panes.selectExpr("*", f"explode(array({copies})) AS __of").selectExpr(
+            *[c for c in panes.columns if c not in (_PANE, "__anchors")], f"__of.at AS {_PANE}", "__of.copy AS __copy", "CASE WHEN __of.copy = 0 THEN __anchors END AS __anchors")
+    else:
+        panes = panes.selectExpr("*", "0 AS __copy")
+    before = f"OVER ({of_key} ORDER BY {_PANE} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    own_pane = lambda x: f"CASE WHEN __copy = 0 THEN {x} END"
     panes = panes.selectExpr(
-        _KEY, _PANE, "__anchors", *[c for m in trailing for c in _between(m, head[m.name], m.width // pane, of_key)],
-        *[f"sum(__a_{n}) {past} AS __b_{n}" for n in counted],
-        *[f"last(__l_{m.name}, true) {past} AS __k_{m.name}" for m in latest]).where("__anchors > 0")
+        "*", *[c for m in trailing for c in _inside(m, head[m.name], leaving.get(m.name), of_key)],
+        *[f"sum({own_pane(f'__a_{n}')}) {before} AS __b_{n}" for n in counted],
+        *[f"last({own_pane(f'__l_{m.name}')}, true) {before} AS __k_{m.name}" for m in latest]).where("__anchors > 0")
+    panes = panes.selectExpr(_KEY, _PANE, *[c for m in trailing for c in _between(m, head[m.name], m.name in leaving)],
+                             *[f"__b_{n}" for n in counted], *[f"__k_{m.name}" for m in latest])
 
     joined = scanned.where(f"{_KIND} = {_ANCHOR}").join(panes, [_KEY, _PANE], "left")
     out = []
@@ -217,23 +230,39 @@ def _newest(m: Latest, slot: str, kind: int) -> str:
     return f"CASE WHEN max({since}) IS NOT NULL THEN named_struct({fields}) END AS __l_{m.name}"
 
 
-def _between(m: Trailing, h: int, panes: int, of_key: str) -> list[str]:
-    """State of the whole panes strictly between the window's first and last pane."""
-    p, out = f"__p{h}", f"__m_{m.name}"
-    if panes < 2:
-        cols = {"rows": "0"}
-        if m.moments:
-            cols |= {"n": "0", "mean": "0D", "var": "0D", "lo": "CAST(NULL AS DOUBLE)", "hi": "CAST(NULL AS DOUBLE)"}
-    else:
-        over = f"OVER ({of_key} ORDER BY {_PANE} RANGE BETWEEN {panes - 1} PRECEDING AND 1 PRECEDING)"
-        cols = {"rows": f"sum({p}_rows) {over}"}
-        if m.moments:
-            # deviations from the key's own mean keep the sums small
-            d, n = f"({p}_mean - __c{h})", f"nullif(sum({p}_n) {over}, 0)"
-            shift = f"(sum({p}_n * {d}) {over} / {n})"
-            cols |= {"n": f"sum({p}_n) {over}", "mean": f"__c{h} + {shift}",
-                     "var": f"greatest(0D, sum({p}_n * ({p}_var + {d} * {d})) {over} / {n} - {shift} * {shift})",
-                     "lo": f"min({p}_lo) {over}", "hi": f"max({p}_hi) {over}"}
+def _inside(m: Trailing, h: int, copy: int | None, of_key: str) -> list[str]:
+    """Sums over the whole panes strictly between the window's first and last pane: over what came before less what has left, so only growing
+    frames are used, whose work is linear however many panes a window spans."""
+    if copy is None:
+        return []
+    p, out = f"__p{h}", f"__i_{m.name}"
+    before = f"OVER ({of_key} ORDER BY {_PANE} RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    left = f"OVER ({of_key} ORDER BY {_PANE} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    d, turns = f"({p}_mean - __c{h})", f"CAST(coalesce(__turn{h}, false) AS INT)"
+    sums = {"rows": f"{p}_rows"}
+    lasts = {}
+    if m.moments:  # deviations from the key's own mean keep the sums small
+        sums |= {"n": f"{p}_n", "d": f"{p}_n * {d}", "q": f"{p}_n * ({p}_var + {d} * {d})", "mixed": f"CAST({p}_lo <> {p}_hi AS INT) + {turns}"}
+        lasts = {"turn": turns, "lo": f"{p}_lo"}
+    return [f"coalesce(sum(CASE WHEN __copy = 0 THEN {x} END) {before}, 0) - coalesce(sum(CASE WHEN __copy = {copy} THEN {x} END) {left}, 0) AS {out}_{n}"
+            for n, x in sums.items()] + [f"last(CASE WHEN __copy = 0 AND {p}_n > 0 THEN {x} END, true) {before} AS {out}_{n}" for n, x in lasts.items()]
+
+
+def _between(m: Trailing, h: int, wide: bool) -> list[str]:
+    """State of these panes from their sums.
+
+    Extremes matter only where all values are equal. They are if no pane holds two values and no pane but the last differs from the
+    next one, which counts tell exactly; else the highest is given as infinite.
+    """
+    p, out = f"__i_{m.name}", f"__m_{m.name}"
+    cols = {"rows": f"{p}_rows" if wide else "0"}
+    if m.moments and wide:
+        n, same = f"nullif({p}_n, 0)", f"{p}_mixed = coalesce({p}_turn, 0)"
+        cols |= {"n": f"{p}_n", "mean": f"__c{h} + {p}_d / {n}", "var": f"greatest(0D, {p}_q / {n} - {p}_d / {n} * {p}_d / {n})",
+                 "lo": f"CASE WHEN {p}_n > 0 THEN {p}_lo END",
+                 "hi": f"CASE WHEN {p}_n > 0 THEN CASE WHEN {same} THEN {p}_lo ELSE CAST('Infinity' AS DOUBLE) END END"}
+    elif m.moments:
+        cols |= {"n": "0", "mean": "0D", "var": "0D", "lo": "CAST(NULL AS DOUBLE)", "hi": "CAST(NULL AS DOUBLE)"}
     return [f"{c} AS {out}_{name}" for name, c in cols.items()]
 
 
