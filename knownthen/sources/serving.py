@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from knownthen.functions.clock import DAY, at, micros, pane_of, width_us
 from knownthen.functions.rules import foreign_flag, zscore
@@ -20,8 +20,8 @@ from knownthen.sources.facts import FactLogs
 from knownthen.sources.store import Commit, CommittedTables
 
 BUCKETS = 64
-#: a batch of requests of more accounts than this reads whole buckets
-FEW_ACCOUNTS = 1000
+#: a larger batch of requests reads all buckets; with more commits their records are joined, not listed
+FEW_REQUESTS, FEW_COMMITS = 1000, 10_000
 #: rows; number, mean, summed squares about it and extremes of the amounts; change of the number of frauds
 MOMENTS = "n bigint, k bigint, mean double, m2 double, lo double, hi double, frauds bigint"
 
@@ -30,7 +30,7 @@ class ServingPanes(CommittedTables):
     """`key` and `country` are the types of account ids and of countries."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "bigint", country: str = "bigint", pane: timedelta = DAY, buckets: int = BUCKETS):
-        self.pane, self.buckets = pane, buckets
+        self.pane, self.buckets, self._tables = pane, buckets, {}
         schemas = {"panes": f"account_id {key}, pane bigint, {MOMENTS}",
                    "facts": f"account_id {key}, pane bigint, us bigint, n bigint, amount double, frauds bigint",
                    "versions": f"account_id {key}, home_country {country}, valid_from timestamp, until timestamp, seen timestamp"}
@@ -64,7 +64,9 @@ class ServingPanes(CommittedTables):
         if since is not None:  # versions of accounts of which something was learned
             changed = logs.account.filter((F.col("system_from") > at(since)) & (F.col("system_from") <= at(until))).select(F.col("id").alias("account_id")).distinct()
             homes = homes.join(changed, "account_id", "left_semi")
-        return self.commit({"facts": facts, "panes": panes, "versions": homes}, until)
+        commit = self.commit({"facts": facts, "panes": panes, "versions": homes}, until)
+        self._tables = {}
+        return commit
 
     def _fraud_steps(self, logs: FactLogs, txn: DataFrame, old: Basis | None, new: Basis) -> DataFrame:
         """account_id, us and frauds: +1 where a transaction turned fraud between the bases, -1 where it ceased to be."""
@@ -81,16 +83,18 @@ class ServingPanes(CommittedTables):
 
     # --- requests ---
 
-    def _of(self, name: str, accounts: DataFrame) -> DataFrame:
-        """Rows of the accounts' buckets; of a few accounts, only their rows."""
-        bucket = self.parts[name]["bucket"][1]
-        rows = self.rows(name)
-        some = accounts.select("account_id").distinct().limit(FEW_ACCOUNTS + 1).collect()
-        if len(some) <= FEW_ACCOUNTS:
-            ids = [r.account_id for r in some if r.account_id is not None]
-            numbers = [r[0] for r in self.spark.createDataFrame([(i,) for i in ids], accounts.select("account_id").schema).select(bucket).distinct().collect()] if ids else []
-            return rows.filter(F.col("bucket").isin(numbers) & F.col("account_id").isin(ids))
-        return rows
+    def refresh(self) -> None:
+        """See commits of other writers from now on; a store's own updates are seen anyway. Files are listed here, once."""
+        found = [r.attempt for r in self.commits().select("attempt").limit(FEW_COMMITS + 1).collect()]
+        self._tables = {name: self.rows(name, found if len(found) <= FEW_COMMITS else None) for name in self.schemas}
+
+    def _asked(self, requests: DataFrame) -> Column:
+        """Condition on the rows of the tables: of a few accounts their buckets and rows, of many all."""
+        some = requests.select("account_id", self.parts["panes"]["bucket"][1].alias("bucket")).limit(FEW_REQUESTS + 1).collect()
+        if len(some) > FEW_REQUESTS:
+            return F.lit(True)
+        some = {r.account_id: r.bucket for r in some if r.account_id is not None}
+        return F.col("bucket").isin(sorted(set(some.values()))) & F.col("account_id").isin(list(some))
 
     def serve(self, requests: DataFrame, windows: Windows = Windows()) -> DataFrame:
         """The vectors that `features.serve` gives for these requests at the last update: req_id, account_id, t, amount, country, n_30d, mean_30d,
@@ -106,16 +110,21 @@ class ServingPanes(CommittedTables):
         slim = asked.select("req_id", "account_id", "__us", "__pane", F.coalesce("amount", F.lit(0.0)).alias("__asked"))
         reach = {n: w // self.pane for n, w in widths.items()}
         longest = max(reach.values())
-        accounts = requests.select("account_id")
+        if not self._tables:
+            self.refresh()
+        asked_for = self._asked(requests)
+
+        def read(name):
+            return self._tables[name].filter(asked_for).drop("bucket", "attempt")
 
-        panes = self._of("panes", accounts).drop("bucket", "attempt").groupBy("account_id", "pane").agg(
+        panes = read("panes").groupBy("account_id", "pane").agg(
             F.sum("n").alias("n"), F.sum("k").alias("k"), *_merged(F.lit(0.0)), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("frauds").alias("frauds"))
         whole = slim.join(panes, "account_id").filter((F.col("pane") < F.col("__pane")) & (F.col("pane") > F.col("__pane") - longest))
         whole = whole.select("req_id", "__asked", "n", "k", "mean", "m2", "lo", "hi", "frauds", *[
             (F.col("pane") > F.col("__pane") - k).alias(f"in_{n}") for n, k in reach.items()])
 
         edges = slim.withColumn("pane", F.explode(F.array_distinct(F.array("__pane", *[F.col("__pane") - k for k in reach.values()]))))
-        facts = self._of("facts", accounts).select("account_id", "pane", "us", "n", "amount", "frauds")
+        facts = read("facts").select("account_id", "pane", "us", "n", "amount", "frauds")
         inside = {n: (F.col("us") < F.col("__us")) & (F.col("us") >= F.col("__us") - width_us(w)) & (
             (F.col("pane") == F.col("__pane")) | (F.col("pane") == F.col("__pane") - reach[n])) for n, w in widths.items()}
         spent, one = F.col("amount"), F.col("amount").isNotNull()
@@ -135,8 +144,8 @@ class ServingPanes(CommittedTables):
         zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("txn_count_24h", "prior_confirmed_fraud", "n_30d")}
         out = requests.join(total.withColumn("std_30d", std).withColumnRenamed("mean", "mean_30d"), "req_id", "left").withColumns(zero)
 
-        versions = self._of("versions", accounts).select("account_id", "home_country", "valid_from", "until", "seen")
-        current = versions.join(versions.groupBy("account_id").agg(F.max("seen").alias("seen")), ["account_id", "seen"])
+        last = F.max("seen").over(Window.partitionBy("account_id"))
+        current = read("versions").withColumn("__last", last).filter(F.col("seen") == F.col("__last"))
         homes = slim.join(current, "account_id").filter((micros("valid_from") <= F.col("__us")) & (
             F.col("until").isNull() | (F.col("__us") < micros("until")))).select("req_id", "home_country")
         return (out.join(homes, "req_id", "left").select(

@@ -94,12 +94,15 @@ class CommittedTables:
 
     # --- reading ---
 
-    def rows(self, name: str) -> DataFrame:
-        """The committed rows of a table with its partition columns."""
+    def rows(self, name: str, attempts: list[str] | None = None) -> DataFrame:
+        """The committed rows of a table with its partition columns. A reader that knows the attempts names them, so that only their folders
+        are looked at and the records are not read again."""
         parts = "".join(f", {p} {kind}" for p, (kind, _) in self.parts[name].items())
         rows = read_if_present(self.spark, os.path.join(self.root, name), f"{self.schemas[name]}, attempt string{parts}")
         if rows is None:
             return self.spark.createDataFrame([], self.schemas[name] + parts)
+        if attempts is not None:
+            return rows.filter(F.col("attempt").isin(attempts))
         return rows.join(self.commits().select("attempt"), "attempt", "left_semi")
 
 
