@@ -30,7 +30,7 @@ SPACE = "▁"
 class PrefixCounter:
     """Counts of a score-ordered BPE model with byte fallback, identity normalisation and a space put in front."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 900_000):
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
@@ -71,7 +71,7 @@ class PrefixCounter:
         """How the count changes with each character of a chunk (signed bytes)."""
         if chunk[0] not in self.score:
             return bytes([len(chunk.encode())])
-        if len(self.last) > 2 * self.limit:
+        if len(self.last) > self.limit:
             self.last.clear()
         memo = self.last if len(chunk) <= self.tables.longest else {}
         score, ends, beside, single = self.score, self.ends, self.beside, (1,)
