@@ -1,8 +1,8 @@
 """Web archives: one gzip member per record, written by tasks, read back in byte ranges.
 
 A reading task gets a range of a file. It looks for the gzip magic from the start of its range on, takes a place for a
-member if that inflates to a WARC header and is followed by a further member or the end of the file, and then goes from
-member to member. It owns the records that start inside its range, to whose end it reads on; so each record is
+member if that inflates to a WARC header and further members follow it without a gap to the end of the range, and then goes
+from member to member. It owns the records that start inside its range, to whose end it reads on; so each record is
 read once, wherever a file is cut.
 """
 
@@ -158,25 +158,32 @@ def header_of(data: bytes) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if "warc-type" in fields and fields.get("content-length", "").isdigit() else None
 
 
-def starts_record(source: Source, at: int) -> bool:
-    """Does a member at this place inflate to a WARC header, and does a member or the end of the file follow it?"""
+def starts_record(source: Source, at: int, end: int) -> bool:
+    """Does a member at this place inflate to a WARC header, and so each one after it up to `end`, without a gap?
+
+    A member inside the payload of another one passes as long as others follow it there, but after the last of them comes the rest of
+    that payload. Only a payload that holds an archive, uncompressed, over the end of the range is not told apart.
+    """
     try:
-        if header_of(inflated(source, at, HEADER)[0]) is None:
-            return False
-        end = inflated(source, at)[1]
+        while at < min(end, source.size):
+            if header_of(inflated(source, at, HEADER)[0]) is None:
+                return False
+            at = inflated(source, at)[1]
     except zlib.error:
         return False
-    return end == source.size or source.at(end, len(MAGIC)) == MAGIC
+    return True
 
 
 def first_record(source: Source, start: int, end: int) -> int | None:
-    """Where the first record begins that starts in [start, end)."""
+    """Where the first record begins that starts in [start, end). A file begins with one."""
+    if start == 0:
+        return 0
     at = start
     while at < end:
         piece = source.at(at, min(CHUNK, end - at) + len(MAGIC) - 1)
         found = piece.find(MAGIC)
         while found >= 0:
-            if starts_record(source, at + found):
+            if starts_record(source, at + found, end):
                 return at + found
             found = piece.find(MAGIC, found + 1)
         at += CHUNK

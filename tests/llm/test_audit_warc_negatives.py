@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -171,15 +172,21 @@ def test_whole_records_of_an_archive(spark, tmp_path):
     assert sum(r.length for r in by.values()) == files.first().bytes and {r.record_type for r in by.values()} == {"warcinfo", "response", "revisit"}
 
 
-def test_magic_inside_a_payload_is_no_record(spark, tmp_path):
-    inner = warc.member("resource", "<urn:x>", b"z" * 9, "text/plain", warc.DATE, [])
-    hard = bytes(random.Random(1).randrange(256) for _ in range(3000)) + inner + warc.MAGIC * 20 + bytes(random.Random(2).randrange(256) for _ in range(3000))
-    data = b"".join(warc.member("resource", f"<urn:{i}>", hard, "application/octet-stream", warc.DATE, []) for i in range(4))
-    assert inner[:200] in data  # kept as it is by deflate
+def stored(member):
+    """The same member without compression."""
+    gz = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return gz.compress(zlib.decompress(member, 31)) + gz.flush()
+
+
+def test_magic_and_archives_inside_a_payload_are_no_records(spark, tmp_path):
+    inner = b"".join(warc.member("resource", f"<urn:x{i}>", b"z" * 9, "text/plain", warc.DATE, []) for i in range(3))
+    hard = random.Random(1).randbytes(9000) + inner + warc.MAGIC * 5 + random.Random(2).randbytes(9000)
+    data = b"".join(stored(warc.member("resource", f"<urn:{i}>", hard, "application/octet-stream", warc.DATE, [])) for i in range(4))
+    assert inner in data
     path = tmp_path / "a.warc.gz"
     path.write_bytes(data)
     files = spark.createDataFrame([(str(path), len(data))], "path string, bytes long")
-    for split in (100, 1000, 5000):
+    for split in (9000, 11_000, 1 << 20):
         assert sorted(r.record_id for r in warc.records(spark, files, split).collect()) == [f"<urn:{i}>" for i in range(4)]
 
 

@@ -226,3 +226,20 @@ def test_urls(spark):
     assert got[9][2:] == ("b.org/", "block") and got[12][:2] == ("h", "")
     assert {r.verdict for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), listed).collect() == []
+
+
+def test_numbers_are_no_letters(documents):
+    docs = documents(["½ ² ①", "wort und mehr worte", "word and more words", "²x"])
+    known = {"de": b"wort und mehr worte", "en": b"word and more words"}
+    got = {r.doc_id: r.lang_pred for r in langid.predicted(docs.select("doc_id", "text"), known).collect()}
+    assert got[0] == langid.UNKNOWN and got[1] == "de" and got[2] == "en" and got[3] in known
+
+
+def test_only_the_most_frequent_labels_are_learned_and_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    rows = [(i, f"text number {chr(97 + i % 26)} of {lang}", lang) for lang, n in (("a", 30), ("b", 20), ("c", 5)) for i in range(n)]
+    docs = spark.createDataFrame(rows + [(None, "no id", "a"), (1, None, "a")], "doc_id long, text string, lang string")
+    every = langid.learned(docs)
+    assert list(every) == ["a", "b"]
+    few = langid.learned(docs, sample_docs=3)
+    assert all(len(few[k].split(b"\n")) <= 3 and set(few[k].split(b"\n")) <= set(every[k].split(b"\n")) for k in few)
