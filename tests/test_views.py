@@ -45,10 +45,10 @@ def test_moved_scores_equal_the_full_difference(spark):
 
 def test_a_live_page_has_scores_and_a_pinned_one_has_none(spark):
     logs = logs_of(spark)
-    page = feed.data_head(logs, D(15), limit=9)
+    page = feed.data_head(logs, D(15), limit=4)
     rows = feed.scored_page(page, logs, MODEL, live=True, windows=WINDOWS).collect()
     want = {r.id: r.p for r in scored(training_set(logs, windows=WINDOWS), MODEL).collect()}
-    assert len(rows) == 9 and all(r.p == pytest.approx(want[r.id]) for r in rows)
+    assert len(rows) == 4 and all(r.p == pytest.approx(want[r.id]) for r in rows)
     assert {r.p for r in feed.scored_page(page, logs, MODEL, live=False).collect()} == {None}
     assert {r.p for r in feed.scored_page(page, logs, None, live=True).collect()} == {None}
     assert feed.scored_page(feed.data_head(logs, D(-5)), logs, MODEL, live=True).count() == 0
