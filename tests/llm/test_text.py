@@ -237,7 +237,7 @@ def test_numbers_are_no_letters(documents):
 
 def test_only_the_most_frequent_labels_are_learned_and_in_two_steps(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGS", 2)
-    rows = [(i, f"text number {chr(97 + i % 26)} of {lang}", lang) for lang, n in (("a", 30), ("b", 20), ("c", 5)) for i in range(n)]
+    rows = [(100 * ord(lang) + i, f"text number {chr(97 + i % 26)} of {lang}", lang) for lang, n in (("a", 30), ("b", 20), ("c", 5)) for i in range(n)]
     docs = spark.createDataFrame(rows + [(None, "no id", "a"), (1, None, "a")], "doc_id long, text string, lang string")
     every = langid.learned(docs)
     assert list(every) == ["a", "b"]
