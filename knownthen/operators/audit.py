@@ -152,7 +152,7 @@ def replay(logs: FactLogs, model: LinearModel, subjects: DataFrame, confirmed_at
     known = complete(txn, states.filter(F.col("before").isNotNull())).select(
         "id", "account_id", "t", "amount", F.col("before.is_fraud").alias("is_fraud"),
         *[F.coalesce(F.col(f"{n}.is_fraud"), F.lit(False)).alias(f"fraud_{n}") for n in ("after", "reproduced")])
-    counts = [Trailing(n, windows.fraud, facts=known, where=f"fraud_{n}") for n in ("after", "reproduced")]
+    counts = [Trailing(n, windows.fraud, facts=known.filter(f"fraud_{n}")) for n in ("after", "reproduced")]
     vector = serve(requests_from(subjects), logs, basis, windows, known=known, extra=[pending_before(pending, "n_prior"), *counts])
     pcf = {"before": F.col("prior_confirmed_fraud"), "after": F.col("n_after"), "reproduced": F.col("n_reproduced")}
     sizes = pending.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_confirmed"))
