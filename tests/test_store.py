@@ -169,6 +169,21 @@ def test_flips_wait_where_records_may_be_out_of_order(spark):
     assert facts(out) == [("a", D(4), D(5))]
 
 
+def test_neighbouring_ids_share_a_call_and_no_state(spark):
+    n, run, settle = 1500, new_run(spark, "flips"), new_run(spark, "settle")
+    log = [[(i, False, D(1)) for i in range(n)], [(i, True, D(1) + i % 3 * H) for i in range(0, n, 5)]]
+    out = in_parts(spark, log, "id long, is_fraud boolean, system_from timestamp",
+                   lambda s: events.collected(timers.flips_once(s, timedelta(days=20)), "append", run=run))
+    assert facts(out) == [(i, D(1), D(1) + i % 3 * H) for i in range(0, n, 5) if i % 3]
+    assert spark.read.format("statestore").load(run.checkpoint).count() <= 20
+    due = [[(i, None if i == 7 else 2 ** 60 + i, D(2 + i % 2 * 9), D(1)) for i in range(n)], [(-1, 1, None, D(5))]]
+    out = in_parts(spark, due, "id long, account_id long, due timestamp, arrived timestamp",
+                   lambda s: events.collected(timers.settlements(s), "append", run=settle))
+    assert facts(out) == [(i, 2 ** 60 + i, D(2), D(2)) for i in range(0, n, 2)]
+    left = spark.read.format("statestore").load(settle.checkpoint)
+    assert left.count() <= 20 and sum(len(r.ids) for r in left.select("value.groupState.ids").collect()) == n // 2
+
+
 # --- sessions -------------------------------------------------------------------------
 
 
