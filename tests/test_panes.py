@@ -53,3 +53,11 @@ def test_equal_values_have_no_spread_and_others_have(spark, width):
             assert std == 0.0
         else:
             assert std == pytest.approx(statistics.stdev(held)) and std > 0
+
+
+def test_partitions_are_not_joined_by_their_compressed_bytes(spark):
+    rows = [(i, i % 97, D(i % 50), float(i % 13)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, account_id long, txn_ts timestamp, amount double")
+    at = trailing_features(df).select("id", F.spark_partition_id().alias("part"))
+    sizes = [r["count"] for r in at.groupBy("part").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1000 and sum(sizes) == 2000
