@@ -2,7 +2,8 @@
 
 A line falls through a tree of fixed depth: its number of tokens, then its leading tokens, with tokens that hold a digit as
 variables. In a leaf, lines that agree with the leaf's consensus (the most frequent token of each position) in most
-positions are one template, in which the positions that differ are variables; what does not agree goes through a second consensus.
+positions are one template, in which the positions that differ are variables; what does not agree goes through a second consensus, and
+what agrees with neither goes on with the leaf's most frequent open line, until no leaf has lines left that could be a template together.
 Lines of templates that recur across documents are dropped, but for those of the template's first document, so that a
 text that was copied as a whole survives once.
 
@@ -20,6 +21,7 @@ from knownthen.sources.shared import written
 DEPTH = 3
 #: Documents in which a template must occur to be dropped, and share of positions that must agree with a consensus, in percent.
 MIN_DOCS, AGREE_PCT = 4, 70
+#: Consensus rounds; in those after them a leaf's most frequent open line stands for the consensus.
 ROUNDS = 2
 VARIABLE = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -67,18 +69,26 @@ def _templates(docs: DataFrame, seen: DataFrame, text: str) -> DataFrame:
     lines = _lines(docs, text, line=True).filter(maybe).select("variant", "line")
     open_ = written(asked.join(lines.groupBy("variant").agg(F.first("line").alias("line")), "variant")
                     .select("leaf", "variant", "docs", F.split("line", " ", -1).alias("tokens")), "open")
-    found = None
-    for number in range(ROUNDS):
-        token = open_.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
-        votes = token.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes"))
-        best = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token")).alias("best"))
-        consensus = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", F.col("best.token").alias("token")))).alias("best"))
-        agree = F.size(F.filter(F.zip_with("tokens", "best", lambda x, y: x == y["token"]), lambda x: x))
+    found, number = None, 0
+    while number < ROUNDS or not open_.isEmpty():
+        if number < ROUNDS:
+            token = open_.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
+            votes = token.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes"))
+            best = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token")).alias("best"))
+            consensus = best.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", F.col("best.token").alias("token")))).alias("best"))
+            consensus = consensus.select("leaf", F.transform("best", lambda x: x["token"]).alias("best"))
+        else:
+            consensus = open_.groupBy("leaf").agg(F.max(F.struct("docs", "tokens"))["tokens"].alias("best"))
+        agree = F.size(F.filter(F.zip_with("tokens", "best", lambda x, y: x == y), lambda x: x))
         fits = written(open_.join(consensus, "leaf").select(
             "leaf", "variant", "docs", "tokens", (agree * 100 >= F.size("tokens") * AGREE_PCT).alias("fits")), "fits")
         own = fits.filter("fits").select("variant", F.xxhash64("leaf", F.lit(number)).alias("template"))
         found = own if found is None else found.union(own)
         open_ = fits.filter("not fits").drop("fits")
+        number += 1
+        if number >= ROUNDS:  # a single line is counted as it is, and lines of fewer documents are no template
+            live = open_.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("docs").alias("d")).filter((F.col("k") > 1) & (F.col("d") >= MIN_DOCS))
+            open_ = written(open_.join(live.select("leaf"), "leaf", "left_semi"), "open")
     return found
 
 

@@ -211,6 +211,13 @@ def test_line_templates(documents):
     assert line_templates.cleaned(documents(texts).limit(0)).collect() == []
 
 
+def test_a_leaf_is_searched_for_all_its_templates(documents):
+    line = lambda t, doc: " ".join(["one", "two", "three", *(t + p for p in "defghi"), t + "abcde"[doc]])
+    texts = ["\n".join(line(t, doc) for t in "wxyz") for doc in range(5)]
+    rows = sorted(line_templates.cleaned(documents(texts)).collect(), key=lambda r: r.doc_id)
+    assert rows[0].text == texts[0] and [(r.text, r.n_dropped) for r in rows[1:]] == [("", 4)] * 4
+
+
 def test_urls(spark):
     listed = spark.createDataFrame([("allow", "com", "/"), ("block", "example.com", "/en/"), ("block", "b.org", "/"), ("allow", "b.org", "/")],
                                    "action string, host string, path string")
