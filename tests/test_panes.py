@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fixtures import D
 from knownthen.operators.features import Windows, trailing_features
-from knownthen.operators.paned import Trailing, point_in_time
+from knownthen.operators import paned
+from knownthen.operators.paned import Latest, Trailing, point_in_time
 
 H = timedelta(hours=1)
 
@@ -61,3 +62,30 @@ def test_partitions_are_not_joined_by_their_compressed_bytes(spark):
     at = trailing_features(df).select("id", F.spark_partition_id().alias("part"))
     sizes = [r["count"] for r in at.groupBy("part").count().collect()]
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 1000 and sum(sizes) == 2000
+
+
+def paid(spark, n):
+    return spark.range(n).select(F.col("id"), (F.col("id") % 7).alias("account_id"), F.timestamp_seconds(1_700_000_000 + 9000 * F.col("id")).alias("txn_ts"),
+                                 F.col("id").cast("double").alias("amount"), F.lit("x").alias("category"))
+
+
+@pytest.mark.parametrize("key", ["bigint", "string", "double"])
+def test_scans_and_totals_read_one_exchange(spark, key):
+    txn = paid(spark, 300).withColumn("account_id", F.when(F.col("id") % 50 > 0, F.col("account_id")).cast(key))
+    homes = spark.range(7).select(F.col("id").cast(key).alias("account_id"), F.lit("GB").alias("home"), F.timestamp_seconds(F.lit(0)).alias("valid_from"))
+    df = point_in_time(txn, [Trailing("w", timedelta(days=3), value="amount", moments=True), Latest("v", homes, ("home",))]).select("id", "n_w", "v")
+    rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+    # those without an account saw nothing, and nobody saw them
+    assert {r.n_w for r in rows if r.id % 50 == 0} == {0} and {r.v for r in rows if r.id % 50 == 0} == {None}
+    want = {i: sum(1 for j in range(max(0, i - 28), i) if j % 7 == i % 7 and j % 50) for i in range(300) if i % 50}
+    assert {r.id: r.n_w for r in rows if r.id % 50} == want
+
+
+def test_partitions_follow_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(paned, "PARTITION_ROWS", 10)
+    txn = paid(spark, 205)
+    for sized, number in ((None, 21), (txn.limit(90), 9), (txn.limit(20), 4)):
+        df = point_in_time(txn, [Trailing("w", timedelta(days=3))], sized=sized)
+        assert re.findall(r"RepartitionByExpression \[__key#\d+L?, __pane#\d+L?\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())[0] == str(number)
