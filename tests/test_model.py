@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fixtures import D
 from knownthen.operators.features import FEATURES, feature_catalog
-from knownthen.operators.model import LinearModel, auc, class_counts, explain, fit, scored, split, train, train_window
+from knownthen.operators.model import LinearModel, auc, class_counts, explain, extracted, fit, scored, split, train, train_window
 from knownthen.sources import registry
 from knownthen.sources.shared import fresh_dir
 
@@ -93,3 +93,10 @@ def test_explain_sums_to_the_logit_and_guards(spark):
         train_window(few, "x", historical=True, persist=True)
     catalog = feature_catalog(spark).orderBy("position").collect()
     assert tuple(r.name for r in catalog) == FEATURES
+
+
+def test_passes_of_a_fit_do_not_hash_ids_again(spark):
+    training = spark.createDataFrame(rows(200), ["id", "label", *FEATURES])
+    parts = extracted(training)
+    assert "md5" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id for r in parts.filter("is_test").collect()} == {r.id for r in split(training).filter("is_test").collect()}
