@@ -13,6 +13,7 @@ from knownthen.operators.model import LinearModel
 from knownthen.operators.sessions import sessions
 from knownthen.operators.temporal import Basis
 from knownthen.sources.shared import fresh_dir
+from knownthen.sources.facts import read_once
 from knownthen.sources.store import FactStore
 from knownthen.streaming import events, ingest, timers
 from knownthen.streaming.runs import Stage, new_run
@@ -220,3 +221,13 @@ def test_sessions_equal_brute_force_and_the_stream(spark, gap):
 
 def test_sessions_of_nothing(spark):
     assert sessions(spark.createDataFrame([], "account_id string, txn_ts timestamp, amount double"), H).collect() == []
+
+
+def test_logs_that_are_read_once_are_plain_tables(spark):
+    store = FactStore(spark, fresh_dir(spark, "store"), key="string", country="string")
+    txn = spark.createDataFrame([fx.txn("t", "a", D(0)), fx.txn("u", "b", D(1))], fx.TXN)
+    label = spark.createDataFrame([fx.label("t", False, D(0)), fx.label("u", False, D(1))], fx.LABEL)
+    store.import_history({"txn": txn, "label": label}, D(2))
+    near = read_once(store.logs().around(spark.createDataFrame([("a",)], "account_id string")))
+    assert [r.id for r in near.txn.collect()] == [r.id for r in near.label.collect()] == ["t"]
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in (near.txn, near.label))
