@@ -16,7 +16,7 @@ from knownthen.operators.features import Windows, requests_from, serve
 from knownthen.operators.model import LinearModel, scored
 from knownthen.operators.paned import Trailing, point_in_time
 from knownthen.operators.temporal import Basis, DELETE, PUT, snapshot
-from knownthen.sources.facts import FactLogs
+from knownthen.sources.facts import FactLogs, read_once
 from knownthen.sources.shared import written
 from knownthen.sources.store import Commit, FactStore
 from knownthen.streaming.runs import Run, new_run, put_batch, run_batches, table_so_far
@@ -25,18 +25,24 @@ UNIX = datetime(1970, 1, 1, tzinfo=timezone.utc)
 ARRIVALS = ("id", "account_id", "txn_ts", "amount", "category", "country", "due")
 
 
-def tick(store: FactStore, batch: DataFrame, source: str, batch_id: int) -> Commit:
+def distinct_arrivals(batch: DataFrame) -> DataFrame:
+    """The arrivals of a batch that have an id, each once, written."""
+    return written(batch.select(*ARRIVALS).filter(F.col("id").isNotNull()).dropDuplicates(["id"]), "arrivals")
+
+
+def tick(store: FactStore, batch: DataFrame, source: str, batch_id: int, distinct: bool = False) -> Commit:
     """Commit a batch of arrivals and everything it makes due, under one stamp.
 
     `batch` has the columns `ARRIVALS`; `due` is NULL unless the transaction will be charged back. The commit holds the transactions, a
     first 'legit' label of each, pending rows of the chargebacks, and for each pending one that is due by the newest event time seen
     so far a 'fraud' label and the end of its pending. What became due since the last tick is read by its due day; what
-    was due by then was settled in a tick before. A batch that is already in the store changes nothing.
+    was due by then was settled in a tick before. A batch that is already in the store changes nothing. `distinct`: the batch
+    comes from `distinct_arrivals`.
     """
     done = store.committed(source, batch_id)
     if done is not None:
         return done
-    arrived = written(batch.select(*ARRIVALS).filter(F.col("id").isNotNull()).dropDuplicates(["id"]), "arrivals")
+    arrived = batch if distinct else distinct_arrivals(batch)
     last = store.last()
     newest = arrived.agg(F.max(micros("txn_ts"))).first()[0]
     seen = [UNIX + timedelta(microseconds=newest)] if newest is not None else []
@@ -78,13 +84,13 @@ def score_as_ingested(stream: DataFrame, store: FactStore, model: LinearModel, r
     def arrive(batch: DataFrame, batch_id: int) -> None:
         if baseline is not None:
             there = store.facts("txn", baseline).select("id")
-            batch = written(batch.join(there, "id", "left_anti"), "arrivals")
-        commit = tick(store, batch, source, batch_id)
-        new = batch.filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+            batch = batch.join(there, "id", "left_anti")
+        new = distinct_arrivals(batch)
+        commit = tick(store, new, source, batch_id, distinct=True)
         span = new.agg(F.min(micros("txn_ts")), F.max(micros("txn_ts"))).first()
         reach = max(windows.velocity, windows.baseline, windows.fraud)
         first, last = (UNIX + timedelta(microseconds=us or 0) for us in span)
-        near = store.logs(commit.system_time, pane=windows.pane).around(new, since=first - reach, until=last)
+        near = read_once(store.logs(commit.system_time, pane=windows.pane).around(new, since=first - reach, until=last))
         vectors = serve(requests_from(new), near, Basis(system_at=commit.system_time), windows)
         put_batch(scored(vectors, model).select(
             F.col("req_id").alias("id"), "p", F.lit(model.version).alias("model_version")), run.folder, "scores", batch_id)
@@ -155,7 +161,7 @@ def score_on_arrival(stream: DataFrame, logs: FactLogs, model: LinearModel,
         span = new.agg(F.min(micros("txn_ts")), F.max(micros("txn_ts"))).first()
         reach = max(windows.velocity, windows.baseline, windows.fraud)
         first, last = (UNIX + timedelta(microseconds=us or 0) for us in span)
-        near = logs.around(new, since=first - reach, until=last)
+        near = read_once(logs.around(new, since=first - reach, until=last))
         vectors = serve(requests_from(new), near, Basis(system_at=last), windows)
         put_batch(scored(vectors, model).select(
             F.col("req_id").alias("id"), "p", F.lit(model.version).alias("model_version")), root, "scores", batch_id)

@@ -82,8 +82,23 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], run: Run, m
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", run: Run | None = None) -> None:
-    """Process everything available now in micro-batches, then stop."""
-    start(stream, each, run or new_run(stream.sparkSession, "run"), mode).awaitTermination()
+    """Process everything available now in micro-batches, then stop.
+
+    The partitions into which a stream's state is split are as many for ever; what `each` does with a batch has the session's own number.
+    """
+    partitions = "spark.sql.shuffle.partitions"
+    usual = stream.sparkSession.conf.get(partitions)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        conf = batch.sparkSession.conf  # of the stream's own copy of the session
+        of_state = conf.get(partitions)
+        conf.set(partitions, usual)
+        try:
+            each(batch, batch_id)
+        finally:
+            conf.set(partitions, of_state)
+
+    start(stream, work, run or new_run(stream.sparkSession, "run"), mode).awaitTermination()
 
 
 def batch_path(root: str, table: str, batch_id: int) -> str:

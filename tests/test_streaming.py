@@ -3,12 +3,14 @@
 import random
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from fixtures import D, utc
 from knownthen.operators.features import trailing_features
-from knownthen.sources.shared import fresh_dir
+from knownthen.sources.shared import fresh_dir, written
 from knownthen.sources.store import FactStore
 from knownthen.streaming import events, ingest
-from knownthen.streaming.runs import new_run, staged_stream
+from knownthen.streaming.runs import new_run, run_batches, staged_stream
 
 
 def arrivals(spark, n=400):
@@ -60,3 +62,20 @@ def test_derived_streams(spark):
                                    "id long, is_fraud boolean, system_from timestamp")
     flips = events.collected(events.flips(staged_stream(labels, "system_from", 2)), "update", ["id"])
     assert [r.id for r in flips.filter("first_seen < confirmed_at").collect()] == [1]
+
+
+def test_a_batch_has_the_partitions_of_the_session_not_of_the_state(spark):
+    seen, partitions = [], "spark.sql.shuffle.partitions"
+    stream = staged_stream(arrivals(spark, 20), "txn_ts", 2)
+    run_batches(stream, lambda batch, n: seen.append(batch.sparkSession.conf.get(partitions)), run=new_run(spark, "wide", state_partitions=3))
+    assert seen == [spark.conf.get(partitions)] * 2
+
+
+def test_arrivals_are_made_distinct_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ingest, "written", lambda df, name: made.append(name) or written(df, name))
+    batch = arrivals(spark, 20).selectExpr("*", "'x' AS category", "1L AS country", "CAST(NULL AS timestamp) AS due")
+    once = ingest.distinct_arrivals(batch.union(batch))
+    assert once.count() == 20 and made == ["arrivals"]
+    ingest.tick(FactStore(spark, fresh_dir(spark, "store"), key="bigint"), once.withColumn("account_id", F.lit(1).cast("long")), "s", 0, distinct=True)
+    assert made == ["arrivals"]
