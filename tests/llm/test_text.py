@@ -218,6 +218,48 @@ def test_a_leaf_is_searched_for_all_its_templates(documents):
     assert rows[0].text == texts[0] and [(r.text, r.n_dropped) for r in rows[1:]] == [("", 4)] * 4
 
 
+def test_many_templates_of_a_leaf_take_few_rounds(documents, monkeypatch):
+    rng = random.Random(3)
+    pool = [f"one two three {' '.join(rng.choice('pqrs') + str(at).translate(str.maketrans('0123456', 'abcdefg')) for at in range(7))}" for _ in range(90)]
+    texts = ["\n".join(rng.sample(pool, 9)) for _ in range(40)]
+
+    def expected():
+        where = collections.defaultdict(set)
+        for i, t in enumerate(texts):
+            for x in t.split("\n"):
+                where[x].add(i)
+        open_, groups = {tuple(x.split(" ")): len(d) for x, d in where.items()}, []
+        agree = lambda x, y: 100 * sum(a == b for a, b in zip(x, y)) >= 70 * len(x)
+        while open_:
+            if len(groups) < 2:
+                best = []
+                for at in range(10):
+                    votes = collections.Counter()
+                    for x, n in open_.items():
+                        votes[x[at]] += n
+                    best.append(max((n, token) for token, n in votes.items())[1])
+            else:
+                best = max((n, x) for x, n in open_.items())[1]
+            groups.append([x for x in open_ if agree(x, best)])
+            open_ = {x: n for x, n in open_.items() if x not in groups[-1]}
+        dropped = collections.defaultdict(set)
+        for group in groups:
+            ids = set().union(*(where[" ".join(x)] for x in group))
+            for x in group if len(ids) >= 4 else ():
+                for i in ids - {min(ids)}:
+                    dropped[i].add(" ".join(x))
+        return len(groups), ["\n".join(x for x in t.split("\n") if x not in dropped[i]) for i, t in enumerate(texts)]
+
+    tables, written = [], line_templates.written
+    monkeypatch.setattr(line_templates, "written", lambda df, name: tables.append(name) or written(df, name))
+    cleaned = lambda: [r.text for r in line_templates.cleaned(documents(texts)).orderBy("doc_id").collect()]
+    rounds, want = expected()
+    assert cleaned() == want and rounds > 20 > len(tables)  # each round was two tables
+    monkeypatch.setattr(line_templates, "LEADERS", 12)
+    monkeypatch.setattr(line_templates, "DEALT", 8)
+    assert cleaned() == want
+
+
 def test_urls(spark):
     listed = spark.createDataFrame([("allow", "com", "/"), ("block", "example.com", "/en/"), ("block", "b.org", "/"), ("allow", "b.org", "/")],
                                    "action string, host string, path string")
