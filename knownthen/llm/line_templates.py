@@ -98,7 +98,9 @@ def _templates(docs: DataFrame, variants: DataFrame, text: str) -> DataFrame:
                .filter((F.col("k") > 1) & (F.col("d") >= MIN_DOCS)).select("leaf"))
     asked = written(variants.join(crowded, "leaf"), "crowded")
     count = asked.count()
-    texts = docs.filter(_maybe(asked.select("print"), count, F.xxhash64(text)))
+    # a hash that comes out of an explode is computed once, not for each place where the filter needs it
+    hashed = docs.select("doc_id", text, F.explode(F.array(F.xxhash64(text))).alias("print"))
+    texts = hashed.filter(_maybe(asked.select("print"), count, F.col("print"))).select("doc_id", text)
     lines = _lines(texts, text, line=True).filter(_maybe(asked.select("variant"), count, F.col("variant"))).select("variant", "line")
     open_ = written(asked.join(lines.groupBy("variant").agg(F.first("line").alias("line")), "variant")
                     .select("leaf", "variant", "docs", F.split("line", " ", -1).alias("tokens")), "open")

@@ -1,7 +1,7 @@
 """The stages of the pipeline, each on its predecessor's output."""
 
 import corpus_pipeline
-from knownthen.llm import langid, minhash
+from knownthen.llm import langid, line_templates, minhash
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,13 @@ def test_empty_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_jobs_of_line_dedup_do_not_grow_with_the_templates_of_a_leaf(spark, documents, monkeypatch):
+    lines = [" ".join(["one", "two", "three", *(chr(97 + t) + p for p in "defghij")]) for t in range(25)]
+    docs = documents([f"Text {'abcd'[i] * 5} has this of its own.\n" + "\n".join(lines) for i in range(4)])
+    tables, written = [], line_templates.written
+    monkeypatch.setattr(line_templates, "written", lambda df, name: tables.append(name) or written(df, name))
+    rows = corpus_pipeline.line_dedup(spark, docs, SF).orderBy("doc_id").collect()
+    assert rows[0].text.count("\n") == 25 and not any("one two" in r.text for r in rows[1:]) and len(rows) == 4
+    assert len(tables) < 20
